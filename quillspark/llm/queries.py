@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm.mixing import mix
 from quillspark.llm.token_counts import count_tokens
 from quillspark.llm.token_output import token_output
 
@@ -18,12 +19,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), limit=512)
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_documents(spark, sf_dir), weights=(5, 2, 1))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_documents(spark, sf_dir), end_id=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_counts, op9_token_output)}
+    return {f.__name__: f for f in (op7_token_counts, op8_mix_sources, op9_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
