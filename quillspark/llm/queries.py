@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import langid, quality
 from quillspark.llm.mixing import mix
+from quillspark.llm.ngram_join import ngram_components
 from quillspark.llm.token_counts import count_tokens
 from quillspark.llm.token_output import token_output
 
@@ -36,8 +37,12 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_documents(spark, sf_dir), end_id=2)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_documents(spark, sf_dir), words=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality, op6_language_id, op7_token_counts, op8_mix_sources, op9_token_output)}
+    return {f.__name__: f for f in (op4_quality, op6_language_id, op7_token_counts, op8_mix_sources, op9_token_output, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
