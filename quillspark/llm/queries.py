@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import langid, quality
+from quillspark.llm.decontaminate import leaks
 from quillspark.llm.mixing import mix
 from quillspark.llm.ngram_join import ngram_components
 from quillspark.llm.token_counts import count_tokens
@@ -21,6 +22,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
@@ -42,7 +47,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality, op6_language_id, op7_token_counts, op8_mix_sources, op9_token_output, op10_ngram_join)}
+    return {f.__name__: f for f in (op4_quality, op5_decontaminate, op6_language_id, op7_token_counts, op8_mix_sources, op9_token_output, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
