@@ -34,6 +34,8 @@ EXTRA = 0.1
 SATURATED = 4096
 #: Bits of the filter of row ids that is sent to the tasks: a fixed 4 MB, whatever the corpus; chance hits are joined away.
 FILTER_BITS = 1 << 25
+#: Rows in a block of a column, on average at most.
+BLOCK_ROWS = 1024
 #: Words remembered by a worker.
 WORDS = 500_000
 _GOLD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
@@ -254,6 +256,21 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").mapInArrow(run, "a long, b long, na long, nb long, both long")
 
 
+def _open_pairs(rows: DataFrame, blocks: int, t: float) -> DataFrame:
+    """a, b: all pairs of rows (g, row, n, c, main) in a common column and of different components, one of them not the column's main one.
+
+    A column's rows are put into blocks, which meet the other rows as a whole; what the columns of a row bring from one block is united before
+    it becomes pairs. So the rows made follow the entries and the pairs, not how often a pair meets.
+    """
+    block = F.pmod(F.xxhash64("row", F.lit(9)), F.lit(blocks))
+    held = rows.groupBy("g", block.alias("k")).agg(F.collect_list(F.struct("row", "n", "c", (F.col("c") == F.col("main")).alias("top"))).alias("held"))
+    few = rows.filter("c <> main").select("g", F.col("row").alias("a"), F.col("n").alias("m"), F.col("c").alias("ca"))
+    fits = lambda x: (x["c"] != F.col("ca")) & (x["n"] >= t * F.col("m")) & (F.col("m") >= t * x["n"]) & (x["top"] | (x["row"] > F.col("a")))
+    met = few.join(held, "g").select("a", "k", F.transform(F.filter("held", fits), lambda x: x["row"]).alias("b")).filter(F.size("b") > 0)
+    met = met.groupBy("a", "k").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b")).select("a", F.explode("b").alias("b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
 
@@ -282,10 +299,7 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     labelled = written(columns.join(found, F.col("row") == F.col("node"), "left").select("g", "row", "n", F.coalesce("component", "row").alias("c")), "ngram-labelled")
     parts = labelled.groupBy("g", "c").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("g").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("g", F.col("top.c").alias("main"))
-    open_rows = labelled.join(mixed, "g")
-    few = open_rows.filter("c <> main").select("g", F.col("row").alias("a"), F.col("n").alias("m"), F.col("c").alias("ca"))
-    rest = open_rows.join(few, "g").filter((F.col("c") != F.col("ca")) & in_size & ((F.col("c") == F.col("main")) | (F.col("row") > F.col("a"))))
-    pairs = rest.select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct()
+    pairs = _open_pairs(labelled.join(mixed, "g"), max(1, sets.count() // BLOCK_ROWS), t)
     more = alike(pairs).filter("linked").select("a", "b")
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
