@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import langid, quality
+from quillspark.llm import langid, quality, secrets
 from quillspark.llm.ann import nearest
 from quillspark.llm.decontaminate import leaks
 from quillspark.llm.mixing import mix
@@ -19,6 +19,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_documents(spark, sf_dir)))
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
 
@@ -52,7 +56,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_nearest, op4_quality, op5_decontaminate, op6_language_id, op7_token_counts, op8_mix_sources, op9_token_output, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_secrets, op2_nearest, op4_quality, op5_decontaminate, op6_language_id, op7_token_counts, op8_mix_sources, op9_token_output, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
