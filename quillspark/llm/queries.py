@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import langid, quality, secrets
+from quillspark.llm import langid, pii, quality, secrets
 from quillspark.llm.ann import nearest
 from quillspark.llm.decontaminate import leaks
 from quillspark.llm.mixing import mix
@@ -27,6 +27,10 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(_documents(spark, sf_dir)))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -56,7 +60,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_nearest, op4_quality, op5_decontaminate, op6_language_id, op7_token_counts, op8_mix_sources, op9_token_output, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_secrets, op2_nearest, op3_personal_data, op4_quality, op5_decontaminate, op6_language_id, op7_token_counts, op8_mix_sources, op9_token_output, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
