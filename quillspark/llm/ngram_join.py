@@ -158,15 +158,19 @@ def _first_bound(sketches: DataFrame, t: float) -> DataFrame:
     return shared.join(sizes, "key").filter(F.col("row").isNotNull() & (F.col("c") >= least)).select("row", "n", "key")
 
 
-def _row_sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """row, n, grams of the rows that are left, from a second scan that no other text leaves."""
-    bit = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count from 1, their buckets of 4096 bytes too
-    parts = rows.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # FILTER_BITS in all
+def _bits(rows: DataFrame, column: str) -> bytes:
+    """A bit set for a hash of each value of ``column``: FILTER_BITS in all, whatever the number of rows."""
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count from 1, their buckets of 4096 bytes too
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for p in parts:
+    for p in rows.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect():
         at = (p["k"] - 1) * 4096
         bits[at : at + 4096] = np.frombuffer(bytes(p["bits"]), np.uint8)[:4096]
-    sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    return bits.tobytes()
+
+
+def _row_sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """row, n, grams of the rows that are left, from a second scan that no other text leaves."""
+    sent = docs.sparkSession.sparkContext.broadcast(_bits(rows, "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shingle = np.frombuffer(sent.value, np.uint8), Shingler(words)
@@ -308,3 +312,31 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     member = sketches.select("doc_id", "n", "key").join(own, "key", "left").join(found, F.col("row") == F.col("node"), "left")
     label = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "row"))
     return member.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs``, with their columns, that have the smallest doc_id of their component; rows that repeat a doc_id and text count once.
+
+    Rows without a doc_id stay. Only rows that a fixed-size filter takes for dropped or repeated ones are shuffled; the others pass as they are read.
+    """
+    found = written(ngram_components(docs, words, percent), "ngram-components")
+    dropped = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    sent = docs.sparkSession.sparkContext.broadcast(_bits(dropped.union(repeated), "doc_id"))
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    schema = docs.select(row, at.alias("at")).schema
+
+    def split(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.frombuffer(sent.value, np.uint8)
+            for batch in batches:
+                at = batch.column("at").to_numpy()
+                yield batch.filter(pa.array(((held[at // 8] >> (at % 8).astype(np.uint8)) & 1 == 1) == wanted))
+
+        return docs.select(row, at.alias("at")).mapInArrow(run, schema)
+
+    null = F.col("row.doc_id").isNull()
+    doubtful = split(True).filter(~null).withColumn("id", F.col("row.doc_id").cast("long"))
+    kept = doubtful.join(dropped.select(F.col("doc_id").alias("id")), "id", "left_anti").withColumn("t", F.md5(F.coalesce("row.text", F.lit("-")))).dropDuplicates(["id", "t"])
+    return split(False).select("row").union(kept.select("row")).union(split(True).filter(null).select("row")).select("row.*")
