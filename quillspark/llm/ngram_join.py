@@ -7,11 +7,13 @@ among the first ``n - ceil(t * n) + 1`` of each in any common order. Steps:
 1. Sets of whole texts, as 64-bit hashes; equal sets are one row.
 2. First bound: of the first quarter or so in hash order, at least ``EXTRA`` of the set must be shared with another row. Most rows end here.
 3. Remaining rows: n-grams in order of rarity; each row keeps its rarest ones up to the size bound. Unshared ones need no column.
-4. Each column multiplies its rows with its smallest row only; the accumulated overlaps give the first links and components.
+4. Each column multiplies its rows with one of them only, that with the least unshared n-grams, as the original of many copies has; the
+   accumulated overlaps give the first links and components.
 5. A column whose rows all lie in one component is done. In the others, the rows outside of the column's largest component are multiplied
    with all rows of other components. This takes every remaining pair, so no link that matters to a component is lost.
 
-Overlaps are counted over whole sets; pairs whose sizes or common distances rule them out are discarded before that.
+Overlaps are counted over whole sets. A pair is discarded before that if the larger set is too large, or if one of them shares fewer n-grams with
+all other rows together than the pair's sizes ask for.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import ship, slices, written
@@ -189,7 +191,7 @@ def _row_sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
 
 
 def _columns(sets: DataFrame, t: float) -> DataFrame:
-    """g, row, n: the entries of the matrix that the size bound leaves, rarest n-grams first."""
+    """g, row, n, s: the entries of the matrix that the size bound leaves, rarest n-grams first; s is how many n-grams the row shares at all."""
 
     def rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # sorted by g; runs longer than SATURATED stream on with that count
@@ -237,12 +239,13 @@ def _columns(sets: DataFrame, t: float) -> DataFrame:
             size = n[starts[:-1]]
             left = size - np.maximum(1, np.ceil(t * size - 1e-9)).astype(np.int64) + 1 - (size - lengths)
             place = np.arange(len(r)) - np.repeat(starts[:-1], lengths)
-            yield from table.select(["g", "row", "n"]).filter(pa.array(place < np.repeat(left, lengths))).to_batches()
+            table = table.select(["g", "row", "n"]).append_column("s", pa.array(np.repeat(lengths, lengths), pa.int64()))
+            yield from table.filter(pa.array(place < np.repeat(left, lengths))).to_batches()
 
     names = ["g", "row", "n", "df"]
     entries = sets.select("row", "n", F.explode("grams").alias("g")).repartition("g").sortWithinPartitions("g")
     common = entries.mapInArrow(rarity, "g long, row long, n long, df int")
-    kept = common.repartition("row").sortWithinPartitions("row", "df", "g").mapInArrow(bound, "g long, row long, n long")
+    kept = common.repartition("row").sortWithinPartitions("row", "df", "g").mapInArrow(bound, "g long, row long, n long, s long")
     return kept
 
 
@@ -260,16 +263,21 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").mapInArrow(run, "a long, b long, na long, nb long, both long")
 
 
+def _possible(n: Column, s: Column, m: Column, z: Column, t: float) -> Column:
+    """Whether sets of n and m n-grams, of which s and z are shared with any row, can overlap enough for a similarity of t."""
+    return F.least(s, z, n, m) >= t / (1 + t) * (n + m) - 1e-6
+
+
 def _open_pairs(rows: DataFrame, blocks: int, t: float) -> DataFrame:
-    """a, b: all pairs of rows (g, row, n, c, main) in a common column and of different components, one of them not the column's main one.
+    """a, b: all pairs of rows (g, row, n, s, c, main) in a common column and of different components, one of them not the column's main one.
 
     A column's rows are put into blocks, which meet the other rows as a whole; what the columns of a row bring from one block is united before
     it becomes pairs. So the rows made follow the entries and the pairs, not how often a pair meets.
     """
     block = F.pmod(F.xxhash64("row", F.lit(9)), F.lit(blocks))
-    held = rows.groupBy("g", block.alias("k")).agg(F.collect_list(F.struct("row", "n", "c", (F.col("c") == F.col("main")).alias("top"))).alias("held"))
-    few = rows.filter("c <> main").select("g", F.col("row").alias("a"), F.col("n").alias("m"), F.col("c").alias("ca"))
-    fits = lambda x: (x["c"] != F.col("ca")) & (x["n"] >= t * F.col("m")) & (F.col("m") >= t * x["n"]) & (x["top"] | (x["row"] > F.col("a")))
+    held = rows.groupBy("g", block.alias("k")).agg(F.collect_list(F.struct("row", "n", "s", "c", (F.col("c") == F.col("main")).alias("top"))).alias("held"))
+    few = rows.filter("c <> main").select("g", F.col("row").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("c").alias("ca"))
+    fits = lambda x: (x["c"] != F.col("ca")) & _possible(x["n"], x["s"], F.col("na"), F.col("sa"), t) & (x["top"] | (x["row"] > F.col("a")))
     met = few.join(held, "g").select("a", "k", F.transform(F.filter("held", fits), lambda x: x["row"]).alias("b")).filter(F.size("b") > 0)
     met = met.groupBy("a", "k").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b")).select("a", F.explode("b").alias("b"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -293,14 +301,14 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     def alike(pairs: DataFrame) -> DataFrame:
         return written(_overlaps(pairs, sets).withColumn("linked", 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))), "ngram-overlaps")
 
-    in_size = (F.col("n") >= t * F.col("m")) & (F.col("m") >= t * F.col("n"))
-    first = columns.groupBy("g").agg(F.min(F.struct("row", "n")).alias("p")).select("g", F.col("p.row").alias("a"), F.col("p.n").alias("m"))
-    pairs = columns.join(first, "g").filter((F.col("a") < F.col("row")) & in_size).select("a", F.col("row").alias("b")).distinct()
+    first = columns.groupBy("g").agg(F.min(F.struct((1 - F.col("s") / F.col("n")).alias("alone"), "row", "n", "s")).alias("p")).select("g", F.col("p.row").alias("a"), F.col("p.n").alias("na"), F.col("p.s").alias("sa"))
+    near = columns.join(first, "g").filter((F.col("a") != F.col("row")) & _possible(F.col("n"), F.col("s"), F.col("na"), F.col("sa"), t))
+    pairs = near.select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct()
     links = alike(pairs).filter("linked").select("a", "b")
     found = components(links)
 
     # columns that still join several components
-    labelled = written(columns.join(found, F.col("row") == F.col("node"), "left").select("g", "row", "n", F.coalesce("component", "row").alias("c")), "ngram-labelled")
+    labelled = written(columns.join(found, F.col("row") == F.col("node"), "left").select("g", "row", "n", "s", F.coalesce("component", "row").alias("c")), "ngram-labelled")
     parts = labelled.groupBy("g", "c").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("g").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("g", F.col("top.c").alias("main"))
     pairs = _open_pairs(labelled.join(mixed, "g"), max(1, sets.count() // BLOCK_ROWS), t)
