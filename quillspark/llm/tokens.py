@@ -4,25 +4,29 @@ Stable boundary: in a byte-level BPE with the usual split pattern and no normali
 non-space character followed by a white-space one, as every alternative is an optional space and a run without
 white space, or white space alone. So wherever a non-space character is followed by white space, the tokens
 before and after that place do not depend on each other. Special strings hold no white space here.
+
+In texts without special strings a letter followed by a mark is such a place too: alternatives with letters end where letters end, and none but those
+that begin with an apostrophe have a mark in front of letters.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
 
 import numpy as np
 
 #: White space as the split pattern sees it, other than the four characters at which texts are cut. Fixed values.
 EXOTIC = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
 CUT = re.compile(r"(?<=[^ \t\n\r])[ \t\n\r]")
-#: Pieces remembered by a worker; beyond it the half met in the most texts stays.
-MEMO = 800_000
-#: Texts with any of these are cut by the pattern, the others at each space and line end.
-UNEVEN = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
+#: Pieces remembered by a worker; beyond it the half met in the most slices of texts stays. About 50 bytes each.
+MEMO = 1_500_000
+#: Pieces learnt since the last merge that are looked up apart.
+FRESH = 60_000
+#: Pieces that the library gets as one text.
+TOGETHER = 64
+#: Odd bases of the two hashes of a piece, modulo 2 ** 64, and their inverses.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 def default_path() -> str:
@@ -51,89 +55,147 @@ def encode_whole(tokenizer, texts: list[str]) -> list[list[int]]:
     return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-class _Numbers(dict):
-    """Piece -> its row in the table; pieces met for the first time get the next row, and their text waits in ``pending``.
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+#: ASCII marks but the apostrophe, which may begin a contraction.
+_MARK = np.array([33 <= b < 127 and b != 39 and not chr(b).isalnum() for b in range(256)])
 
-    With ``bare``, a piece that does not start a line stands for itself after a space.
-    """
 
-    def __init__(self, rows: Iterator[int], pending: list[str], bare: bool):
-        self.rows, self.pending, self.bare = rows, pending, bare
+class _Powers:
+    """Powers of a base and of its inverse modulo 2 ** 64, grown when needed."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse, self.up, self.down = base, pow(base, -1, 1 << 64), np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = number = next(self.rows)
-        self.pending.append(" " + piece if self.bare and piece[:1] != "\n" else piece)
-        return number
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            for name, b in (("up", self.base), ("down", self.inverse)):
+                steps = np.full(n, b, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+        return self.up[:n], self.down[:n]
 
 
 class PieceEncoder:
     """Ids of whole texts as arrays of ``dtype``.
 
-    Texts are cut at stable boundaries and the library encodes each piece the first time a worker meets it, so the
-    ids are those of the whole text. Texts with unusual white space are encoded whole.
+    Texts are cut at stable boundaries and the library encodes each piece the first time a worker meets it, so the ids are those of the whole
+    text. Pieces are known by two 64-bit polynomial hashes of their bytes and found in sorted arrays. Texts with unusual white space or special
+    strings, and texts with a piece whose hashes disagree, are encoded whole.
     """
 
     def __init__(self, path: str, dtype: str = "<u2"):
         self.tokenizer, self.dtype = load(path), np.dtype(dtype)
         if self.tokenizer.get_vocab_size() > np.iinfo(self.dtype).max + 1:
             raise ValueError(f"{dtype} is too narrow for the vocabulary")
-        self.pending, self.used, rows = [], 0, count()
-        self.exact, self.bare = _Numbers(rows, self.pending, False), _Numbers(rows, self.pending, True)
-        self.flat, self.first, self.met = np.zeros(1 << 16, self.dtype), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        vocabulary = self.tokenizer.get_vocab()
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.widths[list(vocabulary.values())] = list(map(len, vocabulary))  # byte-level: a character for each byte
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.powers = [_Powers(b) for b in _BASES]
+        self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]  # sorted hashes and rows: merged ones, fresh ones
+        self.second, self.met = np.zeros(0, np.uint64), np.zeros(0, np.uint16)  # by row
+        self.flat, self.first, self.used = np.zeros(1 << 16, self.dtype), np.zeros(1, np.int64), 0
+
+    def _hashes(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for powers in self.powers:
+            up, down = powers(len(buf) + 1)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)])
+            h = (total[end] - total[start]) * down[start]
+            out.append(h ^ (h >> np.uint64(32)))
+        return out
+
+    def _rows(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of distinct keys; -1 for those not known."""
+        rows = np.full(len(keys), -1, np.int64)
+        for hashes, at in self.tables:
+            if len(hashes):
+                place = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+                rows = np.where(hashes[place] == keys, at[place], rows)
+        return rows
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and all ids in order.
+
+        Pieces that begin with white space and don't end with it have stable boundaries among each other, so the library gets many of them as
+        one text; the bytes that each id stands for tell where a piece ends.
+        """
+        joins = [p[0] in " \t\n\r" and p[-1] not in " \t\n\r" for p in pieces]
+        order = sorted(range(len(pieces)), key=joins.__getitem__)
+        alone = len(pieces) - sum(joins)
+        texts = [pieces[k] for k in order[:alone]] + ["".join(pieces[k] for k in order[i : i + TOGETHER]) for i in range(alone, len(pieces), TOGETHER)]
+        ids = np.fromiter((x for one in encode_whole(self.tokenizer, texts) for x in one), self.dtype)
+        ends = np.cumsum(self.widths[ids])
+        last = np.searchsorted(ends, np.cumsum([len(pieces[k].encode()) for k in order])) + 1
+        sizes = np.diff(last, prepend=0)
+        put = np.empty(len(pieces), np.int64)
+        put[order] = np.arange(len(pieces))
+        n = sizes[put]
+        first = (last - sizes)[put]
+        return n, ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def _learn(self, pieces: list[str], keys: np.ndarray, second: np.ndarray) -> None:
+        """Append new pieces, in order of their keys, to the table."""
+        start, sizes, ids = len(self.second), *self._encoded(pieces)
+        end = self.used + len(ids)
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), end - len(self.flat)), self.dtype)])
+        self.flat[self.used : end] = ids
+        self.first = np.concatenate([self.first, self.used + np.cumsum(sizes)])
+        self.used = end
+        self.second = np.concatenate([self.second, second])
+        self.met = np.concatenate([self.met, np.zeros(len(pieces), np.uint16)])
+        (old, rows), (fresh, more) = self.tables
+        fresh, more = np.concatenate([fresh, keys]), np.concatenate([more, np.arange(start, len(self.second))])
+        order = np.argsort(fresh, kind="stable")
+        self.tables[1] = fresh[order], more[order]
+        if len(fresh) > FRESH:
+            whole, at = np.concatenate([old, self.tables[1][0]]), np.concatenate([rows, self.tables[1][1]])
+            order = np.argsort(whole, kind="stable")
+            self.tables = [(whole[order], at[order]), (fresh[:0], more[:0])]
 
     def _purge(self) -> None:
-        """Keep the rows met in the most texts, at most half of what is remembered; the others are learnt anew when met."""
+        """Keep the pieces met most often, at most half of what is remembered; the others are learnt anew when met."""
         keep = self.met > max(1, int(np.partition(self.met, -(MEMO // 2))[-(MEMO // 2)]))
-        new, rows = np.cumsum(keep) - 1, count(int(keep.sum()))
-        n = np.diff(self.first)
+        new, n = np.cumsum(keep) - 1, np.diff(self.first)
         self.flat = self.flat[: self.used][np.repeat(keep, n)]
-        self.first, self.met, self.used = np.concatenate([[0], np.cumsum(n[keep])]), self.met[keep] // 2, len(self.flat)
-        for name in ("exact", "bare"):
-            old = getattr(self, name)
-            fresh = _Numbers(rows, self.pending, old.bare)
-            fresh.update((p, int(new[r])) for p, r in old.items() if keep[r])
-            setattr(self, name, fresh)
-
-    def _learn(self) -> None:
-        """Encode the pending pieces and append their ids to the table."""
-        pending = self.pending[:]
-        self.pending.clear()
-        for i in range(0, len(pending), 20_000):
-            ids = encode_whole(self.tokenizer, pending[i : i + 20_000])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            end = self.used + int(sizes.sum())
-            if end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), end - len(self.flat)), self.dtype)])
-            self.flat[self.used : end] = np.fromiter((x for one in ids for x in one), self.dtype, end - self.used)
-            self.first = np.concatenate([self.first, self.used + np.cumsum(sizes)])
-            self.met = np.concatenate([self.met, np.zeros(len(sizes), np.int32)])
-            self.used = end
-
-    def _rows(self, text: str) -> np.ndarray:
-        if any(map(text.__contains__, UNEVEN)):
-            pieces = PIECE.findall(text)
-            return np.fromiter(map(self.exact.__getitem__, pieces), np.int64, len(pieces))
-        pieces = text.replace("\n", " \n").split(" ")
-        rows = np.empty(len(pieces), np.int64)
-        rows[0] = self.exact[pieces[0]]
-        rows[1:] = np.fromiter(map(self.bare.__getitem__, pieces[1:]), np.int64, len(pieces) - 1)
-        return rows
+        self.first, self.used = np.concatenate([[0], np.cumsum(n[keep])]), len(self.flat)
+        self.second, self.met = self.second[keep], self.met[keep] // 2
+        self.tables = [(h[keep[r]], new[r[keep[r]]]) for h, r in self.tables]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.met) > MEMO:
+        if len(self.second) > MEMO:
             self._purge()
-        cut = [None if t and EXOTIC.search(t) else self._rows(t or "") for t in texts]
-        self._learn()
-        for c in cut:
-            if c is not None:
-                self.met[c] += 1
-        out = []
-        for t, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(np.asarray(encode_whole(self.tokenizer, [t])[0], dtype=self.dtype))
-                continue
-            at = self.first[c]
-            n = self.first[c + 1] - at
-            where = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            out.append(self.flat[where])
+        whole = {i for i, t in enumerate(texts) if t and (EXOTIC.search(t) or any(x in t for x in self.special))}
+        raws = [b"" if i in whole or not t else t.encode() for i, t in enumerate(texts)]
+        edges = np.cumsum([0, *map(len, raws)])
+        buf = np.frombuffer(b"".join(raws), np.uint8)
+        out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
+        if len(buf):
+            space = (buf == 32) | (buf == 9) | (buf == 10) | (buf == 13)
+            begins = space.copy()
+            begins[1:] &= ~space[:-1]
+            begins[1:] |= _MARK[buf[1:]] & _LETTER[buf[:-1]]
+            begins[edges[:-1][edges[:-1] < len(buf)]] = True
+            start = np.flatnonzero(begins)
+            end = np.append(start[1:], len(buf))
+            h1, h2 = self._hashes(buf, start, end)
+            keys, at, back = np.unique(h1, return_index=True, return_inverse=True)
+            rows = self._rows(keys)
+            new = np.flatnonzero(rows < 0)
+            if len(new):
+                data = buf.tobytes()
+                self._learn([data[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)], keys[new], h2[at[new]])
+                rows[new] = np.arange(len(self.second) - len(new), len(self.second))
+            self.met[rows] = np.minimum(self.met[rows], 65_534) + 1
+            row = rows[back]
+            if (odd := np.flatnonzero(self.second[row] != h2)).size:
+                whole |= set((np.searchsorted(edges, start[odd], side="right") - 1).tolist())
+            n = self.first[row + 1] - self.first[row]
+            total = np.concatenate([[0], np.cumsum(n)])
+            ids = self.flat[np.repeat(self.first[row] - total[:-1], n) + np.arange(total[-1])]
+            cuts = total[np.searchsorted(start, edges)]
+            out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in whole:
+            out[i] = np.asarray(encode_whole(self.tokenizer, [texts[i]])[0], dtype=self.dtype)
         return out
