@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows handled at a time inside a Python worker; bounds the Python copies of a batch's texts.
 SLICE_ROWS = 256
 #: Text bytes handled at a time inside a Python worker.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
