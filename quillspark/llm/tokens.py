@@ -25,8 +25,8 @@ MEMO = 1_500_000
 FRESH = 60_000
 #: Pieces that the library gets as one text.
 TOGETHER = 64
-#: Odd bases of the two hashes of a piece, modulo 2 ** 64, and their inverses.
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Odd base of the hash of a piece, modulo 2 ** 64.
+_BASE = 0x9E3779B97F4A7C15
 
 
 def default_path() -> str:
@@ -79,8 +79,8 @@ class PieceEncoder:
     """Ids of whole texts as arrays of ``dtype``.
 
     Texts are cut at stable boundaries and the library encodes each piece the first time a worker meets it, so the ids are those of the whole
-    text. Pieces are known by two 64-bit polynomial hashes of their bytes and found in sorted arrays. Texts with unusual white space or special
-    strings, and texts with a piece whose hashes disagree, are encoded whole.
+    text. Pieces are known by a 64-bit polynomial hash of their bytes, with their length and first bytes as a check, and found in sorted arrays. Texts
+    with unusual white space or special strings, and texts with a piece that fails the check, are encoded whole.
     """
 
     def __init__(self, path: str, dtype: str = "<u2"):
@@ -91,19 +91,21 @@ class PieceEncoder:
         self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.widths[list(vocabulary.values())] = list(map(len, vocabulary))  # byte-level: a character for each byte
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.powers = [_Powers(b) for b in _BASES]
+        self.powers = _Powers(_BASE)
         self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]  # sorted hashes and rows: merged ones, fresh ones
         self.second, self.met = np.zeros(0, np.uint64), np.zeros(0, np.uint16)  # by row
         self.flat, self.first, self.used = np.zeros(1 << 16, self.dtype), np.zeros(1, np.int64), 0
 
-    def _hashes(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for powers in self.powers:
-            up, down = powers(len(buf) + 1)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)])
-            h = (total[end] - total[start]) * down[start]
-            out.append(h ^ (h >> np.uint64(32)))
-        return out
+    def _hashes(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit polynomial hash of each piece's bytes; its length with its first four bytes."""
+        up, down = self.powers(len(buf) + 1)
+        total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf + np.uint64(1)) * up[: len(buf)], out=total[1:])
+        h = (total[end] - total[start]) * down[start]
+        four = np.concatenate([buf, np.zeros(4, np.uint8)])
+        size = end - start
+        first = sum(np.where(size > k, four[start + k], 0).astype(np.uint64) << np.uint64(8 * k) for k in range(4))
+        return h ^ (h >> np.uint64(32)), size.astype(np.uint64) << np.uint64(32) | first
 
     def _rows(self, keys: np.ndarray) -> np.ndarray:
         """Rows of distinct keys; -1 for those not known."""
