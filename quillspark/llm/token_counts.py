@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import ship, slices
-from quillspark.llm.tokens import CUT, EXOTIC, default_path, encode_whole, load
+from quillspark.llm.tokens import CUT, EXOTIC, PieceEncoder, default_path, load
 
 #: Longer texts are encoded in overlapping chunks of this many characters.
 CHUNK_CHARS = 32_768
@@ -87,10 +87,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, limit: int
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
+        encoder = PieceEncoder(path, "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             huge = [len(t) > chunk and not EXOTIC.search(t) for t in texts]
-            plain = iter(encode_whole(tokenizer, [t for t, h in zip(texts, huge, strict=True) if not h]))
+            plain = iter(encoder.encode([t for t, h in zip(texts, huge, strict=True) if not h]))
             n = [count_huge(tokenizer, t, chunk, overlap) if h else len(next(plain)) for t, h in zip(texts, huge, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64())],
