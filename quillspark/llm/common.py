@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows handled at a time inside a Python worker; bounds the Python copies of a batch's texts.
 SLICE_ROWS = 256
+#: Rows that Spark puts into one Arrow batch, instead of its default of 10,000: texts are long, and each batch is held by the JVM and the worker.
+ARROW_ROWS, _ROWS_KEY = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Text bytes handled at a time inside a Python worker.
 SLICE_BYTES = 2 << 20
 
@@ -31,7 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
+    """Send this package to the executors' Python workers, once for each application, and keep Arrow batches small.
+
+    A session that has its own batch size keeps it.
+    """
+    if spark.conf.get(_ROWS_KEY, "10000") == "10000":
+        spark.conf.set(_ROWS_KEY, ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if getattr(ship, "done", None) == app:
         return
