@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import langid, pii, quality, secrets
+from quillspark.llm import langid, oracles, pii, quality, secrets
 from quillspark.llm.ann import nearest
 from quillspark.llm.decontaminate import leaks
 from quillspark.llm.mixing import mix
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mix_sources": oracles.MIX, "op10_ngram_join": oracles.NGRAM_JOIN}
