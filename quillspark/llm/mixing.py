@@ -15,6 +15,8 @@ MOST = 3
 DAMPING = 0.25
 #: Ranks are cut into BINS, and the bin that holds the threshold into BINS again, so that no task sorts a whole source.
 BINS = 1024
+#: Documents that fill, the largest that fits first, what the last rank taken leaves of a target.
+FILLS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,7 +35,7 @@ def _filled(df: DataFrame, by: list[str], order: list[str], total: Column, cap:
     """
     w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
     before, rest = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
-    level = F.greatest(total - F.coalesce(F.sum(cap).over(before), F.lit(0.0)), F.lit(0.0)) / F.sum(unit).over(rest)
+    level = F.coalesce(F.try_divide(F.greatest(total - F.coalesce(F.sum(cap).over(before), F.lit(0.0)), F.lit(0.0)), F.sum(unit).over(rest)), F.lit(0.0))
     own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     df = df.withColumns({"_cap": cap, "_unit": unit}).withColumns({"_at": F.row_number().over(w), "_left": level})
     df = df.withColumn("_c", F.min(F.when(F.col("_cap") >= F.col("_left") * F.col("_unit"), F.struct("_at", "_left"))).over(own))
@@ -96,9 +98,23 @@ def plan(keyed: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFram
     taken = fits.groupBy("_null", "_src").agg(F.max(F.struct("_q", "doc_id", "_tie")).alias("_last"), F.max(F.col("_before") + F.col("_size")).alias("_used"))
     bins = first.drop("_room_in").join(second, ["_null", "_src"], "left").join(taken, ["_null", "_src"], "left")
     bins = written(bins.withColumn("_gap", F.col("_room_in") - F.coalesce("_used", F.lit(0))).select("_null", "_src", "_b_at", "_bb_at", "_last", "_gap"), "mix-ranks")
-    others = ranked.join(bins, ["_null", "_src"]).filter(~_inside() & (F.col("_size") <= F.col("_gap")))
-    fill = others.groupBy("_null", "_src").agg(F.max(F.struct("_size", "_q", "doc_id", "_tie")).alias("_fill"))
-    return levels, written(bins.join(fill, ["_null", "_src"], "left").drop("_gap"), "mix-fill")
+    for k in range(FILLS):
+        others = ranked.join(bins, ["_null", "_src"]).filter(~_inside() & ~_filled_up(k) & (F.col("_size") <= F.col("_gap")))
+        fill = others.groupBy("_null", "_src").agg(F.max(_key("_size")).alias(f"_fill{k}"))
+        bins = written(bins.join(fill, ["_null", "_src"], "left").withColumn("_gap", F.col("_gap") - F.coalesce(F.col(f"_fill{k}._size"), F.lit(0))), "mix-fill")
+    return levels, bins.drop("_gap")
+
+
+def _key(*first: str) -> Column:
+    return F.struct(*first, "_q", "doc_id", "_tie")
+
+
+def _filled_up(rounds: int) -> Column:
+    """True for documents that filled a gap in one of the first rounds."""
+    out = F.lit(False)
+    for k in range(rounds):
+        out = out | F.coalesce(_key("_size") == F.col(f"_fill{k}"), F.lit(False))
+    return out
 
 
 def _inside() -> Column:
@@ -112,8 +128,7 @@ def apply(keyed: DataFrame, levels: DataFrame, ranks: DataFrame) -> DataFrame:
     """Add _copies, source_size and target to every row. The two tables have a row for each source (and level); they are broadcast only below Spark's size limit."""
     keyed = keyed.withColumns({"_null": F.col("source").isNull(), "_src": F.coalesce("source", F.lit(""))})
     df = _rank(keyed.join(levels, ["_null", "_src", "_level"], "left")).join(ranks, ["_null", "_src"], "left")
-    filled = F.coalesce(F.struct("_size", "_q", "doc_id", "_tie") == F.col("_fill"), F.lit(False))
-    extra = F.when(F.col("_q").isNotNull() & (_inside() | filled), 1).otherwise(0)
+    extra = F.when(F.col("_q").isNotNull() & (_inside() | _filled_up(FILLS)), 1).otherwise(0)
     return df.withColumn("_copies", F.coalesce("_whole", F.lit(0)) + extra)
 
 
@@ -123,8 +138,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 0) -> D
     size counts words (null text: 0). Sources in code point order, null last, get ``weights``, repeating; together they
     share all words; a target stops at MOST times its source and the rest is shared anew. Within a source, expected
     copies fall with size and stop at MOST; their whole part is taken for certain, their fraction is the inclusion odds of a
-    Pareto sample: the documents with the least (random odds / inclusion odds) are taken while the target holds them, and the
-    largest other document that fits fills what is left. Rows that repeat a doc_id and text share one rank and so one fate. Other columns are ignored; empty input
+    Pareto sample: the documents with the least (random odds / inclusion odds) are taken while the target holds them, and
+    FILLS others, the largest that fits first, fill what is left. Rows that repeat a doc_id and text share one rank and so one fate. Other columns are ignored; empty input
     gives no rows.
     """
     keyed = with_keys(docs.select("doc_id", "text", F.col("source").cast("string").alias("source")), seed)

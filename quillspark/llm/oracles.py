@@ -36,7 +36,10 @@ q0 as (select k.*, whole, room, case when pi > 0 then (u / (1 - u)) / (pi / (1 -
 q as (select *, odds / (1 + odds) as q from q0),
 f0 as (select *, case when q is not null then sum(size) over (partition by nul, src order by q, doc_id, tie rows unbounded preceding) end as upto from q),
 f as (select *, coalesce(upto <= room, false) as inside, room - coalesce(max(case when upto <= room then upto end) over (partition by nul, src), 0) as gap, coalesce(bool_or(upto > room) over (partition by nul, src), false) as full_up from f0),
-x as (select *, row_number() over (partition by nul, src, (q is not null and not inside and size <= gap) order by size desc, q desc, doc_id desc, tie desc) as best from f)
-select doc_id, size::bigint as size, source_size, target, size * (whole + copies1)::bigint as taken, (whole + copies1)::bigint as copies
-from (select *, case when q is not null and (inside or (full_up and size <= gap and best = 1)) then 1 else 0 end as copies1 from x) join s using (nul, src)
+f1 as (select *, case when q is not null and not inside and full_up then gap end as gap0, false as in0 from f),
+""" + "".join(f'''
+x{k} as (select *, row_number() over (partition by nul, src, coalesce(not in{k} and size <= gap{k}, false) order by size desc, q desc, doc_id desc, tie desc) = 1 and coalesce(not in{k} and size <= gap{k}, false) as pick{k} from f{k + 1}),
+f{k + 2} as (select *, in{k} or pick{k} as in{k + 1}, gap{k} - coalesce(max(case when pick{k} then size end) over (partition by nul, src), 0) as gap{k + 1} from x{k}),''' for k in range(3)) + r"""
+y as (select *, case when q is not null and (inside or in3) then 1 else 0 end as copies1 from f4)
+select doc_id, size::bigint as size, source_size, target, size * (whole + copies1)::bigint as taken, (whole + copies1)::bigint as copies from y join s using (nul, src)
 """
