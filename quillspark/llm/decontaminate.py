@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillspark.llm.common import ship, slices
+from quillspark.llm.common import ship, slices, tidy
 
 Q = 10
 #: A pattern's part of the item, and the edits it may have for each of its characters.
@@ -170,7 +170,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "edits", "start", "end"])
 
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+        found = docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
         out = found if out is None else out.union(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -185,5 +185,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 bad = {n for n, *_ in _leaks(index, batch.column("text").to_pylist())}
                 yield batch.filter(pa.array([n not in bad for n in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ship, slices
+from quillspark.llm.common import ship, slices, tidy
 
 #: Bytes of a window; filters of each width; widths of the filters.
 WINDOW, FILTERS, WIDTHS = 128, 16, (2, 3, 4)
@@ -153,7 +153,7 @@ def train(docs: DataFrame) -> Model:
                     out[1].append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.string())], ["w", "lang"])
 
-    found = picked.mapInArrow(cut, "w binary, lang string").limit(2 * TRAIN_DOCS * TRAIN_WINDOWS * len(langs)).toArrow()
+    found = picked.mapInArrow(tidy(cut), "w binary, lang string").limit(2 * TRAIN_DOCS * TRAIN_WINDOWS * len(langs)).toArrow()
     pairs = sorted(zip(found.column("lang").to_pylist(), found.column("w").to_pylist(), strict=True))  # the order of arrival is not fixed
     if not pairs:
         return Model([], [], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
@@ -176,5 +176,5 @@ def identify(docs: DataFrame) -> DataFrame:
             langs, scores = model.predict(batch.column("text").to_pylist(), pairs)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    out = docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ship, slices, written
+from quillspark.llm.common import ship, slices, tidy, written
 from quillspark.llm.components import components
 
 #: Share of a set that the first bound asks to be found twice, beyond what the size bound leaves out.
@@ -118,7 +118,7 @@ def _sketches(docs: DataFrame, words: int, t: float) -> DataFrame:
                 ["doc_id", "n", "key", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, key long, prefix array<long>")
 
 
 def _first_bound(sketches: DataFrame, t: float) -> DataFrame:
@@ -153,7 +153,7 @@ def _first_bound(sketches: DataFrame, t: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(c, pa.int64())], ["key", "c"])
 
     entries = sketches.select("key", F.explode("prefix").alias("h"))
-    shared = entries.repartition("h").sortWithinPartitions("h", "key").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    shared = entries.repartition("h").sortWithinPartitions("h", "key").mapInArrow(tidy(run), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
     sizes = sketches.filter("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("row"))
     # prefixes that leave room for e n-grams more than the size bound share e of them; the smaller partner has t * n n-grams at least
     least = F.greatest(F.lit(1), F.ceil(EXTRA * t * F.col("n") - 1e-9))
@@ -186,7 +186,7 @@ def _row_sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([_key(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(sets))], ["row", "key", "grams"])
 
     source = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("row"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)).alias("at"), "text")
-    found = source.mapInArrow(run, "row long, key long, grams array<long>")
+    found = source.mapInArrow(tidy(run), "row long, key long, grams array<long>")
     return found.join(rows, ["row", "key"]).dropDuplicates(["row"]).select("row", "n", "grams")
 
 
@@ -244,8 +244,8 @@ def _columns(sets: DataFrame, t: float) -> DataFrame:
 
     names = ["g", "row", "n", "df"]
     entries = sets.select("row", "n", F.explode("grams").alias("g")).repartition("g").sortWithinPartitions("g")
-    common = entries.mapInArrow(rarity, "g long, row long, n long, df int")
-    kept = common.repartition("row").sortWithinPartitions("row", "df", "g").mapInArrow(bound, "g long, row long, n long, s long")
+    common = entries.mapInArrow(tidy(rarity), "g long, row long, n long, df int")
+    kept = common.repartition("row").sortWithinPartitions("row", "df", "g").mapInArrow(tidy(bound), "g long, row long, n long, s long")
     return kept
 
 
@@ -260,7 +260,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
     right = sets.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    return pairs.join(right, "b").join(left, "a").mapInArrow(run, "a long, b long, na long, nb long, both long")
+    return pairs.join(right, "b").join(left, "a").mapInArrow(tidy(run), "a long, b long, na long, nb long, both long")
 
 
 def _possible(n: Column, s: Column, m: Column, z: Column, t: float) -> Column:
@@ -342,7 +342,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
                 at = batch.column("at").to_numpy()
                 yield batch.filter(pa.array(((held[at // 8] >> (at % 8).astype(np.uint8)) & 1 == 1) == wanted))
 
-        return docs.select(row, at.alias("at")).mapInArrow(run, schema)
+        return docs.select(row, at.alias("at")).mapInArrow(tidy(run), schema)
 
     null = F.col("row.doc_id").isNull()
     doubtful = split(True).filter(~null).withColumn("id", F.col("row.doc_id").cast("long"))

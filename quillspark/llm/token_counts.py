@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ship, slices
+from quillspark.llm.common import ship, slices, tidy
 from quillspark.llm.tokens import CUT, EXOTIC, PieceEncoder, default_path, load
 
 #: Longer texts are encoded in overlapping chunks of this many characters.
@@ -98,4 +98,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, limit: int
                 ["doc_id", "n_bytes", "n_tokens"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(counts, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return docs.select("doc_id", "text").mapInArrow(tidy(counts), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import forget, shared_dir, ship, slices, written
+from quillspark.llm.common import forget, shared_dir, ship, slices, tidy, written
 from quillspark.llm.rans import Block, Table, encode_block
 from quillspark.llm.tokens import PieceEncoder, default_path, load
 
@@ -62,10 +62,10 @@ def _tokenised(docs: DataFrame, path: str, end_id: int | None, bounds: list[floa
     schema = "bucket int, doc_id long, tie long, n long, ids binary"
     return (
         docs.select("doc_id", "text")
-        .mapInArrow(encode, schema)
+        .mapInArrow(tidy(encode), schema)
         .repartition(len(bounds) + 1, "bucket")
         .sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie")
-        .mapInArrow(number, f"{schema}, before long")
+        .mapInArrow(tidy(number), f"{schema}, before long")
     )
 
 
@@ -85,7 +85,7 @@ def _table(rows: DataFrame, size: int, dtype: str) -> Table:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    found = rows.select("ids").mapInArrow(counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    found = rows.select("ids").mapInArrow(tidy(counts), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(size, np.int64)
     for r in found:
         total[r["id"]] = r["n"]
@@ -134,7 +134,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str | None = None,
         if held:
             yield close()
 
-    rows.select("bucket", "doc_id", "before", "ids").mapInArrow(blocks, "start long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    rows.select("bucket", "doc_id", "before", "ids").mapInArrow(tidy(blocks), "start long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
     forget(rows)
     return path
 
@@ -154,7 +154,7 @@ def read_blocks(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
-    return spark.read.parquet(f"{path}/blocks").select("block").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return spark.read.parquet(f"{path}/blocks").select("block").mapInArrow(tidy(decode), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def token_output(docs: DataFrame, path: str | None = None, tokenizer_path: str | None = None, end_id: int | None = 2) -> DataFrame:
