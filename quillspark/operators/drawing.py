@@ -213,29 +213,39 @@ def classify(items: DataFrame, text: str = "text") -> DataFrame:
     Columns of ``items`` with those names are replaced. Steps that later ones use again stay projections of their own.
     """
     names = [m for m, _ in MATCHERS]
-    t, n, c, m, body, rest = (F.col(k) for k in ("_t", "_n", "_c", "_m", "_body", "_rest"))
-    df = items.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumns({"_n": js.collapsed(F.regexp_replace(t, f"\\+{S}/{S}-", "±")), "_c": F.replace(js.collapsed(t), F.lit("×"), F.lit("X"))})
-    chosen = F.when(~js.not_blank(t), -1)
-    for k, found in enumerate(_conditions(t, n, c).values()):
-        chosen = chosen.when(found, k)
-    df = df.withColumn("_m", chosen.otherwise(-1))
-    of = lambda name: m == names.index(name)
-    df = df.withColumns({
-        "_body": F.when(of("diameter"), js.trim(F.regexp_extract(n, DIAMETER, 1))).when(of("radius"), js.trim(F.regexp_extract(n, RADIUS, 1))).when(of("dimension"), n),
-        "_rest": F.when(of("feature"), js.trim(F.regexp_extract(js.collapsed(t), FEATURE, 2))),
-    })
-    fields = _fields(t, n, c, body, rest)
-    fields["none"] = {"type": F.lit("unclassified"), "spec": js.trim(t)}
-    names.append("none")
-    columns = {"category": F.element_at(F.array(*[F.lit(x) for _, x in MATCHERS], F.lit("unclassified")), F.when(m < 0, len(MATCHERS) + 1).otherwise(m + 1))}
-    for field, kind in {"type": "string", **FIELDS}.items():
-        value = None
-        for name in names:
-            if field in fields[name]:
-                value = (F if value is None else value).when(m == (-1 if name == "none" else names.index(name)), fields[name][field])
-        columns[field] = value.cast(kind)
-    return df.withColumns(columns).drop("_t", "_n", "_c", "_m", "_body", "_rest")
+
+    def matcher(x: Column) -> Column:
+        chosen = F.when(~js.not_blank(x["t"]), -1)
+        for k, found in enumerate(_conditions(x["t"], x["n"], x["c"]).values()):
+            chosen = chosen.when(found, k)
+        return F.struct(*[x[k].alias(k) for k in ("t", "n", "c")], chosen.otherwise(-1).alias("m"))
+
+    def parts(x: Column) -> Column:
+        of = lambda name: x["m"] == names.index(name)
+        body = F.when(of("diameter"), js.trim(F.regexp_extract(x["n"], DIAMETER, 1))).when(of("radius"), js.trim(F.regexp_extract(x["n"], RADIUS, 1))).when(of("dimension"), x["n"])
+        rest = F.when(of("feature"), js.trim(F.regexp_extract(js.collapsed(x["t"]), FEATURE, 2)))
+        return F.struct(*[x[k].alias(k) for k in ("t", "n", "c", "m")], body.alias("body"), rest.alias("rest"))
+
+    def parsed(x: Column) -> Column:
+        fields = _fields(x["t"], x["n"], x["c"], x["body"], x["rest"]) | {"none": {"type": F.lit("unclassified"), "spec": js.trim(x["t"])}}
+        columns = []
+        for field, kind in {"type": "string", **FIELDS}.items():
+            value = None
+            for name, own in fields.items():
+                if field in own:
+                    value = (F if value is None else value).when(x["m"] == (-1 if name == "none" else names.index(name)), own[field])
+            columns.append(value.cast(kind).alias(field))
+        return F.struct(*columns)
+
+    # Each step is a lambda over an array of one row: Spark evaluates those as they are, where one generated method for all patterns
+    # would be too large for the JVM to compile.
+    t = F.coalesce(F.col(text), F.lit(""))
+    named = F.struct(t.alias("t"), js.collapsed(F.regexp_replace(t, f"\\+{S}/{S}-", "±")).alias("n"), F.replace(js.collapsed(t), F.lit("×"), F.lit("X")).alias("c"))
+    df = items.withColumn("_m", F.transform(F.array(named), matcher))
+    m = F.col("_m")[0]["m"]
+    category = F.element_at(F.array(*[F.lit(x) for _, x in MATCHERS], F.lit("unclassified")), F.when(m < 0, len(MATCHERS) + 1).otherwise(m + 1))
+    df = df.withColumns({"category": category, "_f": F.transform(F.transform("_m", parts), parsed)[0]})
+    return df.withColumns({k: F.col(f"_f.{k}") for k in ("type", *FIELDS)}).drop("_m", "_f")
 
 
 def with_bbox(items: DataFrame) -> DataFrame:

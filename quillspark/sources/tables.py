@@ -48,5 +48,5 @@ def drawing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("doc_id"), seq.alias("seq"), (F.pmod("l_suppkey", F.lit(2)) + 1).cast("int").alias("page"), text.alias("text"),
         (F.pmod("l_partkey", F.lit(3)) * 10).cast("double").alias("x"), (seq * 12).cast("double").alias("y"), F.lit(30.0).alias("width"), F.lit(10.0).alias("height"),
-        F.when(F.pmod("l_suppkey", F.lit(2)) == 0, "pdf_text").otherwise("paddleocr").alias("source"), F.when(F.pmod("l_suppkey", F.lit(2)) == 1, F.col("l_linenumber") / 10).alias("confidence"),
+        F.when(F.pmod("l_suppkey", F.lit(2)) == 0, "pdf_text").otherwise("ocr").alias("source"), F.when(F.pmod("l_suppkey", F.lit(2)) == 1, F.col("l_linenumber") / 10).alias("confidence"),
     )
