@@ -1,182 +1,126 @@
-"""Approximate nearest neighbours by cosine with a hash-prefix forest (LSH forest).
+"""Nearest neighbours by cosine: every vector is scored for every query, in products of blocks.
 
-Each tree writes a vector as a long string of digits: digit j names the vertex of a cross-polytope, under the tree's j-th random rotation, that
-is nearest to the vector. Per tree the strings form one sorted array, cut into ranges that are searched side by side. A query descends
-to the longest prefix and ascends in all trees at once until enough rows share a prefix with it; at the level reached it also
-looks below the next best value of the last digit. At the root, all rows are searched. Rows found are scored coarsely where they lie and
-the best of all trees exactly.
+Queries are taken in blocks of a fixed size, a scan of the vectors each. A task multiplies its vectors with a block in single precision and
+keeps, of each query, the best exact scores so far. A product leaves a pair only if it is below a query's last best by more than the error that
+single precision can have (:func:`error`); all others are scored in double precision where they lie. So no count limits what is scored exactly,
+and results are those of comparing all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cached_property
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ship, written
+from quillspark.llm.common import ship, tidy, written
 
-#: Trees; values of the last digit looked below; rows that a query must share prefixes with before it stops ascending.
-TREES, PROBES, ENOUGH = 24, 2, 1_500
-#: Rows that fix ranges and levels: a sample of at most this size goes to the driver. Every row is indexed.
-SAMPLE = 20_000
-#: Rows of a range, on average. Best rows that a range keeps of each query, and that are scored exactly.
-RANGE_ROWS, COARSE, EXACT = 20_000, 16, 48
-#: Bits of a digit and of a string; bits after the digits come from the id, so that equal strings can be cut apart.
-DIGIT, BITS = 7, 62
+#: Bytes of a block of queries in double precision. Numbers of a product held at once, and of the pairs scored exactly at once.
+BLOCK_BYTES, PRODUCT, PAIRS = 8 << 20, 4 << 20, 1 << 20
 
 
-@dataclass
-class Forest:
-    dim: int
-    digits: int
-    rows: int
-    sample: list[np.ndarray]
-    seed: int = 17
-
-    @cached_property
-    def rotations(self) -> list[list[np.ndarray]]:
-        rng, m = np.random.default_rng(self.seed), min(self.dim, 1 << (DIGIT - 1))
-        return [[np.linalg.qr(rng.normal(size=(self.dim, m)))[0].astype(np.float32) for _ in range(self.digits)] for _ in range(TREES)]
-
-    @cached_property
-    def bounds(self) -> list[np.ndarray]:
-        """Of each tree, strings at which its sorted array is cut."""
-        n = max(1, self.rows // RANGE_ROWS)
-        return [np.unique(s[(np.arange(1, n) * len(s)) // n]) if len(s) else s for s in self.sample]
-
-    def strings(self, unit: np.ndarray, ids: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
-        """The strings, and for each digit the other values in order of nearness (PROBES of them, the string's own first)."""
-        tie = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS + DIGIT * self.digits)
-        out, near = tie.astype(np.int64), np.zeros((len(ids), self.digits, PROBES), np.int64)
-        for j, r in enumerate(self.rotations[tree]):
-            p = unit @ r
-            both = np.empty((len(p), 2 * p.shape[1]), np.float32)
-            both[:, 0::2], both[:, 1::2] = p, -p
-            first = both.argmax(1)
-            near[:, j, 0] = first
-            for k in range(1, min(PROBES, both.shape[1])):
-                both[np.arange(len(p)), near[:, j, k - 1]] = -np.inf
-                near[:, j, k] = both.argmax(1)
-            out |= first.astype(np.int64) << (BITS - DIGIT * (j + 1))
-        return out, near
-
-    def ranges(self, strings: list[np.ndarray], near: list[np.ndarray], q: int) -> list[tuple[int, int, int]]:
-        """(tree, from, below) of the query in row q: its prefixes at the level at which all trees together hold ENOUGH rows."""
-        scale = self.rows / max(1, len(self.sample[0]))
-        for level in range(self.digits, 0, -1):
-            shift, found, total = BITS - DIGIT * level, [], 0.0
-            for t in range(TREES):
-                prefix = int(strings[t][q]) >> shift
-                for k in range(PROBES):
-                    one = (prefix >> DIGIT << DIGIT) | int(near[t][q, level - 1, k])
-                    lo, hi = one << shift, (one + 1) << shift
-                    found.append((t, lo, hi))
-                    total += scale * (np.searchsorted(self.sample[t], hi) - np.searchsorted(self.sample[t], lo))
-            if total >= ENOUGH:
-                return found
-        return [(0, 0, 1 << BITS)]  # the root: one tree has all rows
-
-
-def _bytes(unit: np.ndarray) -> list[bytes]:
-    """Eight bits for each component, after a scale: for coarse scores only."""
-    scale = np.abs(unit).max(1) / 127
-    q = np.round(unit / scale[:, None]).astype(np.int8)
-    return [s.tobytes() + r.tobytes() for s, r in zip(scale.astype(np.float32), q, strict=True)]
-
-
-def _units(column: pa.Array, dim: int) -> np.ndarray:
-    x = column.flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+def error(dim: int) -> float:
+    """A bound of the difference between a single-precision product of two unit vectors and their cosine, in any order of summation.
+
+    Rounding both vectors to single precision costs 2 units u = 2^-24 of sum |x y| <= 1, products and sums dim * u / (1 - dim * u); numbers that
+    vanish in single precision at most dim * 2^-126. This is more than twice as much, which covers the double precision of the scores too.
+    """
+    return 2.0 * (dim + 8) * 2.0**-24 / max(0.5, 1 - dim * 2.0**-24)
+
+
+def _scaled(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors by their largest component, which changes no cosine, so that squares neither overflow nor vanish; and their lengths."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     x = x / np.abs(x).max(1, keepdims=True)
-    return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
+    return x, np.sqrt((x * x).sum(1))
+
 
+def _unit(x: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return (x / length[:, None]).astype(np.float32)
 
-def _spread(forest: Forest):
-    """Rows of each tree's ranges: kind 1 has a vector's string, kind 0 a query's prefix, once for each range that it meets."""
+
+@dataclass
+class Best:
+    """The ``keep`` best (score, cid) of each query of a block; places not filled yet score -inf."""
+
+    x: np.ndarray
+    length: np.ndarray
+    keep: int
+    unit: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        self.unit = _unit(self.x, self.length)
+        self.score = np.full((len(self.x), self.keep), -np.inf)
+        self.cid = np.full((len(self.x), self.keep), np.iinfo(np.int64).max)
+        self.slack = error(self.x.shape[1])
+
+    def add(self, cid: np.ndarray, x: np.ndarray, length: np.ndarray) -> None:
+        unit, step = _unit(x, length), max(1, PRODUCT // max(1, len(x)))
+        for a in range(0, len(self.x), step):
+            product = self.unit[a : a + step] @ unit.T
+            least = self.score[a : a + step, -1] - self.slack
+            if np.isneginf(least).any() and len(x) > self.keep:
+                # exact scores of this block's own best are not far below their products
+                least = np.maximum(least, -np.partition(-product, self.keep - 1, axis=1)[:, self.keep - 1] - 2 * self.slack)
+            # rounded up, the bound would lose pairs
+            q, v = np.nonzero(product >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None])
+            # whole queries at a time, as a query's pairs are next to each other
+            for part in np.split(np.arange(len(q)), np.arange(PAIRS, len(q), PAIRS)) if len(q) else []:
+                self._merge(q[part] + a, cid[v[part]], self._exact(q[part] + a, v[part], x, length))
+
+    def _exact(self, q: np.ndarray, v: np.ndarray, x: np.ndarray, length: np.ndarray) -> np.ndarray:
+        out, step = np.empty(len(q)), max(1, PRODUCT // x.shape[1])
+        for a in range(0, len(q), step):
+            i, j = q[a : a + step], v[a : a + step]
+            out[a : a + step] = (x[j] * self.x[i]).sum(1) / (length[j] * self.length[i])
+        return out
+
+    def _merge(self, q: np.ndarray, cid: np.ndarray, score: np.ndarray) -> None:
+        met = np.unique(q)
+        q = np.concatenate([np.repeat(met, self.keep), q])
+        cid, score = np.concatenate([self.cid[met].ravel(), cid]), np.concatenate([self.score[met].ravel(), score])
+        order = np.lexsort((cid, -score, q))
+        q = q[order]
+        first = np.searchsorted(q, met)
+        top = order[(first[:, None] + np.arange(self.keep)).ravel()]
+        self.cid[met], self.score[met] = cid[top].reshape(-1, self.keep), score[top].reshape(-1, self.keep)
+
+
+def _search(ids: np.ndarray, x: np.ndarray, length: np.ndarray, keep: int):
+    """q, cid, score: of each query (its id in ``ids``) the best of a task's vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                ids, unit = batch.column("cid").to_numpy(), _units(batch.column("e"), forest.dim)
-                packed, queries = np.array([*_bytes(unit), b""], object)[:-1], np.flatnonzero(batch.column("asked").to_numpy(zero_copy_only=False))
-                made = [forest.strings(unit, ids, t) for t in range(TREES)]
-                strings, near = [m[0] for m in made], [m[1] for m in made]
-                rows = [(t, np.searchsorted(forest.bounds[t], s, side="right"), 1, ids, s, s, packed) for t, s in enumerate(strings)]
-                for q in queries:
-                    for t, lo, hi in forest.ranges(strings, near, q):
-                        a, b = np.searchsorted(forest.bounds[t], [lo, hi - 1], side="right")
-                        n = int(b - a) + 1
-                        rows.append((t, np.arange(a, b + 1), 0, np.full(n, ids[q]), np.full(n, lo), np.full(n, hi), np.array([packed[q], b""], object)[[0] * n]))
-                sizes = [len(r[1]) for r in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([r[0] for r in rows], sizes), pa.int32()), pa.array(np.concatenate([r[1] for r in rows]), pa.int32()), pa.array(np.repeat([r[2] for r in rows], sizes), pa.int32())]
-                    + [pa.array(np.concatenate([r[k] for r in rows]), pa.int64()) for k in (3, 4, 5)]
-                    + [pa.array(np.concatenate([r[6] for r in rows]).tolist(), pa.binary())],
-                    ["tree", "range", "kind", "cid", "lo", "hi", "v"],
-                )
+        best = Best(x, length, keep)
+        for batch in batches:
+            if batch.num_rows:
+                best.add(batch.column("cid").to_numpy(), *_scaled(batch.column("e"), x.shape[1]))
+        q, k = np.nonzero(np.isfinite(best.score))
+        for a in range(0, len(q), 1 << 16):
+            i, j = q[a : a + (1 << 16)], k[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(best.cid[i, j], pa.int64()), pa.array(best.score[i, j])], ["q", "cid", "score"])
 
     return run
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by tree, range, kind, lo: a range's queries come first and its vectors stream past them."""
-
-    def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-        return np.ascontiguousarray(raw[:, 4:]).view(np.int8).astype(np.float32), np.ascontiguousarray(raw[:, :4]).view(np.float32)[:, 0]
-
-    def result() -> pa.RecordBatch:
-        rows = [(q, c, s) for q, c, s in zip(asked["id"], best_id, best_score, strict=True) if len(c)]
-        n = [len(c) for _, c, _ in rows]
-        flat = lambda k, t: np.concatenate([r[k] for r in rows]).astype(t) if rows else np.zeros(0, t)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([r[0] for r in rows], np.int64), n)), pa.array(flat(1, np.int64)), pa.array(flat(2, np.float32))], ["q", "cid", "coarse"])
-
-    now, asked, best_id, best_score = None, None, [], []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        tree, rng, kind = (batch.column(k).to_numpy() for k in ("tree", "range", "kind"))
-        ids, lo, hi = (batch.column(k).to_numpy() for k in ("cid", "lo", "hi"))
-        group = np.flatnonzero((np.diff(tree) != 0) | (np.diff(rng) != 0) | (np.diff(kind) != 0)) + 1
-        for a, b in zip([0, *group], [*group, batch.num_rows], strict=True):
-            if now != (tree[a], rng[a]):
-                if asked is not None:
-                    yield result()
-                now, asked, best_id, best_score = (tree[a], rng[a]), None, [], []
-            x, scale = unpack(batch.column("v").slice(a, b - a))
-            if kind[a] == 0:
-                part = {"id": ids[a:b], "lo": lo[a:b], "hi": hi[a:b], "x": x, "scale": scale}
-                asked = part if asked is None else {k: np.concatenate([asked[k], part[k]]) for k in part}
-                best_id += [np.zeros(0, np.int64)] * (b - a)
-                best_score += [np.zeros(0, np.float32)] * (b - a)
-            elif asked is not None:
-                first, last = np.searchsorted(lo[a:b], asked["lo"]), np.searchsorted(lo[a:b], asked["hi"])
-                for q in np.flatnonzero(last > first):
-                    f, e = first[q], last[q]
-                    s = np.concatenate([best_score[q], (x[f:e] @ asked["x"][q]) * (scale[f:e] * asked["scale"][q])])
-                    c = np.concatenate([best_id[q], ids[a + f : a + e]])
-                    if len(s) > COARSE:
-                        top = np.argpartition(-s, COARSE)[:COARSE]
-                        s, c = s[top], c[top]
-                    best_id[q], best_score[q] = c, s
-    if asked is not None:
-        yield result()
-
-
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2048):
-            batch = whole.slice(at, 2048)
-            x, y = (batch.column(k).flatten().to_numpy().reshape(batch.num_rows, -1) for k in ("e", "qe"))
-            # components are scaled by their largest, which changes no cosine, so that squares neither overflow nor vanish
-            x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
-            s = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("cid"), batch.column("ids"), pa.array(s)], ["q", "cid", "ids", "score"])
+def _blocks(asked: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and lengths of the queries (cid, e), in blocks; the driver holds no more than a block and a partition of them."""
+    ids, rows = [], []
+    step = max(1, BLOCK_BYTES // (8 * dim))
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(ids, np.int64), *_scaled(pa.array(rows, pa.list_(pa.float64())), dim)
+
+    for r in asked.toLocalIterator():
+        ids.append(r["cid"])
+        rows.append(np.array(r["e"], np.float64))
+        if len(ids) == step:
+            yield block()
+            ids, rows = [], []
+    if ids:
+        yield block()
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
@@ -206,24 +150,16 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     classes = classes.withColumn("cid", F.col("ids")[0])
     asked_classes = asked.select("h", "e").distinct().withColumn("asked", F.lit(True))
     classes = written(classes.join(asked_classes, ["h", "e"], "left").withColumn("asked", F.coalesce("asked", F.lit(False))), "ann-classes")
-    n = classes.count()
-
-    share = min(1.0, 0.9 * SAMPLE / n)
-    sample = classes.filter(F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(1_000_000)) < int(1e6 * share)).select("cid", "e").limit(SAMPLE).toArrow()
-    forest = Forest(dim, max(2, int(np.ceil(np.log(max(2, n / 100)) / np.log(2 * min(dim, 64))))), n, [np.zeros(0, np.int64)] * TREES)
-    forest.digits = min(forest.digits, 6)
-    if sample.num_rows:
-        unit, ids = _units(sample.column("e").combine_chunks(), dim), sample.column("cid").to_numpy()
-        forest.sample = [np.sort(forest.strings(unit, ids, t)[0]) for t in range(TREES)]
-    del forest.__dict__["rotations"]  # each worker makes them anew
-
-    spread = classes.select("cid", "e", "asked").mapInArrow(_spread(forest), "tree int, range int, kind int, cid long, lo long, hi long, v binary")
-    spread = spread.repartition("tree", "range").sortWithinPartitions("tree", "range", "kind", "lo")
-    found = spread.mapInArrow(_search, "q long, cid long, coarse float").groupBy("q", "cid").agg(F.max("coarse").alias("coarse"))
-    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("coarse"), "cid"))).filter(F.col("_r") <= EXACT).select("q", "cid")
-    pairs = best.join(classes.select("cid", "e", "ids"), "cid").join(classes.filter("asked").select(F.col("cid").alias("q"), F.col("e").alias("qe")), "q")
-    scored = pairs.select("q", "cid", "ids", "e", "qe").mapInArrow(_exact, "q long, cid long, ids array<long>, score double")
-    top = scored.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cid"))).filter(F.col("_r") <= k + 1).select("q", "ids", "score")
+
+    # own class included, k + 1 classes hold all that can be reported
+    found = None
+    for ids, x, length in _blocks(classes.filter("asked").select("cid", "e"), dim):
+        part = classes.select("cid", "e").mapInArrow(tidy(_search(ids, x, length, k + 1)), "q long, cid long, score double")
+        found = part if found is None else found.union(part)
+    if found is None:
+        return spark.createDataFrame([], schema)
+    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cid"))).filter(F.col("_r") <= k + 1)
+    top = best.join(classes.select("cid", "ids"), "cid").select("q", "ids", "score")
 
     own = asked.join(classes.select("h", "e", F.col("cid").alias("q")), ["h", "e"]).select(F.col("vec_id").alias("query_id"), "q")
     out = own.join(top, "q").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import ann, decontaminate, ngram_join
@@ -201,3 +202,24 @@ def test_nearest_recall(spark):
     want = nearest_by_brute([(r["vec_id"], r["embedding"]) for r in rows], 50, 5)
     hit = sum(r["vec_id"] in {v for v, _ in want[r["query_id"]]} for r in ann.nearest(df).collect())
     assert hit >= 0.9 * 5 * len(want)
+
+
+def assert_nearest(spark, x, sampled=None):
+    """ids 0.. of float32 rows ``x``: the result is that of comparing all pairs (of ``sampled`` queries)."""
+    got = {}
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sorted(got) == list(range(0, len(x), 50)) and all(len(v) == 5 for v in got.values())
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for q in sorted(got)[:: max(1, len(got) // (sampled or len(got)))]:
+        s = u @ u[q]
+        s[q] = -2
+        top = np.argpartition(-s, 5)[:5]
+        assert got[q] == top[np.lexsort((top, -s[top]))].tolist(), q
+
+
+@pytest.mark.parametrize("n", [5_000, 30_000, 310_000])
+def test_nearest_at_sizes(spark, n):
+    assert_nearest(spark, np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32), 200)
