@@ -223,3 +223,23 @@ def assert_nearest(spark, x, sampled=None):
 @pytest.mark.parametrize("n", [5_000, 30_000, 310_000])
 def test_nearest_at_sizes(spark, n):
     assert_nearest(spark, np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32), 200)
+
+
+def test_nearest_among_near_copies(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(3, 64))
+    x = np.concatenate([base[0] + 0.03 * rng.normal(size=(4_000, 64)), base[1] + 1e-4 * rng.normal(size=(2_000, 64)), base[2] + rng.normal(size=(200, 64))])
+    assert_nearest(spark, rng.permutation(x).astype(np.float32))
+
+
+def test_nearest_keeps_what_single_precision_cannot_order():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 24))
+    x[:400] = x[0] + 1e-6 * x[:400]  # cosines differ by less than the products' errors
+    cid = np.arange(len(x))
+    length = np.sqrt((x * x).sum(1))
+    best = ann.Best(x[:20], length[:20], 6)
+    for part in np.array_split(np.arange(len(x)), 7):
+        best.add(cid[part], x[part], length[part])
+    s = np.array([(x * q).sum(1) / (length * n) for q, n in zip(x[:20], length, strict=False)])
+    assert best.cid.tolist() == [np.lexsort((cid, -row))[:6].tolist() for row in s]
