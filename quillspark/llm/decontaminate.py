@@ -70,6 +70,7 @@ class Index:
         self.least = np.full(len(self.texts), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.patterns[:, 0], self.patterns[:, 4])
         self.band = int(self.patterns[:, 3].max(initial=0)) + 1
+        self.ahead = max(map(len, self.texts), default=0) + self.band  # no diagonal or band is that far below 0
         self.shift = np.uint64(64 - max(16, min(24, int(np.ceil(np.log2(len(self.hashes) + 1))) + 5)))
         self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
         self.seen[(self.hashes * _K2) >> self.shift] = True
@@ -86,11 +87,11 @@ class Index:
         n = self.count[row]
         post = np.repeat(self.first[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         item, diagonal = self.items[post], np.repeat(at, n) - self.places[post]
-        low = (diagonal + len(buf)) // self.band  # diagonals may be below 0 at the start
+        low = (diagonal + self.ahead) // self.band  # diagonals may be below 0 at the start
         key = np.concatenate([item << 40 | low, item << 40 | (low - 1)])
         key, found = np.unique(key, return_counts=True)
         key = key[found >= self.least[key >> 40]]
-        return [(int(x >> 40), int(x & ((1 << 40) - 1)) * self.band - len(buf)) for x in key]
+        return [(int(x >> 40), int(x & ((1 << 40) - 1)) * self.band - self.ahead) for x in key]
 
     def align(self, buf: np.ndarray, found: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
         """(item, edits, start, end) of each pattern that lies in its band within its edits."""

@@ -160,6 +160,16 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert decontaminate.leaks(ddf.limit(0), bdf).count() == 0
 
 
+def test_texts_shorter_than_the_items():
+    rng = random.Random(9)
+    items = ["".join(rng.choice("etaoinshr ") for _ in range(n)) for n in (900, 200, 300)]
+    index = decontaminate.Index([0, 1, 2], [t.encode() for t in items])
+    for text in (items[2][-120:], items[1][-100:], items[0][-80:], items[0][-5:], ""):
+        assert all(items[i][-len(text) :] == text for _, i, *_ in decontaminate._leaks(index, [text]))
+    got = list(decontaminate._leaks(index, [items[0][-700:]]))
+    assert [g[:3] for g in got] == [(0, 0, 0)]
+
+
 def nearest_by_brute(vectors, every, k):
     ids = np.array([v for v, _ in vectors])
     x = np.array([e for _, e in vectors], np.float64)
