@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import written
-from quillspark.llm.decontaminate import clean
+from quillspark.llm.decontaminate import EXCERPTS, clean
 from quillspark.llm.mixing import mixed
 from quillspark.llm.ngram_join import one_of_each
 from quillspark.llm.quality import kept
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no item of the benchmark."""
-    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), EXCERPTS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

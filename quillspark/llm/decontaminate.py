@@ -1,14 +1,16 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Each benchmark item gives four patterns: windows of COVER of its length, at thirds of what is left over. A document leaks an item if one of its
-patterns lies in the text within EDITS of the pattern's length, in single-character edits. A pattern of m characters within k edits shares at least
-m + 1 - q * (k + 1) of its q-grams with its region, on diagonals that differ by k at most; so q-grams are counted in overlapping
-diagonal bands, and only bands that reach that number are aligned.
+Each benchmark item gives patterns, parts of it at several places, after a rule. A document leaks an item if one of its patterns lies in the
+text within a share of the pattern's length, in single-character edits. The rule PARTS takes four windows of COVER of the item; EXCERPTS takes
+windows of at most WINDOW bytes, so close that every excerpt of half of the item, of SHORT * 9 / 8 bytes in short items and of
+WINDOW * 9 / 8 bytes in long ones, holds one whole. A pattern of m characters within k edits shares at least m + 1 - q * (k + 1) of its q-grams
+with its region, on diagonals that differ by k at most; so q-grams are counted in overlapping diagonal bands, and only bands that reach that
+number are aligned. An item's windows are looked for in stretches, so that what is counted and aligned does not grow with the item.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +22,8 @@ from quillspark.llm.common import ship, slices, tidy
 Q = 10
 #: A pattern's part of the item, and the edits it may have for each of its characters.
 COVER, EDITS = 0.7, 0.06
+#: Of EXCERPTS: q, edits for each character, bytes of a window at most, and of one that may be more than HALF of its item.
+EXCERPT_Q, EXCERPT_EDITS, WINDOW, SHORT, HALF = 7, 0.12, 80, 40, 0.44
 #: Bytes of benchmark text that one scan looks for; a larger benchmark is split and scanned for in turn.
 BLOCK_BYTES = 16 << 20
 #: Case and white space are ignored: same length, so that places stay. Fixed values.
@@ -29,9 +33,9 @@ _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 TOGETHER = 512
 
 
-def _grams(buf: np.ndarray) -> np.ndarray:
-    """A hash of the Q bytes that start at each place of ``buf``."""
-    n = len(buf) - Q + 1
+def _grams(buf: np.ndarray, q: int = Q) -> np.ndarray:
+    """A hash of the ``q`` bytes, 16 at most, that start at each place of ``buf``."""
+    n = len(buf) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     raw = np.concatenate([buf, np.zeros(16, np.uint8)]).tobytes()
@@ -39,29 +43,63 @@ def _grams(buf: np.ndarray) -> np.ndarray:
     for o in range(8):
         part = np.frombuffer(raw, "<u8", len(eight) // 8, o)
         eight[o::8] = part
-    h = eight[:n] * _K1 + eight[Q - 8 : n + Q - 8] * _K2
+    h = eight[:n] * _K1 + eight[q - 8 : n + q - 8] * _K2 if q >= 8 else (eight[:n] & np.uint64((1 << 8 * q) - 1)) * _K1
     return h ^ (h >> np.uint64(31))
 
 
+def _thirds(n: int, size: int) -> set[int]:
+    return {(n - size) * s // 3 for s in range(4)}
+
+
+def _parts(n: int) -> tuple[int, list[list[int]]]:
+    size = max(Q, int(np.ceil(COVER * n)))
+    return size, [sorted(_thirds(n, size))]
+
+
+def _excerpts(n: int) -> tuple[int, list[list[int]]]:
+    size = max(Q, min(WINDOW, max(min(SHORT, int(np.ceil(COVER * n))), int(np.ceil(HALF * n)))))
+    starts = sorted({*range(0, n - size + 1, max(1, size // 8)), *_thirds(n, size)})
+    cuts = np.flatnonzero(np.diff(np.array(starts) // size)) + 1
+    return size, [part.tolist() for part in np.split(np.array(starts), cuts)]
+
+
+@dataclass(frozen=True)
+class Rule:
+    """``windows`` gives, for an item of n bytes, the bytes of its patterns, and by stretches where they start."""
+
+    q: int
+    edits: float
+    windows: Callable[[int], tuple[int, list[list[int]]]]
+
+
+PARTS, EXCERPTS = Rule(Q, EDITS, _parts), Rule(EXCERPT_Q, EXCERPT_EDITS, _excerpts)
+
+
 @dataclass
 class Index:
-    """Patterns and postings of some items; what a task needs, bounded by BLOCK_BYTES."""
+    """Patterns and postings of some items' stretches; what a task needs, bounded by BLOCK_BYTES."""
 
     item_ids: list[int | None]
-    texts: list[bytes]
+    items_text: list[bytes]
+    rule: Rule = PARTS
 
     def __post_init__(self):
-        hashes, items, places, rows = [], [], [], []
-        for i, t in enumerate(self.texts):
-            h = _grams(np.frombuffer(t, np.uint8))
-            hashes.append(h)
-            items.append(np.full(len(h), i, np.int64))
-            places.append(np.arange(len(h)))
-            size = max(Q, int(np.ceil(COVER * len(t))))
+        hashes, items, places, rows, q = [], [], [], [], self.rule.q
+        self.texts, self.owner = [], []
+        for o, t in enumerate(self.items_text):
             if len(t) < Q:
                 continue
-            k = min(int(EDITS * size), (size - Q) // Q)
-            rows += [(i, a, size, k, size + 1 - Q * (k + 1)) for a in sorted({(len(t) - size) * s // 3 for s in range(4)})]
+            size, stretches = self.rule.windows(len(t))
+            k = min(int(self.rule.edits * size), (size - q) // q)
+            for starts in stretches:
+                i, one = len(self.texts), t[starts[0] : starts[-1] + size]
+                self.texts.append(one)
+                self.owner.append(o)
+                h = _grams(np.frombuffer(one, np.uint8), q)
+                hashes.append(h)
+                items.append(np.full(len(h), i, np.int64))
+                places.append(np.arange(len(h)))
+                rows += [(i, a - starts[0], size, k, size + 1 - q * (k + 1)) for a in starts]
         self.patterns = np.array(rows, np.int64).reshape(-1, 5)
         h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         order = np.argsort(h, kind="stable")
@@ -74,11 +112,11 @@ class Index:
         self.shift = np.uint64(64 - max(16, min(24, int(np.ceil(np.log2(len(self.hashes) + 1))) + 5)))
         self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
         self.seen[(self.hashes * _K2) >> self.shift] = True
-        self.by_item = {int(i): self.patterns[self.patterns[:, 0] == i] for i in np.unique(self.patterns[:, 0])}
+        self.own = np.searchsorted(self.patterns[:, 0], np.arange(len(self.texts) + 1))
 
     def bands(self, buf: np.ndarray) -> list[tuple[int, int]]:
-        """(item, band) with enough shared q-grams; band b holds the diagonals from b * width to (b + 2) * width."""
-        h = _grams(buf)
+        """(stretch, band) with enough shared q-grams; band b holds the diagonals from b * width to (b + 2) * width."""
+        h = _grams(buf, self.rule.q)
         at = np.flatnonzero(self.seen[(h * _K2) >> self.shift])
         row = np.searchsorted(self.hashes, h[at])
         row[row == len(self.hashes)] = 0
@@ -94,8 +132,8 @@ class Index:
         return [(int(x >> 40), int(x & ((1 << 40) - 1)) * self.band - self.ahead) for x in key]
 
     def align(self, buf: np.ndarray, found: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
-        """(item, edits, start, end) of each pattern that lies in its band within its edits."""
-        work = [(i, d, *p[1:4]) for i, d in found for p in self.by_item[i].tolist()]
+        """(stretch, edits, start, end) of each pattern that lies in its band within its edits."""
+        work = [(i, d, *p[1:4]) for i, d in found for p in self.patterns[self.own[i] : self.own[i + 1]].tolist()]
         work.sort(key=lambda w: w[3])
         for c in range(0, len(work), TOGETHER):
             part = work[c : c + TOGETHER]
@@ -123,18 +161,22 @@ class Index:
                     yield i, int(best[r]), max(0, end - m), end
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the benchmark (item_id, text), each of at most about BLOCK_BYTES of text; items shorter than Q bytes can't be looked for."""
+def indexes(benchmark: DataFrame, rule: Rule = PARTS) -> Iterator[Index]:
+    """Indexes of the benchmark (item_id, text), each of at most about BLOCK_BYTES of stretches; items shorter than Q bytes can't be looked for."""
     ids, texts, size = [], [], 0
     for r in benchmark.select("item_id", "text").filter("text is not null").toLocalIterator():
         ids.append(r["item_id"])
         texts.append(r["text"].encode().translate(_FOLD))
-        size += len(texts[-1])
+        n = len(texts[-1])
+        if n >= Q:
+            pattern, stretches = rule.windows(n)
+            n = sum(s[-1] + pattern - s[0] for s in stretches)
+        size += n
         if size >= BLOCK_BYTES:
-            yield Index(ids, texts)
+            yield Index(ids, texts, rule)
             ids, texts, size = [], [], 0
     if texts:
-        yield Index(ids, texts)
+        yield Index(ids, texts, rule)
 
 
 def _leaks(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -143,7 +185,8 @@ def _leaks(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, in
     first = np.cumsum([0, *[len(r) + 1 for r in raws]])
     buf = np.frombuffer(b"\0".join(raws) + b"\0", np.uint8)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for item, edits, start, end in index.align(buf, index.bands(buf)):
+    for stretch, edits, start, end in index.align(buf, index.bands(buf)):
+        item = index.owner[stretch]
         n = int(np.searchsorted(first, (start + end) // 2, side="right")) - 1
         one = (edits, max(0, start - int(first[n])), min(len(raws[n]), end - int(first[n])))
         best[n, item] = min(best.get((n, item), one), one)
@@ -151,15 +194,15 @@ def _leaks(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, in
         yield n, item, edits, start, end
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, edits, start, end: a row for each document of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) that it leaks.
+def leaks(docs: DataFrame, benchmark: DataFrame, rule: Rule = PARTS) -> DataFrame:
+    """doc_id, item_id, edits, start, end: a row for each document of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) that it leaks by ``rule``.
 
     Places are code points of the region that matches one of the item's patterns best. Null and empty texts leak nothing, nor do null items
     or those under Q bytes; a null doc_id is reported as null; repeated rows are reported each. Other columns are ignored.
     """
     ship(docs.sparkSession)
     out, schema = None, "doc_id long, item_id long, edits int, start long, end long"
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, rule):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
@@ -176,10 +219,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs``, with their columns, that leak no item; no shuffle."""
+def clean(docs: DataFrame, benchmark: DataFrame, rule: Rule = PARTS) -> DataFrame:
+    """Rows of ``docs``, with their columns, that leak no item by ``rule``; no shuffle."""
     ship(docs.sparkSession)
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, rule):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):

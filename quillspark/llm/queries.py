@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import langid, oracles, pii, quality, secrets
 from quillspark.llm.ann import nearest
-from quillspark.llm.decontaminate import leaks
+from quillspark.llm.decontaminate import EXCERPTS, leaks
 from quillspark.llm.mixing import mix
 from quillspark.llm.ngram_join import ngram_components
 from quillspark.llm.token_counts import count_tokens
@@ -36,7 +36,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), EXCERPTS)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,6 +170,55 @@ def test_texts_shorter_than_the_items():
     assert [g[:3] for g in got] == [(0, 0, 0)]
 
 
+def shares(item, text, size):
+    return any(item[a : a + size] in text for a in range(len(item) - size + 1))
+
+
+def test_excerpts_and_edited_words_leak():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    items = [some(rng.randint(12, 70)) for _ in range(16)] + ["ten chars!", "short", some(400)]
+    texts, sure = [], []
+    for i, t in enumerate(items[:16]):
+        for share in (0.5, 0.6, 0.67, 0.75):
+            size = int(np.ceil(share * len(t)))
+            at = rng.randint(0, len(t) - size)
+            texts.append(some(rng.randint(0, 20)) + t[at : at + size].upper() + some(rng.randint(0, 20)))
+        words = t.split()
+        for first in (0, 5, 9):
+            texts.append(some(5) + " ".join(w if (k - first) % 10 else word() for k, w in enumerate(words)) + some(5))
+            sure.append((len(texts) - 1, i))
+        texts.append(some(60))
+    texts += [some(30) + items[18][1000:1090] + some(30), "ten  chars!", "some TEN CHARS! here", "short"]
+    found = {(n, i) for n, i, *_ in decontaminate._leaks(decontaminate.Index(list(range(len(items))), [t.encode() for t in items], decontaminate.EXCERPTS), texts)}
+    assert {(n, i) for n, i in sure if len(items[i].split()) >= 20} <= found
+    assert (len(texts) - 4, 18) in found and (len(texts) - 2, 16) in found
+    for n, t in enumerate(texts):
+        for i, item in enumerate(items):
+            if (n, i) not in found and len(item) > 80:
+                assert not shares(item, t.lower(), int(np.ceil(min(90, max(45, len(item) / 2))))), (n, i)
+    for n, i in found - {(len(texts) - 2, 16)}:
+        size = min(80, max(40, int(np.ceil(0.44 * len(items[i])))))
+        assert any(distance_in(items[i][a : a + size], texts[n].lower()) <= 0.12 * size for a in range(len(items[i]) - size + 1)), (n, i)
+
+
+def test_excerpts_find_what_parts_find():
+    rng = random.Random(12)
+    items = ["".join(rng.choice("etaoinshr ") for _ in range(n)) for n in (10, 14, 25, 41, 56, 57, 58, 70, 90, 120, 181, 229, 260, 400, 1200)]
+    texts = []
+    for t in items * 30:
+        size = int(np.ceil(rng.uniform(0.7, 1) * len(t)))
+        at = rng.randint(0, len(t) - size)
+        part = list(t[at : at + size])
+        for _ in range(rng.randint(0, int(0.07 * size))):
+            p = rng.randrange(len(part))
+            part[p : p + rng.randint(0, 1)] = rng.choice(["", "x", "xy"])
+        texts.append("".join(rng.choice("etaoinshr ") for _ in range(60)) + "".join(part))
+    found = [{(n, i) for n, i, *_ in decontaminate._leaks(decontaminate.Index(list(range(len(items))), [t.encode() for t in items], r), texts)} for r in (decontaminate.PARTS, decontaminate.EXCERPTS)]
+    assert len(found[0]) > 150 and found[0] <= found[1]
+
+
 def nearest_by_brute(vectors, every, k):
     ids = np.array([v for v, _ in vectors])
     x = np.array([e for _, e in vectors], np.float64)
