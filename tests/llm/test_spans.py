@@ -86,3 +86,12 @@ def test_repeated_rows_and_null_ids(spark):
     assert [r["n_assign"] for r in secrets.digest(secrets.scan(df)).collect()] == [1, 1, 1]
     assert [r["n_email"] for r in pii.digest(pii.scan(df)).collect()] == [1, 1, 1]
     assert pii.scan(df).filter("doc_id is null").count() == 1
+
+
+def test_spelled_addresses_are_reported(spark):
+    alone = [(1, "ask john [at] example [dot] com today", "x")]
+    rows = alone + [(2, "a_b(at)host(dot)org", "x"), (3, "mail me@x.org or 12 34 56 78 90", "x"), (4, "look [at] this", "x"), (5, "1 2 3 4 5 6 7 8", "x")]
+    for some in (alone, rows):
+        got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.scan(spark.createDataFrame(some, SCHEMA))).collect()}
+        assert got[1] == "maybe_spelled:4:31"
+    assert "maybe_spelled:0:19" in got[2] and "spelled" not in got[3] + got[4] + got[5]
