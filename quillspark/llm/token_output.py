@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import forget, shared_dir, ship, slices, tidy, written
@@ -17,56 +17,49 @@ from quillspark.llm.tokens import PieceEncoder, default_path, load
 
 #: Ids in a block, more only where one document has more.
 BLOCK_IDS = 1 << 19
-#: Ranges of doc_id that are written side by side: one for so many rows, at most so many in all (bounds what the driver holds).
-RANGE_ROWS, MAX_RANGES = 4_000, 4_096
+#: Bytes of text in one of the ranges that are written side by side; there are as many as the texts need.
+RANGE_BYTES = 64 << 20
+#: Ranges whose counts one task sums up.
+GROUP = 4096
 
 
-def _ranges(docs: DataFrame) -> list[float]:
-    """Bounds that split the rows into ranges of doc_id of about equal size."""
-    n = min(MAX_RANGES, docs.count() // RANGE_ROWS + 1)
-    if n == 1:
-        return []
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [i / n for i in range(1, n)], min(0.01, 0.2 / n))
-    return sorted(set(found))
+def _tokenised(docs: DataFrame, path: str, end_id: int | None, range_bytes: int) -> DataFrame:
+    """bucket, doc_id, n, before (ids before it in its bucket), ids (compressed), in order; buckets follow each other in order of doc_id.
 
-
-def _tokenised(docs: DataFrame, path: str, end_id: int | None, bounds: list[float]) -> DataFrame:
-    """bucket, doc_id, tie, n, before (ids before it in its bucket), ids (compressed), sorted within files."""
+    Ranges are of (doc_id, hash of the text, place in the input), so that neither a doc_id nor a row that repeats often lies in one of them alone.
+    """
     size = load(path).get_vocab_size()
     dtype = "<u2" if size <= 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pack = PieceEncoder(path, dtype), zstandard.ZstdCompressor(level=1)
-        end = np.array([] if end_id is None else [end_id], dtype)
+        encoder, pack, total = PieceEncoder(path, dtype), zstandard.ZstdCompressor(level=1), 0
+        end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
         for batch in slices(batches):
-            ids = [np.concatenate([x, end]) for x in encoder.encode(batch.column("text").to_pylist())]
-            raw = [x.tobytes() for x in ids]
-            doc_id = batch.column("doc_id").cast(pa.int64())
-            where = np.searchsorted(np.array(bounds, np.float64), doc_id.to_numpy(zero_copy_only=False).astype(np.float64), side="right")
-            where = np.where(doc_id.is_null().to_numpy(zero_copy_only=False), 0, where)
+            raw = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
+            n = np.array([len(x) for x in raw]) // np.dtype(dtype).itemsize
+            before, total = total + np.cumsum(n) - n, total + int(n.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(where, pa.int32()), doc_id, pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack.compress(x) for x in raw], pa.binary())],
-                ["bucket", "doc_id", "tie", "n", "ids"],
+                [batch.column("bucket"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(before, pa.int64()), pa.array([pack.compress(x) for x in raw], pa.binary())],
+                ["bucket", "doc_id", "n", "before", "ids"],
             )
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total = None, 0
-        for batch in batches:
-            before = []
-            for b, n in zip(batch.column("bucket").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                last, total = b, total if b == last else 0
-                before.append(total)
-                total += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64())], [*batch.schema.names, "before"])
-
-    schema = "bucket int, doc_id long, tie long, n long, ids binary"
-    return (
-        docs.select("doc_id", "text")
-        .mapInArrow(tidy(encode), schema)
-        .repartition(len(bounds) + 1, "bucket")
-        .sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "tie")
-        .mapInArrow(tidy(number), f"{schema}, before long")
-    )
+    total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
+    order = [F.col("doc_id").asc_nulls_first(), "h", "at"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at"), "text")
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("bucket"), "doc_id", "text")
+    return rows.mapInArrow(tidy(encode), "bucket int, doc_id long, n long, before long, ids binary")
+
+
+def _ranges(rows: DataFrame) -> DataFrame:
+    """bucket, base: the ids of all buckets before it, summed up in groups of buckets and over the groups."""
+    group = F.floor(F.col("bucket") / GROUP).alias("g")
+    totals = rows.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", group, "n")
+    inside = F.sum("n").over(Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    groups = totals.groupBy("g").agg(F.sum("n").alias("n"))
+    ahead = groups.select("g", F.sum("n").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)).alias("ahead"))  # a row for GROUP ranges
+    zero = F.lit(0).cast("long")
+    return totals.select("bucket", "g", inside.alias("inside")).join(ahead, "g").select("bucket", (F.coalesce("inside", zero) + F.coalesce("ahead", zero)).alias("base"))
 
 
 def _unpack(batch: pa.RecordBatch, dtype: str) -> list[np.ndarray]:
@@ -92,25 +85,21 @@ def _table(rows: DataFrame, size: int, dtype: str) -> Table:
     return Table.from_counts(total)
 
 
-def write_blocks(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int | None = 2) -> str:
+def write_blocks(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int | None = 2, range_bytes: int = RANGE_BYTES) -> str:
     """Tokenise every row of ``docs`` (doc_id, text) and write blocks under ``path``; returns ``path``.
 
-    ``path/blocks`` holds rows (start, block) and ``path/table`` the frequency table, both in Spark's own container,
-    so any store that Spark writes will do and a lost executor's tasks are simply run again. Documents come in ascending doc_id
-    order, null doc_ids first, repeated doc_ids in order of a checksum of their ids. Null and empty texts have only the end id
-    (none, if ``end_id`` is None). Rows that share one doc_id stay in one range.
+    ``path/blocks`` holds rows (bucket, block), ``path/ranges`` where each bucket's ids begin and ``path/table`` the frequency table, all in Spark's own
+    container, so any store that Spark writes will do and a lost executor's tasks are simply run again. Documents come in ascending doc_id
+    order, null doc_ids first, repeated doc_ids in order of a hash of their texts. Null and empty texts have only the end id
+    (none, if ``end_id`` is None). A very long text is one row: a task holds its ids. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     tokenizer_path = tokenizer_path or default_path()
     size = load(tokenizer_path).get_vocab_size()
     dtype = "<u2" if size <= 1 << 16 else "<u4"
-    bounds = _ranges(docs)
-    rows = written(_tokenised(docs, tokenizer_path, end_id, bounds), "token-ids", compression="none")
-    base, total = {}, 0
-    for r in sorted(rows.groupBy("bucket").agg(F.sum("n").alias("n")).collect()):  # MAX_RANGES rows at most
-        base[r["bucket"]] = total
-        total += r["n"]
+    rows = written(_tokenised(docs, tokenizer_path, end_id, range_bytes), "token-ids", compression="none")
+    _ranges(rows).write.parquet(f"{path}/ranges")
     raw = _table(rows, size, dtype).to_bytes()
     spark.createDataFrame([(raw,)], "freq binary").coalesce(1).write.parquet(f"{path}/table")
 
@@ -119,9 +108,8 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str | None = None,
 
         def close() -> pa.RecordBatch:
             bucket, _, before, _ = held[0]
-            start = base[bucket] + before
-            block = encode_block(table, np.concatenate([x[3] for x in held]), [x[1] for x in held], [len(x[3]) for x in held], start)
-            return pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), pa.array([block], pa.binary())], ["start", "block"])
+            block = encode_block(table, np.concatenate([x[3] for x in held]), [x[1] for x in held], [len(x[3]) for x in held], before)
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.binary())], ["bucket", "block"])
 
         for batch in slices(batches, "ids"):
             for row in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("before").to_pylist(), _unpack(batch, dtype), strict=True):
@@ -134,7 +122,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str | None = None,
         if held:
             yield close()
 
-    rows.select("bucket", "doc_id", "before", "ids").mapInArrow(tidy(blocks), "start long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    rows.select("bucket", "doc_id", "before", "ids").mapInArrow(tidy(blocks), "bucket int, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
     forget(rows)
     return path
 
@@ -147,14 +135,17 @@ def read_blocks(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table.from_bytes(raw)
         for batch in slices(batches, "block", 1):
-            for block in map(Block, batch.column("block").to_pylist()):
-                found = [(d, s, len(x), zlib.crc32(np.ascontiguousarray(x, "<u4")), x if with_ids else None) for d, s, x in block.documents(block.decode(table))]
+            for bucket, block in zip(batch.column("bucket").to_pylist(), map(Block, batch.column("block").to_pylist()), strict=True):
+                found = [(bucket, d, s, len(x), zlib.crc32(np.ascontiguousarray(x, "<u4")), x if with_ids else None) for d, s, x in block.documents(block.decode(table))]
                 columns = list(zip(*found, strict=True))
-                arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + ([pa.array([x.tolist() for x in columns[4]], pa.list_(pa.int32()))] if with_ids else [])
-                yield pa.RecordBatch.from_arrays(arrays, names)
-
-    names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
-    return spark.read.parquet(f"{path}/blocks").select("block").mapInArrow(tidy(decode), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+                arrays = [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:5])]
+                yield pa.RecordBatch.from_arrays(arrays + ([pa.array([x.tolist() for x in columns[5]], pa.list_(pa.int32()))] if with_ids else []), names)
+
+    names = ["bucket", "doc_id", "before", "n_tokens", "ids_crc32", *["ids"] * with_ids]
+    schema = "bucket int, doc_id long, before long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    found = spark.read.parquet(f"{path}/blocks").select("bucket", "block").mapInArrow(tidy(decode), schema)
+    start = (F.col("base") + F.col("before")).alias("start")
+    return found.join(spark.read.parquet(f"{path}/ranges"), "bucket").select("doc_id", start, "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def token_output(docs: DataFrame, path: str | None = None, tokenizer_path: str | None = None, end_id: int | None = 2) -> DataFrame:

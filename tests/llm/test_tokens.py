@@ -7,11 +7,11 @@ import numpy as np
 import pytest
 
 from quillspark.llm.rans import Block, Table, encode_block
-from quillspark.llm.token_counts import count_huge, count_tokens
+from quillspark.llm.token_counts import count_tokens, counts
 from quillspark.llm.token_output import read_blocks, token_output, write_blocks
-from quillspark.llm.tokens import PieceEncoder, default_path, encode_whole, load
+from quillspark.llm.tokens import PieceEncoder, default_path, encode_whole, load, widths
 
-PARTS = [" ", "  ", "\n", "\n\n", "'s", "<|endoftext|>", "ab", "é1", "!", "\t", "\r", "\xa0", "\x1c", " ", "　", "\x85", "x", "日本", "12"]
+PARTS = [" ", "  ", "\n", "\n\n", "'s", "<|endoftext|>", "ab", "é1", "!", "\t", "\r", "\xa0", "\x1c", " ", "　", "\x85", "x", "日本", "12", "a.", "1,"]
 SCHEMA = "doc_id long, text string, start string"
 
 
@@ -20,30 +20,49 @@ def texts(n, seed=1, most=40):
     return ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, most))) for _ in range(n)]
 
 
+def lists(encoded):
+    return [np.frombuffer(x, "<u2").tolist() for x in encoded]
+
+
 def test_pieces_equal_whole_texts(monkeypatch):
     from quillspark.llm import tokens
 
-    monkeypatch.setattr(tokens, "MEMO", 50)  # purged again and again
+    monkeypatch.setattr(tokens, "MEMO", 50)  # generations change again and again
     tokenizer, encoder = load(default_path()), PieceEncoder(default_path())
     for i in range(0, 1500, 50):
         some = [*texts(50, i), None]
-        assert [x.tolist() for x in encoder.encode(some)] == encode_whole(tokenizer, [t or "" for t in some])
+        assert lists(encoder.encode(some)) == encode_whole(tokenizer, [t or "" for t in some])
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(8, 2), (16, 1), (64, 16)])
-def test_chunks_splice_to_the_whole(chunk, overlap):
-    tokenizer = load(default_path())
-    from quillspark.llm.tokens import EXOTIC
+def colliding():
+    """Two words that every polynomial hash modulo a power of two takes for one."""
+    return ["zzzz" + "".join(pair[bin(i).count("1") % 2] for i in range(1024)) for pair in ("ab", "ba")]
 
-    for t in texts(600, 9, 120):
-        if not EXOTIC.search(t):
-            assert count_huge(tokenizer, t, chunk, overlap) == len(encode_whole(tokenizer, [t])[0]), repr(t)
+
+def test_words_of_equal_polynomial_hash():
+    assert lists(PieceEncoder(default_path()).encode(colliding())) == encode_whole(load(default_path()), colliding())
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(8, 2), (16, 1), (64, 16), (2048, 128)])
+def test_chunks_splice_to_the_whole(chunk, overlap):
+    tokenizer, some = load(default_path()), texts(600, 9, 120 if chunk < 100 else 9000)[: 600 if chunk < 100 else 20]
+    assert counts(tokenizer, widths(default_path()), some, chunk, overlap) == [len(x) for x in encode_whole(tokenizer, some)]
 
 
 def test_chunks_without_white_space():
     tokenizer = load(default_path())
-    for t in ("a" * 5000, "ab" * 3000 + " c", " ".join(["word"] * 4000)):
-        assert count_huge(tokenizer, t, 500, 10) == len(encode_whole(tokenizer, [t])[0])
+    some = ["a" * 5000, "ab" * 3000 + " c", " ".join(["word"] * 4000), "x\xa0y" * 900 + " b" * 900, "<|endoftext|>" * 700, *colliding(), "a b" + "c" * 5000 + " d" * 1200]
+    assert counts(tokenizer, widths(default_path()), some, 500, 10) == [len(x) for x in encode_whole(tokenizer, some)]
+
+
+def test_chunks_are_what_is_encoded(monkeypatch):
+    from quillspark.llm import token_counts
+
+    longest, whole = [], encode_whole
+    monkeypatch.setattr(token_counts, "encode_whole", lambda t, some: longest.extend(map(len, some)) or whole(t, some))
+    text = "some words, " * 20_000
+    assert token_counts.counts(load(default_path()), widths(default_path()), [text]) == [len(whole(load(default_path()), [text])[0])]
+    assert len(longest) > 100 and max(longest) <= token_counts.CHUNK_CHARS + token_counts.OVERLAP_CHARS
 
 
 def test_count_tokens(spark):
@@ -107,11 +126,31 @@ def test_token_output_of_nothing(spark):
     assert token_output(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_ranges_cover_all(spark, monkeypatch):
+@pytest.mark.parametrize("group", [1, 3, 4096])
+def test_ranges_cover_all(spark, monkeypatch, tmp_path, group):
     from quillspark.llm import token_output as module
 
-    monkeypatch.setattr(module, "RANGE_ROWS", 10)
+    monkeypatch.setattr(module, "GROUP", group)
     rows = [(i, f"text {i} " * (i % 5), "x") for i in range(100)]
-    got = token_output(spark.createDataFrame(rows, SCHEMA).repartition(7)).orderBy("doc_id").collect()
+    path = write_blocks(spark.createDataFrame(rows, SCHEMA).repartition(7), str(tmp_path / "out"), range_bytes=100)
+    assert spark.read.parquet(f"{path}/ranges").count() > 10
+    got = read_blocks(spark, path).orderBy("doc_id").collect()
     n = [len(x) + 1 for x in encode_whole(load(default_path()), [r[1] for r in rows])]
     assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in got] == [(i, sum(n[:i]), n[i]) for i in range(100)]
+
+
+def test_a_repeated_row_is_dealt_to_many_ranges(spark, tmp_path):
+    rows = [(7, "one text " * 30, "x")] * 200 + [(i, "word", "x") for i in range(5)]
+    path = write_blocks(spark.createDataFrame(rows, SCHEMA).repartition(6), str(tmp_path / "out"), range_bytes=2000)
+    sizes = sorted(r["n"] for r in spark.read.parquet(f"{path}/ranges").join(spark.read.parquet(f"{path}/blocks").groupBy("bucket").count().withColumnRenamed("count", "n"), "bucket").collect())
+    got = read_blocks(spark, path).orderBy("start").collect()
+    assert len(sizes) > 10 and len(got) == 205 and [r["doc_id"] for r in got] == sorted(r[0] for r in rows)
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:]))
+
+
+def test_long_texts_special_strings_and_unusual_white_space(spark):
+    some = [*colliding(), "word<|endoftext|>,\xa0 next " * 3000, "x\u3000 " * 2000, "tail \n" * 4000]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(some)], SCHEMA).coalesce(1)
+    ids = [[*x, 2] for x in encode_whole(load(default_path()), some)]
+    assert [r["n_tokens"] for r in count_tokens(docs).orderBy("doc_id").collect()] == [len(x) - 1 for x in ids]
+    assert [r["ids_crc32"] for r in token_output(docs).orderBy("doc_id").collect()] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
