@@ -2,8 +2,9 @@
 
 A candidate is a long run of token characters. Its encoding is inferred from its characters. Against the hypothesis that it is random in that encoding
 stand three tests: chi-squared uniformity of the alphabet, runs above and below the middle of the alphabet, and serial correlation. Against the
-hypothesis that it is ordinary text stands the number of equal pairs of characters, which text has many of. A candidate is reported if the battery does
-not reject randomness and the Benjamini-Hochberg procedure, in its class of lengths, rejects ordinary text. All of it is DataFrame expressions.
+hypothesis that it is ordinary text stands the number of equal pairs of characters, which text has many of. Both are decided by the Benjamini-Hochberg
+procedure in the candidate's class of lengths, over all candidates of the corpus: one is reported if randomness, by the battery's combined value, is
+not rejected and ordinary text is. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import written
-from quillspark.llm.spans import count_of, in_order, joined, matches, spans
+from quillspark.llm.spans import count_of, in_order, joined, let, matches, spans
 
 #: Formats looked for. Fixed values.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -36,8 +37,8 @@ ENCODINGS = [
     ("^[A-Za-z0-9]+$", _UP + _LOW + _DIG, 0.06),
     ("", _UP + _LOW + _DIG + "+/-_", 0.06),
 ]
-#: Lengths at which classes begin; share of false discoveries; odds below which the battery rejects randomness.
-LENGTHS, RATE, ALPHA = (20, 28, 36, 48, 64, 128), 0.01, 0.001
+#: Lengths at which classes begin; share of false discoveries; letters of the smallest alphabet of which secrets are reported.
+LENGTHS, RATE, SMALLEST = (20, 28, 36, 48, 64, 128), 0.01, 11
 #: -ln(p) is counted in steps of 1 / STEPS, up to TOP steps.
 STEPS, TOP = 10, 600
 
@@ -53,7 +54,7 @@ def _two_sided(z: Column) -> Column:
 
 
 def _tests(x: Column) -> Column:
-    """struct(start, end, class, step, random) of a candidate (m, start, end)."""
+    """struct(start, end, class, text, random, wide) of a candidate (m, start, end): steps of its values against ordinary text and against randomness."""
     body = F.regexp_replace(x["m"], "=+$", "")
     size = F.length(body).cast("double")
     pick = lambda k: _chain([(body.rlike(e[0]), F.lit(e[k])) for e in ENCODINGS[:-1]], F.lit(ENCODINGS[-1][k]))
@@ -78,12 +79,11 @@ def _tests(x: Column) -> Column:
         battery = 3 * F.least(1 - _phi(chi), _two_sided((runs - mean) / spread), _two_sided(serial))
         pairs, equal = n * (n - 1) / 2, (s["q"] - n) / 2
         p_text = _phi((equal - pairs * s["t"]) / F.sqrt(1.5 * pairs * s["t"] * (1 - s["t"])))
-        step = F.least(F.floor(-F.log(F.greatest(p_text, F.lit(1e-30))) * STEPS), F.lit(TOP)).cast("int")
+        steps_of = lambda p: F.least(F.floor(-F.log(F.greatest(p, F.lit(1e-30))) * STEPS), F.lit(TOP)).cast("int")
         length = sum((F.when(n >= b, 1).otherwise(0) for b in LENGTHS[1:]), F.lit(0))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), length.cast("int").alias("class"), step.alias("step"), ((battery >= ALPHA) & (k > 10)).alias("random"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), length.cast("int").alias("class"), steps_of(p_text).alias("text"), steps_of(F.least(battery, F.lit(1.0))).alias("random"), (k >= SMALLEST).alias("wide"))
 
-    # one-element arrays name what later steps use again
-    return F.transform(F.transform(F.transform(F.array(first), lambda s: s), more), result)[0]
+    return let(let(first, more), result)
 
 
 def _chain(cases: list[tuple[Column, Column]], last: Column) -> Column:
@@ -93,17 +93,19 @@ def _chain(cases: list[tuple[Column, Column]], last: Column) -> Column:
     return out.otherwise(last)
 
 
-def _thresholds(scanned: DataFrame) -> dict[int, int]:
-    """Of each class the least step that Benjamini-Hochberg rejects; from counts over all candidates, len(LENGTHS) * TOP rows at most."""
-    counts = scanned.select(F.explode("_found").alias("c")).groupBy("c.class", "c.step").count().collect()
-    out = {}
-    for k in range(len(LENGTHS)):
-        own = sorted(((r["step"], r["count"]) for r in counts if r["class"] == k), reverse=True)
-        total, below = sum(n for _, n in own), 0
-        for step, n in own:
-            below += n
-            if math.exp(-step / STEPS) <= RATE * below / total:
-                out[k] = step
+def _thresholds(scanned: DataFrame) -> dict[str, dict[int, int]]:
+    """Of each hypothesis and class the least step that is rejected; from counts over all candidates, 2 * len(LENGTHS) * TOP rows at most."""
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"c.{h}").alias("step")) for h in ("text", "random")]))
+    counts = scanned.select(F.explode("_found").alias("c")).select("c.class", each.alias("x")).groupBy("class", "x.h", "x.step").count().collect()
+    out: dict[str, dict[int, int]] = {"text": {}, "random": {}}
+    for h, found in out.items():
+        for k in range(len(LENGTHS)):
+            own = sorted(((r["step"], r["count"]) for r in counts if (r["h"], r["class"]) == (h, k)), reverse=True)
+            total, below = sum(n for _, n in own), 0
+            for step, n in own:
+                below += n
+                if math.exp(-step / STEPS) <= RATE * below / total:
+                    found[k] = step
     return out
 
 
@@ -111,7 +113,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base (array of kind, start, end) and found (the method's own) for every row of ``docs`` (doc_id, text).
 
     Places are code points, end exclusive. A null text counts as empty; a null doc_id stays null; repeated rows are scanned each; other columns
-    are ignored. Texts are read once; what they hold is written as a small table before thresholds are set over all of it.
+    are ignored. Texts are read once; what they hold is written as a small table before thresholds are set over all of it. Time and memory of a very
+    long text grow in proportion to its length and its matches.
     """
     text = F.coalesce("text", F.lit(""))
     assign = spans(matches(text, ASSIGN, 2), "assign", lambda x: F.length(x["g"]) >= LEAST["assign"])
@@ -119,9 +122,9 @@ def scan(docs: DataFrame) -> DataFrame:
     hexes = spans(matches(text, f"{HEX[:-1]}{{{LEAST['hex']},}}"), "hex", lambda x: F.lit(True))
     found = F.transform(matches(text, CANDIDATE), _tests)
     scanned = written(docs.select("doc_id", in_order(F.concat(assign, access, hexes), KINDS, True).alias("base"), found.alias("_found")), "secrets")
-    least = _thresholds(scanned)
-    cut = F.lit(TOP + 1)
-    picked = lambda c: c["random"] & (c["step"] >= _chain([(c["class"] == k, F.lit(v)) for k, v in least.items()], cut) if least else F.lit(False))
+    least = {h: {k: F.lit(v) for k, v in steps.items()} for h, steps in _thresholds(scanned).items()}
+    cut = lambda c, h: _chain([(c["class"] == k, least[h].get(k, F.lit(TOP + 1))) for k in range(len(LENGTHS))], F.lit(TOP + 1))
+    picked = lambda c: c["wide"] & (c["random"] < cut(c, "random")) & (c["text"] >= cut(c, "text"))
     own = F.transform(F.filter("_found", picked), lambda c: F.struct(F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return scanned.select("doc_id", "base", own.alias("found"))
 

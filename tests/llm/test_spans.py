@@ -1,8 +1,10 @@
 """Secret and personal-data scans against plain loops with ``re``."""
 
 import hashlib
+import math
 import random
 import re
+import time
 
 import numpy as np
 
@@ -95,3 +97,95 @@ def test_spelled_addresses_are_reported(spark):
         got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.scan(spark.createDataFrame(some, SCHEMA))).collect()}
         assert got[1] == "maybe_spelled:4:31"
     assert "maybe_spelled:0:19" in got[2] and "spelled" not in got[3] + got[4] + got[5]
+
+
+def phi(z):
+    z = max(-12.0, min(12.0, z))
+    return 1 / (1 + math.exp(-(1.5976 * z + 0.07056 * z**3)))
+
+
+def battery(m):
+    """(class, step against text, step against randomness, alphabet is wide) of a candidate, by loops."""
+    body = m.rstrip("=")
+    alphabet, rate = next((a, r) for p, a, r in secrets.ENCODINGS if re.search(p, body))
+    n, k = len(body), len(alphabet)
+    q = sum(body.count(c) ** 2 for c in set(body))
+    v = [alphabet.find(c) + 1 - (k + 1) / 2 for c in body]
+    chi = (k / n * q - n - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n))
+    high = sum(x > 0 for x in v)
+    runs = 1 + sum((a > 0) != (b > 0) for a, b in zip(v, v[1:]))
+    mean = 2 * high * (n - high) / n + 1
+    spread = math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 0.25))
+    serial = sum(a * b for a, b in zip(v, v[1:])) / max(sum(x * x for x in v), 1e-9) * math.sqrt(n)
+    odds = 3 * min(1 - phi(chi), 2 * phi(-abs((runs - mean) / spread)), 2 * phi(-abs(serial)))
+    pairs = n * (n - 1) / 2
+    p_text = phi(((q - n) / 2 - pairs * rate) / math.sqrt(1.5 * pairs * rate * (1 - rate)))
+    step = lambda p: min(math.floor(-math.log(max(p, 1e-30)) * secrets.STEPS), secrets.TOP)
+    return sum(n >= b for b in secrets.LENGTHS[1:]), step(p_text), step(min(odds, 1.0)), k >= secrets.SMALLEST
+
+
+def least_rejected(steps):
+    """Benjamini-Hochberg: the least step whose share of all is worth its odds."""
+    found = [s for s in set(steps) if math.exp(-s / secrets.STEPS) <= secrets.RATE * sum(x >= s for x in steps) / len(steps)]
+    return min(found, default=math.inf)
+
+
+def test_battery_and_false_discovery_control_against_loops(spark):
+    rng = random.Random(11)
+    signs = secrets.ENCODINGS[-1][1]
+    keys = ["".join(rng.choice(a) for _ in range(rng.choice([20, 24, 32, 40, 48, 64, 100, 200]))) + rng.choice(["", "="]) for a in (signs, signs[:62], signs[:52], "0123456789abcdef", "0123456789") for _ in range(40)]
+    words = ["".join(rng.choice(["th", "er", "on", "an", "re", "he"]) for _ in range(rng.randint(10, 60))) for _ in range(150)] + ["a" * 40, "abcdefghijklmnopqrstuvwxyz" * 2, "-" * 30]
+    texts = [f"see {a} and {b}, {c}" for a, b, c in zip(keys, words * 2, reversed(keys))]
+    at = [(i, m.start(), m.end(), *battery(m[0])) for i, t in enumerate(texts) for m in re.finditer(secrets.CANDIDATE, t)]
+    cut = {(c, h): least_rejected([x[3 + h] for x in at if x[3] == c]) for c in {x[3] for x in at} for h in (1, 2)}
+    want = {(i, s, e) for i, s, e, c, text, odd, wide in at if wide and odd < cut[c, 2] and text >= cut[c, 1]}
+    got = secrets.scan(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert {(r["doc_id"], x["start"], x["end"]) for r in got for x in r["found"]} == want
+    assert 50 < len(want) < len(at) - 100 and len({c for c, _ in cut}) >= 5
+
+
+def candidates(t):
+    """(generator, start, end, features) by loops."""
+    for g, p in pii.GENERATORS.items():
+        found = list(re.finditer(p, t, re.ASCII))
+        for k, m in enumerate(found):
+            before = t[found[k - 1].end() if k else 0 : m.start()][-16:]
+            after = t[m.end() : found[k + 1].start() if k + 1 < len(found) else len(t)][:8]
+            s, size = m[0], lambda signs, s=m[0]: sum(c in signs for c in s)
+            yield g, m.start(), m.end(), [
+                len(s), size("0123456789"), sum(c.isascii() and c.isalpha() for c in s), size(" ().-/"), size("."), s.startswith("+"), size(" "),
+                before[-1:].isdigit() and before.isascii() or before[-1:] in "0123456789" and before != "", before[-1:].isalpha(),
+                bool(re.search("(?i)(mail|phone|tel|call|card|ip|fax|contact)[^a-z]*$", before)), after[:1].isalpha(), after[:1] != "" and after[:1] in "0123456789", g == "address", g == "number",
+            ]
+
+
+def test_trees_against_loops(spark):
+    parts = ["call ", "mail ", "4111 1111 1111 1111", "+1 (555) 123-4567", "12.5.1999", " 10.0.0.1", "x@y.org", "a@b", "@", " ", ", ", "word", "7 7 7 7 7 7 7", "é", "1234567", "bob [at] site [dot] org"]
+    texts = noise(parts, 400, 21)
+    found = pii.proposed(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA))
+    model = pii.train(found)
+    assert len(model.trees) > 3 and set(model.least) == {"address", "number"}
+    want = set()
+    for i, t in enumerate(texts):
+        base = {tuple(map(int, x.split(":")[1:])) for x in personal_spans(t)}
+        for g, start, end, x in candidates(t):
+            good = g in pii.CERTAIN or model.raw(np.array([x], float))[0] >= model.least[g] - 1e-9
+            if good and (start, end) not in base:
+                want.add((i, f"maybe_{g}", start, end))
+    assert {(r["doc_id"], x["kind"], x["start"], x["end"]) for r in pii.selected(found, model).collect() for x in r["found"]} == want
+    labels = {(r["doc_id"], c["g"], c["start"]): c["inside"] for r in found.collect() for c in r["_found"]}
+    spans = {i: [tuple(map(int, x.split(":")[1:])) for x in personal_spans(t)] for i, t in enumerate(texts)}
+    assert labels == {(i, g, s): any(a < e and b > s for a, b in spans[i]) for i, t in enumerate(texts) for g, s, e, _ in candidates(t)}
+
+
+def test_time_grows_with_the_matches(spark):
+    took = []
+    for n in (10_000, 40_000):
+        text = "1.2.3.4 a token=abcdefgh, " * n
+        docs = spark.createDataFrame([(1, text, "x")], SCHEMA)
+        start = time.perf_counter()
+        for module, want in ((secrets, secret_spans), (pii, personal_spans)):
+            r = module.digest(module.scan(docs)).head()
+            assert r["base_sha256"] == hashlib.sha256(",".join(want(text)).encode()).hexdigest()
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] + 10, took
