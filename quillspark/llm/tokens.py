@@ -25,7 +25,7 @@ PIECE, CAREFUL = re.compile(_BODY % ""), re.compile(_BODY % f"|(?<=[{EXOTIC}])[
 #: A piece with a stable boundary on both sides when it stands among others of this kind.
 JOINS = re.compile(f"[ \t\n\r](?:.*[^ \t\n\r{EXOTIC}])$", re.DOTALL).match
 #: Pieces of a generation that a worker remembers (about 200 bytes each), and characters of the longest one remembered.
-MEMO, LONGEST = 150_000, 64
+MEMO, LONGEST = 400_000, 64
 #: Pieces that the library gets as one text.
 TOGETHER = 64
 
@@ -97,8 +97,12 @@ class PieceEncoder:
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces that the young generation doesn't hold."""
-        found = {p: self.old[p] for p in pieces if p in self.old}
-        new = sorted(pieces - found.keys())
+        found, new = {}, []
+        for p in pieces:
+            if (x := self.old.get(p)) is None:
+                new.append(p)
+            else:
+                found[p] = x
         found |= zip(new, self._ids(new), strict=True)
         self.young |= {p: x for p, x in found.items() if len(p) <= LONGEST}
         return found
