@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
 import tempfile
@@ -24,15 +25,36 @@ SLICE_BYTES = 2 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where it is unset, as in local tests, a temporary folder takes its place.
+    Where it is unset, a temporary folder takes its place in local mode; a cluster must name one, as its machines don't share their own folders.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="quillspark-")
         shared_dir.own = path
     return path.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder. What is left in it is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}"
+    if path not in (held := own_dir.__dict__.setdefault("held", set())):
+        held.add(path)
+        atexit.register(_leave, spark, path)
+    return path
+
+
+def _leave(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each application, and keep Arrow batches small.
 
@@ -55,18 +77,17 @@ def ship(spark: SparkSession) -> None:
 def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_at = path
     return back
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.written_at)
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import forget, shared_dir, ship, slices, tidy, written
+from quillspark.llm.common import forget, own_dir, ship, slices, tidy, written
 from quillspark.llm.rans import Block, Table, encode_block
 from quillspark.llm.tokens import PieceEncoder, default_path, load
 
@@ -153,5 +153,5 @@ def token_output(docs: DataFrame, path: str | None = None, tokenizer_path: str |
     import uuid
 
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/quillspark/blocks-{uuid.uuid4().hex}"
+    path = path or f"{own_dir(spark)}/blocks-{uuid.uuid4().hex}"
     return read_blocks(spark, write_blocks(docs, path, tokenizer_path, end_id))
