@@ -111,7 +111,11 @@ class PieceEncoder:
         if len(self.young) > MEMO:
             self.young, self.old = {}, self.young
         cut = [(CAREFUL if UNUSUAL.search(t) else PIECE).findall(t) if t else [] for t in texts]
-        known = [list(map(self.young.get, pieces)) for pieces in cut]
-        new = {p for pieces, ids in zip(cut, known, strict=True) if None in ids for p, x in zip(pieces, ids, strict=True) if x is None}
-        found = self._learn(new) if new else {}
-        return [b"".join([found[p] if x is None else x for p, x in zip(pieces, ids, strict=True)] if None in ids else ids) for pieces, ids in zip(cut, known, strict=True)]
+        ids = [list(map(self.young.get, pieces)) for pieces in cut]
+        missing = [[k for k, x in enumerate(own) if x is None] if None in own else () for own in ids]
+        if new := {pieces[k] for pieces, at in zip(cut, missing, strict=True) for k in at}:
+            found = self._learn(new)
+            for pieces, own, at in zip(cut, ids, missing, strict=True):
+                for k in at:
+                    own[k] = found[pieces[k]]
+        return list(map(b"".join, ids))
