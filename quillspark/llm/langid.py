@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +14,8 @@ from quillspark.llm.common import ship, slices, tidy
 
 #: Bytes of a window; filters of each width; widths of the filters.
 WINDOW, FILTERS, WIDTHS = 128, 16, (2, 3, 4)
-#: The model learns from at most so many documents of each language, so many windows of each, and the languages with most rows.
-TRAIN_DOCS, TRAIN_WINDOWS, MAX_LANGS = 600, 6, 200
-LETTER = re.compile(r"[^\W\d_]")
+#: The model learns from at most so many documents of each language, so many of all (LEAST of each in any case), and so many windows of each.
+TRAIN_DOCS, TRAIN_ALL, LEAST, TRAIN_WINDOWS = 600, 24_000, 20, 6
 UNKNOWN = "und"
 
 
@@ -66,7 +64,7 @@ class Model:
 
     def predict(self, texts: list[str | None], pairs: list[list[np.ndarray]]) -> tuple[list[str], np.ndarray]:
         """Of each whole text: its windows' log probabilities, by their bytes; texts without a letter are UNKNOWN with score 0."""
-        known = [bool(self.langs) and bool(t) and bool(LETTER.search(t)) for t in texts]
+        known = [bool(self.langs) and any(map(str.isalpha, t or "")) for t in texts]
         raws = [t.encode() for t, k in zip(texts, known, strict=True) if k]
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if raws:
@@ -131,16 +129,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame) -> Model:
-    """Learn from text and lang of rows that are not held out: windows from anywhere in at most TRAIN_DOCS texts of a language."""
+    """Learn from text and lang of rows that are not held out: windows from anywhere in a sample of each language's texts."""
     own = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
+    counts = own.groupBy("lang").count()
+    langs = sorted(r["lang"] for r in counts.select("lang").collect())  # every language is learnt: a row for each
+    if not langs:
         return Model([], [], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
-    langs = sorted(r["lang"] for r in counts)
-    share = F.lit(0)
-    for r in counts:  # MAX_LANGS at most
-        share = F.when(F.col("lang") == r["lang"], int(1e6 * min(1.0, TRAIN_DOCS / r["count"]))).otherwise(share)
-    picked = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share)
+    each = max(LEAST, min(TRAIN_DOCS, TRAIN_ALL // len(langs)))
+    share = counts.select("lang", F.least(F.lit(1.0), each / F.col("count")).alias("share"))
+    picked = own.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < 1_000_000 * F.col("share")).select("doc_id", "text", "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -153,19 +150,21 @@ def train(docs: DataFrame) -> Model:
                     out[1].append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.string())], ["w", "lang"])
 
-    found = picked.mapInArrow(tidy(cut), "w binary, lang string").limit(2 * TRAIN_DOCS * TRAIN_WINDOWS * len(langs)).toArrow()
+    found = picked.mapInArrow(tidy(cut), "w binary, lang string").limit(2 * each * TRAIN_WINDOWS * len(langs)).toArrow()
     pairs = sorted(zip(found.column("lang").to_pylist(), found.column("w").to_pylist(), strict=True))  # the order of arrival is not fixed
     if not pairs:
         return Model([], [], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
     x = np.frombuffer(b"".join(w for _, w in pairs), np.uint8).reshape(-1, WINDOW)
-    return fit(x, np.array([langs.index(k) for k, _ in pairs]), langs)
+    place = {k: i for i, k in enumerate(langs)}
+    return fit(x, np.array([place[k] for k, _ in pairs]), langs)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang).
 
     ``lang`` is read only to learn, and only of rows that are not held out. Texts that are null, empty or without any letter are ``und`` with
-    score 0, and so are all where nothing can be learnt. A null doc_id is not held out. Other columns are ignored.
+    score 0, and so are all where nothing can be learnt. A null doc_id is not held out. Other columns are ignored. All windows of a very long text
+    count; a task holds them at once, some 200 times the text's bytes of a slice of 2 MB or of one text.
     """
     ship(docs.sparkSession)
     model = train(docs)

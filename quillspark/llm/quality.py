@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ship, slices, tidy, written
+from quillspark.llm.common import ship, slices, tidy
 
 #: The model is fitted on at most so many labelled rows (a hash of the doc_id picks them) and so many pairs.
 TRAIN_ROWS, TRAIN_PAIRS = 20_000, 100_000
@@ -124,15 +124,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(rows: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
-    """Fit on rows (doc_id, _features) that have a label and are not held out; at most ``limit`` rows reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
+    """Fit on rows of ``docs`` that have a label and are not held out; at most ``limit`` are read for it and reach the driver."""
     labels = labels.select("doc_id", F.col("quality").cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     labels = labels.groupBy("doc_id").agg(F.max("_y").alias("_y"))
     n = labels.count()
     if n > limit:
         share = int(1e6 * limit / n)
         labels = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share)
-    found = rows.join(labels, "doc_id").select("_features", "_y").limit(2 * limit).toArrow()
+    labels = F.broadcast(labels)  # about ``limit`` rows
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labels, "doc_id")
+    found = with_features(own.select("doc_id", "text")).join(labels, "doc_id").select("_features", "_y").limit(2 * limit).toArrow()
     x = np.array(found.column("_features").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = np.array(found.column("_y").to_pylist(), np.int64)
     order = np.lexsort([*x.T[::-1], y])  # the order of arrival is not fixed
@@ -143,26 +145,25 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text).
 
     Learnt from ``labels`` (doc_id, quality 0 or 1; others and null are ignored, of repeated doc_ids the largest) of rows that are not held
-    out. Null, empty and blank texts have all features 0 and a score like any other. A null doc_id is not held out.
+    out. Null, empty and blank texts have all features 0 and a score like any other. A null doc_id is not held out. The words of a very long text are
+    counted in one task, some 100 times its bytes. Other columns are ignored.
     """
     ship(docs.sparkSession)
-    rows = written(with_features(docs), "quality-features")
-    model = train(rows, labels)
+    model = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = np.array(batch.column("_features").flatten()).reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(x))], ["doc_id", "score"])
+        for batch in slices(batches):
+            x = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(model.scores(x))], ["doc_id", "score"])
 
-    scored = rows.mapInArrow(tidy(run), "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs``, with their columns, whose score reaches KEEP. The texts are read twice and never shuffled."""
     ship(docs.sparkSession)
-    model = train(written(with_features(docs), "quality-features"), labels)
+    model = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -74,3 +74,60 @@ def test_windows_hold_all_bytes(n):
     raw = bytes(range(1, 256)) * 4
     w = langid.windows(raw[:n])
     assert w.tobytes().rstrip(b"\0") == raw[:n] and w.shape[1] == langid.WINDOW
+
+
+def test_convolution_against_loops():
+    rng = np.random.default_rng(2)
+    some = [rng.integers(97, 105, 90, np.uint8).tobytes() for _ in range(40)]
+    x = np.stack([langid.windows(s)[0] for s in some])
+    model = langid.fit(x, np.arange(40) % 3, ["a", "b", "c"], epochs=1)
+    text = (some[0] + some[1]).decode()
+    total = np.zeros(3)
+    for at in range(0, len(text), langid.WINDOW):
+        raw = text.encode()[at : at + langid.WINDOW]
+        row = raw.ljust(langid.WINDOW, b"\0")
+        pooled = []
+        for table in model.tables:
+            for f in range(langid.FILTERS):
+                pooled.append(max(sum(float(table[k][row[i + k]][f]) for k in range(len(table))) for i in range(langid.WINDOW - len(table) + 1)))
+        z = [sum(max(0.0, p + float(b)) * float(model.dense[i, c]) for i, (p, b) in enumerate(zip(pooled, model.bias, strict=True))) + float(model.dense_bias[c]) for c in range(3)]
+        odds = np.exp(np.array(z) - max(z))
+        total += len(raw) * np.log(odds / odds.sum())
+    p = np.exp(total / len(text))
+    p /= p.sum()
+    langs, scores = model.predict([text], model.pairs())
+    assert langs == ["abc"[p.argmax()]] and abs(scores[0] - p.max()) < 1e-4
+
+
+def test_numbers_are_no_letters(spark):
+    rows = [(i, "abc ab cab " if i % 2 else "xyz zy zx ", "one" if i % 2 else "two", "l", 1.0) for i in range(40)] + [(50, "½ ² ① 12", None, "l", 1.0), (51, "ªb", None, "l", 1.0)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")).collect()}
+    assert got[50] == "und" and got[51] in ("one", "two")
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(1000 * k + i, f"{chr(0x4E00 + k)}{chr(0x4E00 + k)} " * 6, f"l{k:03}") for k in range(300) for i in range(4)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted({r[2] for r in rows}) and model.dense.shape[1] == 300
+
+
+def test_ranking_against_loops():
+    """The fitted weights are where the pairs' logistic loss, summed by loops, has no slope; the cut is the quantile of scores."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, len(quality.FEATURES)))
+    y = (x[:, 0] + 0.8 * rng.normal(size=60) > 0.2).astype(np.int64)
+    model = quality.fit(x, y, pairs=200, seed=5, ridge=0.05)
+    draw, basis = np.random.default_rng(5), []
+    for row in x:
+        z = [min(4, max(-4, (v - m) / s)) for v, m, s in zip(row, x.mean(0), x.std(0), strict=True)]
+        basis.append(z + [v * v for v in z] + [max(v - 1, 0) for v in z] + [max(-v - 1, 0) for v in z])
+    good, bad = [i for i in range(60) if y[i]], [i for i in range(60) if not y[i]]
+    slope = -0.05 * model.weights
+    for a, b in zip(draw.choice(good, 200), draw.choice(bad, 200), strict=True):
+        d = np.array(basis[a]) - np.array(basis[b])
+        slope = slope + d / (1 + np.exp(d @ model.weights)) / 200
+    assert np.abs(slope).max() < 1e-3
+    scores = [sum(w * v for w, v in zip(model.weights, b, strict=True)) for b in basis]
+    assert abs(model.cut - np.quantile(scores, 0.99 * len(bad) / 60)) < 1e-9
+    want = [1 / (1 + np.exp(-(s - model.cut)) * 0.7 / 0.3) for s in scores]
+    assert np.allclose(model.scores(x), want)
