@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,9 @@ def routed(embedded: DataFrame, recognised: DataFrame) -> DataFrame:
 
 def polygon_box(points: Column) -> Column:
     """Box of a flat list of x and y; fewer than two values give zeros."""
-    xs, ys = F.filter(points, lambda v, i: i % 2 == 0), F.filter(points, lambda v, i: i % 2 == 1)
     some = F.coalesce(F.size(points) >= 2, F.lit(False))
+    side = lambda odd: F.transform(F.sequence(F.lit(odd), F.size(points) - 1 - F.pmod(F.size(points) + 1 + odd, F.lit(2)), F.lit(2)), lambda i: F.get(points, i))
+    xs, ys = side(0), side(1)
     x, y = F.array_min(xs), F.array_min(ys)
     value = lambda c: F.when(some, c).otherwise(0.0)
     return F.struct(value(x).alias("x"), value(y).alias("y"), value(F.array_max(xs) - x).alias("width"), value(F.array_max(ys) - y).alias("height"))
@@ -49,6 +52,28 @@ def joined_text(seq: str, text: str, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq), F.coalesce(F.col(text), F.lit("")).alias("t")))), lambda x: x["t"]), sep)
 
 
+def merged_regions(regions: DataFrame, by: list[str], box: str, confidence: str, **more: Column) -> DataFrame:
+    """by, x, y, width, height, confidence, regions and further aggregates: each group's regions as one, within the box of all of them."""
+    left, top = F.min(f"{box}.x"), F.min(f"{box}.y")
+    right, bottom = F.max(F.col(f"{box}.x") + F.col(f"{box}.width")), F.max(F.col(f"{box}.y") + F.col(f"{box}.height"))
+    boxes = {"x": left, "y": top, "width": right - left, "height": bottom - top}
+    return regions.groupBy(*by).agg(*[c.alias(k) for k, c in (boxes | more).items()], mean_confidence(confidence).alias("confidence"), F.count("*").alias("regions"))
+
+
+def recognised_item(text: Column, box: Column, confidence: Column, orientation: Column) -> Column:
+    """A recognised item; missing text is empty, a missing confidence or orientation 0."""
+    return F.struct(F.coalesce(text, F.lit("")).alias("text"), *[box[k].alias(k) for k in ("x", "y", "width", "height")], F.lit("paddleocr").alias("source"), F.coalesce(confidence, F.lit(0.0)).alias("confidence"), F.coalesce(orientation, F.lit(0)).alias("orientation"))
+
+
+def mesh_view(points: DataFrame, model: str, mesh: str, fov: float) -> DataFrame:
+    """model, meshes, center_x, center_y, center_z, max_dim (10 where it is 0) and the camera's distance of points (x, y, z), with ``fov`` in degrees."""
+    sides = points.groupBy(model).agg(F.countDistinct(mesh).alias("meshes"), *[f(k).alias(f"{n}_{k}") for k in "xyz" for n, f in (("low", F.min), ("high", F.max))])
+    span = F.greatest(*[F.col(f"high_{k}") - F.col(f"low_{k}") for k in "xyz"])
+    size = F.when(span == 0, 10.0).otherwise(span)
+    centers = [((F.col(f"low_{k}") + F.col(f"high_{k}")) / 2).alias(f"center_{k}") for k in "xyz"]
+    return sides.select(model, "meshes", *centers, size.alias("max_dim"), (F.abs(size / math.sin(math.radians(fov) / 2)) * 0.7).alias("distance"))
+
+
 def embedded_item(transform_x: Column, transform_y: Column, width: Column, height: Column) -> Column:
     """Box of an embedded item: rounded to two places, height without sign."""
     return F.struct(js.rounded2(transform_x).alias("x"), js.rounded2(transform_y).alias("y"), js.rounded2(width).alias("width"), js.rounded2(F.abs(height)).alias("height"))

@@ -38,6 +38,7 @@ def records(entries: DataFrame) -> DataFrame:
         (c("category").isin("materials", "finishes"), dash("value_str"), _tags(kind)),
         (c("category") == "specifications", dash("value_str"), _tags(("Label", dash("label"), None), kind)),
         (c("category") == "threads", thread, _tags(("Quantity", num("quantity"), None), ("Series", dash("series"), None), ("Class", dash("class"), None), ("Depth Type", dash("depth_type"), None), ("Depth", num("depth"), None))),
+        (c("category") == "possible_limit_dimensions", F.concat(num("upper"), F.lit(" / "), num("lower"), unit), _tags(("Status", dash("status"), None), ("Members", js.or_text(F.array_join("members", " / "), F.lit("—")), None))),
         (c("category") == "unclassified", js.or_text(c("spec"), c("text"), F.lit("—")), _tags(kind)),
     ]
     primary, tags = None, None

@@ -248,6 +248,13 @@ def classify(items: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({k: F.col(f"_f.{k}") for k in ("type", *FIELDS)}).drop("_m", "_f")
 
 
+def classify_distinct(items: DataFrame, text: str = "text") -> DataFrame:
+    """:func:`classify` of each distinct text once, joined to its rows: drawings repeat most of what they say."""
+    known = classify(items.select(F.col(text).alias("_text")).distinct(), "_text").select("_text", "category", "type", *FIELDS)
+    own = items.drop("category", "type", *FIELDS)
+    return own.join(known, own[text].eqNullSafe(known["_text"]), "left").drop("_text")
+
+
 def with_bbox(items: DataFrame) -> DataFrame:
     """Add bbox (x, y, width, height), null unless x and one of width and y are finite."""
     d = {k: F.col(k).cast("double") for k in ("x", "y", "width", "height")}

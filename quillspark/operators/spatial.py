@@ -6,25 +6,19 @@ bounded by what fits on a sheet, and no condition reaches across pages.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import js
-from quillspark.operators.drawing import decimal_places
+from quillspark.operators.drawing import classify_distinct, decimal_places, with_bbox
 
 PAGE = ("doc_id", "page")
 
 
-def _pages(rows: DataFrame, **wanted: Callable[[Column], Column]) -> DataFrame:
-    """A row for each page with an array, in order of ``seq``, of the entries that each of ``wanted`` accepts.
-
-    Entries are picked inside the arrays: a filter in front of the aggregation would make the classifier's expressions run twice.
-    """
-    fields = ["seq", "category", "type", "tolerance_type", "nominal", "unit", "text", "bbox", "confidence", "source", "depth_type", "depth"]
-    pages = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_all"))
-    return pages.select(*PAGE, *[F.filter("_all", pick).alias(k) for k, pick in wanted.items()])
+def _entries(rows: DataFrame) -> DataFrame:
+    """A row for each page with its entries, in order of ``seq``."""
+    rest = [c for c in rows.columns if c not in ("seq", *PAGE)]
+    return rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("seq", *rest))).alias("_all"))
 
 
 def pair_possible(a: Column, b: Column) -> Column:
@@ -44,83 +38,131 @@ def merged_box(x: Column, y: Column) -> Column:
     return F.struct(left.alias("x"), top.alias("y"), (right - left).alias("width"), (bottom - top).alias("height"))
 
 
-def limit_pairs(entries: DataFrame) -> DataFrame:
-    """Pairs of plain dimensions (doc_id, page, first_seq, second_seq, upper_limit, lower_limit, unit, members, bbox, confidence, source, status).
+def _plain(e: Column) -> Column:
+    finite = e["nominal"].isNotNull() & ~F.isnan(e["nominal"]) & (F.abs(e["nominal"]) != float("inf"))
+    return (e["category"] == "dimensions") & (e["type"] == "linear_dimension") & (e["tolerance_type"] == "none") & finite & e["bbox"].isNotNull()
+
+
+def _candidates(entries: Column) -> Column:
+    """The plain dimensions among a page's entries with what pairs are judged by."""
+    with_places = lambda e: F.struct(*[e[k].alias(k) for k in ("seq", "nominal", "unit", "bbox", "confidence", "source")], js.trim(e["text"]).alias("original_text"), decimal_places(js.trim(e["text"])).alias("places"))
+    return F.transform(F.filter(entries, _plain), with_places)
 
-    Each entry takes part in one pair at most: in order, an entry that is still free is joined with the first later free one that fits.
-    """
-    def plain(e: Column) -> Column:
-        finite = e["nominal"].isNotNull() & ~F.isnan(e["nominal"]) & (F.abs(e["nominal"]) != float("inf"))
-        return (e["category"] == "dimensions") & (e["type"] == "linear_dimension") & (e["tolerance_type"] == "none") & finite & e["bbox"].isNotNull()
 
-    pages = _pages(entries, found=plain).filter(F.size("found") > 1)
-    more = lambda e: e.withField("original_text", js.trim(e["text"])).withField("places", decimal_places(js.trim(e["text"])))
-    pages = pages.select(*PAGE, F.transform("found", more).alias("items"))
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<i:int,j:int>>").alias("pairs"))
+def _pairs(items: Column) -> Column:
+    """array of struct(i, j): in order, an item that is still free is joined with the first later free one that fits."""
+    kind = "array<struct<i:int,j:int>>"
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(kind).alias("pairs"))
 
     def step(acc: Column, i: Column) -> Column:
-        own = F.col("items")[i]
-        later = F.filter(F.sequence(i + 1, F.greatest(i + 1, F.size("items") - 1)), lambda j: (j < F.size("items")) & ~F.array_contains(acc["used"], j) & pair_possible(own, F.get("items", j)))
+        later = F.filter(F.sequence(i + 1, F.greatest(i + 1, F.size(items) - 1)), lambda j: (j < F.size(items)) & ~F.array_contains(acc["used"], j) & pair_possible(F.get(items, i), F.get(items, j)))
         j = F.get(later, F.lit(0))
         taken = F.struct(F.concat(acc["used"], F.array(i, j)).alias("used"), F.array_append(acc["pairs"], F.struct(i.alias("i"), j.alias("j"))).alias("pairs"))
         return F.when(F.array_contains(acc["used"], i) | j.isNull(), acc).otherwise(taken)
 
-    pairs = F.aggregate(F.sequence(F.lit(0), F.size("items") - 1), start, step, lambda acc: acc["pairs"])
-    found = pages.select(*PAGE, "items", F.explode(pairs).alias("p")).select(*PAGE, F.col("items")[F.col("p.i")].alias("a"), F.col("items")[F.col("p.j")].alias("b"))
-    a, b = F.col("a"), F.col("b")
-    return found.select(
-        *PAGE,
-        a["seq"].alias("first_seq"),
-        b["seq"].alias("second_seq"),
-        F.greatest(a["nominal"], b["nominal"]).alias("upper_limit"),
-        F.least(a["nominal"], b["nominal"]).alias("lower_limit"),
-        F.coalesce(a["unit"], b["unit"]).alias("unit"),
-        F.array(a["original_text"], b["original_text"]).alias("members"),
-        merged_box(a["bbox"], b["bbox"]).alias("bbox"),
-        F.least(F.coalesce(a["confidence"], F.lit(1.0)), F.coalesce(b["confidence"], F.lit(1.0))).alias("confidence"),
-        F.coalesce(a["source"], b["source"]).alias("source"),
-        F.lit("needs_confirmation").alias("status"),
-    )
+    return F.when(F.size(items) > 1, F.aggregate(F.sequence(F.lit(0), F.size(items) - 1), start, step, lambda acc: acc["pairs"])).otherwise(F.array().cast(kind))
 
 
-def thread_depths(entries: DataFrame) -> DataFrame:
-    """doc_id, page, thread_seq, depth_seq, depth_type, depth: the depth given to each thread that gets one.
+def _pair(a: Column, b: Column) -> dict[str, Column]:
+    return {
+        "upper_limit": F.greatest(a["nominal"], b["nominal"]),
+        "lower_limit": F.least(a["nominal"], b["nominal"]),
+        "unit": F.coalesce(a["unit"], b["unit"]),
+        "members": F.array(a["original_text"], b["original_text"]),
+        "bbox": merged_box(a["bbox"], b["bbox"]),
+        "confidence": F.least(F.coalesce(a["confidence"], F.lit(1.0)), F.coalesce(b["confidence"], F.lit(1.0))),
+        "source": F.coalesce(a["source"], b["source"]),
+        "status": F.lit("needs_confirmation"),
+    }
 
-    Threads choose in order, each the nearest depth of its page that is free and within four diagonals of its box (120 if that is 0); of equally near
-    ones the first.
+
+def limit_pairs(entries: DataFrame) -> DataFrame:
+    """Pairs of plain dimensions (doc_id, page, first_seq, second_seq, upper_limit, lower_limit, unit, members, bbox, confidence, source, status).
+
+    Each entry takes part in one pair at most.
     """
-    of = lambda name: lambda e: (e["category"] == name) & e["bbox"].isNotNull()
-    both = _pages(entries, threads=of("threads"), depths=of("depths")).filter((F.size("threads") > 0) & (F.size("depths") > 0))
-    middle = lambda b: (b["x"] + b["width"] / 2, b["y"] + b["height"] / 2)
+    pages = _entries(entries).select(*PAGE, _candidates(F.col("_all")).alias("items")).filter(F.size("items") > 1)
+    found = pages.select(*PAGE, "items", F.explode(_pairs(F.col("items"))).alias("p")).select(*PAGE, F.col("items")[F.col("p.i")].alias("a"), F.col("items")[F.col("p.j")].alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return found.select(*PAGE, a["seq"].alias("first_seq"), b["seq"].alias("second_seq"), *[v.alias(k) for k, v in _pair(a, b).items()])
+
+
+def _near(a: Column, b: Column) -> Column:
+    """Distance of two boxes' middles."""
+    middle = lambda c, side, size: c[side] + c[size] / 2
+    return F.hypot(middle(a, "x", "width") - middle(b, "x", "width"), middle(a, "y", "height") - middle(b, "y", "height"))
 
-    def distance(a: Column, b: Column) -> Column:
-        (ax, ay), (bx, by) = middle(a), middle(b)
-        return F.hypot(ax - bx, ay - by)
+
+def _given(threads: Column, depths: Column) -> Column:
+    """array of struct(t, i): the depth (its place in ``depths``) given to the thread of seq t."""
+    kind = "array<struct<t:bigint,i:int>>"
 
     def step(acc: Column, t: Column) -> Column:
         size = 4 * F.hypot(t["bbox"]["width"], t["bbox"]["height"])
         limit = F.when(size > 0, size).otherwise(120.0)
-        near = F.transform("depths", lambda d, i: F.struct(distance(t["bbox"], d["bbox"]).alias("d"), i.alias("i")))
+        near = F.transform(depths, lambda d, i: F.struct(_near(t["bbox"], d["bbox"]).alias("d"), i.alias("i")))
         best = F.array_min(F.filter(near, lambda c: ~F.array_contains(acc["used"], c["i"]) & (c["d"] <= limit)))
         taken = F.struct(F.array_append(acc["used"], best["i"]).alias("used"), F.array_append(acc["pairs"], F.struct(t["seq"].cast("bigint").alias("t"), best["i"].alias("i"))).alias("pairs"))
         return F.when(best.isNull(), acc).otherwise(taken)
 
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<t:bigint,i:int>>").alias("pairs"))
-    found = both.select(*PAGE, "depths", F.explode(F.aggregate("threads", start, step, lambda acc: acc["pairs"])).alias("p"))
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(kind).alias("pairs"))
+    return F.when((F.size(threads) > 0) & (F.size(depths) > 0), F.aggregate(threads, start, step, lambda acc: acc["pairs"])).otherwise(F.array().cast(kind))
+
+
+def _boxed(entries: Column, category: str) -> Column:
+    return F.filter(entries, lambda e: (e["category"] == category) & e["bbox"].isNotNull())
+
+
+def thread_depths(entries: DataFrame) -> DataFrame:
+    """doc_id, page, thread_seq, depth_seq, depth_type, depth: the depth given to each thread that gets one.
+
+    Threads choose in order, each the nearest depth of its page that is free and within four diagonals of its box (120 if that is 0); of equally near
+    ones the first.
+    """
+    both = _entries(entries).select(*PAGE, _boxed(F.col("_all"), "threads").alias("threads"), _boxed(F.col("_all"), "depths").alias("depths")).filter((F.size("threads") > 0) & (F.size("depths") > 0))
+    found = both.select(*PAGE, "depths", F.explode(_given(F.col("threads"), F.col("depths"))).alias("p"))
     d = F.col("depths")[F.col("p.i")]
     return found.select(*PAGE, F.col("p.t").alias("thread_seq"), d["seq"].cast("bigint").alias("depth_seq"), d["depth_type"].alias("depth_type"), d["depth"].alias("depth"))
 
 
 def parse_drawing(items: DataFrame) -> DataFrame:
-    """Classified entries of ``items`` (doc_id, seq, page, text, x, y, width, height, source, confidence) after both passes.
+    """Entries of ``items`` (doc_id, seq, page, text, x, y, width, height, source, confidence) after both passes: items' columns, category, type, FIELDS, bbox, members, status.
 
-    Threads have the depth given to them, and depths so used are left out; possible limit pairs are in :func:`limit_pairs` and their members stay.
+    Threads have the depth given to them, and depths so used are left out. Possible limit pairs are entries of category possible_limit_dimensions
+    with upper, lower, members and status, and the first member's seq; their members stay. One classification of each distinct text and one shuffle by page.
     """
-    from quillspark.operators.drawing import classify, with_bbox
-
-    entries = with_bbox(classify(items))
-    given = thread_depths(entries)
-    got = given.select("doc_id", F.col("thread_seq").alias("seq"), F.col("depth_type").alias("_type"), F.col("depth").alias("_depth"), F.lit(True).alias("_given"))
-    used = given.select("doc_id", F.col("depth_seq").alias("seq"))
-    out = entries.join(used, ["doc_id", "seq"], "left_anti").join(got, ["doc_id", "seq"], "left")
-    return out.withColumns({"depth_type": F.when(F.col("_given"), F.col("_type")).otherwise(F.col("depth_type")), "depth": F.when(F.col("_given"), F.col("_depth")).otherwise(F.col("depth"))}).drop("_type", "_depth", "_given")
+    entries = with_bbox(classify_distinct(items)).withColumns({"members": F.lit(None).cast("array<string>"), "status": F.lit(None).cast("string")})
+    kinds = {f.name: f.dataType for f in entries.schema.fields if f.name not in PAGE}
+    pages = _entries(entries).withColumns({"_items": _candidates(F.col("_all")), "_threads": _boxed(F.col("_all"), "threads"), "_depths": _boxed(F.col("_all"), "depths")})
+    pages = pages.withColumns({"_pairs": _pairs(F.col("_items")), "_given": _given(F.col("_threads"), F.col("_depths"))})
+    pages = pages.withColumn("_used", F.transform("_given", lambda g: F.struct(g["t"].alias("t"), F.get("_depths", g["i"]).alias("d"))))
+
+    def entry(e: Column) -> Column:
+        own = F.get(F.filter("_used", lambda u: u["t"] == e["seq"]), F.lit(0))
+        return F.when(own.isNull(), e).otherwise(e.withField("depth_type", own["d"]["depth_type"]).withField("depth", own["d"]["depth"]))
+
+    def pair(p: Column) -> Column:
+        a, b = F.get("_items", p["i"]), F.get("_items", p["j"])
+        made = _pair(a, b)
+        made |= {"seq": a["seq"], "category": F.lit("possible_limit_dimensions"), "type": F.lit("possible_limit_dimension"), "upper": made.pop("upper_limit"), "lower": made.pop("lower_limit")}
+        return F.struct(*[(made[k] if k in made else F.lit(None).cast(t)).alias(k) for k, t in kinds.items()])
+
+    order = ["seq", *[k for k in kinds if k != "seq"]]
+    left = F.transform(F.filter("_all", lambda e: ~F.exists("_used", lambda u: u["d"]["seq"] == e["seq"])), entry)
+    same = lambda x: F.struct(*[x[k].alias(k) for k in order])
+    whole = F.concat(F.transform(left, same), F.transform(F.transform("_pairs", pair), same))
+    return pages.select(*PAGE, F.explode(whole).alias("e")).select(*[F.col(c) if c in PAGE else F.col(f"e.{c}") for c in entries.columns])
+
+
+def section_counts(entries: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """category, n: how many entries of :func:`parse_drawing` each section of a fixed list has, also none."""
+    found = entries.groupBy("category").agg(F.count("*").alias("n"))
+    names = entries.sparkSession.createDataFrame([(c,) for c in categories], "category string")
+    return names.join(found, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def merged_section(entries: DataFrame, *categories: str) -> DataFrame:
+    """Entries of several categories as one list of each document: place, by the order of ``categories`` and then of items."""
+    rank = F.array_position(F.array(*map(F.lit, categories)), F.col("category"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(rank, "seq"))
+    return entries.filter(F.col("category").isin(*categories)).withColumn("place", place)
