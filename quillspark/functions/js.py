@@ -75,3 +75,8 @@ def grouped_text(c: Column) -> Column:
 def divided(n: Column, d: Column) -> Column:
     """n / d of doubles without errors: x / 0 is infinite, 0 / 0 is NaN."""
     return F.when(d != 0, n / d).when(n == 0, float("nan")).when(n > 0, float("inf")).otherwise(float("-inf"))
+
+
+def hypot(x: Column, y: Column) -> Column:
+    """Math.hypot of two numbers."""
+    return F.sqrt(x * x + y * y)

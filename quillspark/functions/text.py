@@ -126,3 +126,71 @@ def tolerance_text(e: Column) -> Column:
         .when(t == "none", "—")
         .otherwise(js.or_text(t, F.lit("—")))
     )
+
+
+def moment(ts: Column) -> Column:
+    """Date and time as review notes show them; empty without one."""
+    return F.coalesce(F.date_format(ts, "MMM d, yyyy h:mm a"), F.lit(""))
+
+
+def compacted(*cs: Column) -> Column:
+    """The texts that are neither null nor empty, in order."""
+    return F.filter(F.array(*cs), lambda x: x.isNotNull() & (x != ""))
+
+
+def uri_component(c: Column) -> Column:
+    """encodeURIComponent: percent signs for all but letters, digits and -_.!~*'()."""
+    out = F.url_encode(c)
+    for a, b in (("+", "%20"), ("%21", "!"), ("%7E", "~"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def filter_query(field: str, value: Column) -> Column:
+    """An equality filter as encoded JSON; of an empty value the filter that everything meets."""
+    return uri_component(F.when(F.coalesce(value, F.lit("")) != "", F.to_json(F.struct(value.alias(field)))).otherwise("{}"))
+
+
+def config_value(config: Column, payload: Column, nested: Column, key: str) -> Column:
+    """The entry of ``config`` (a map) named by the payload's or else the nested payload's text under ``key`` (maps), or that of ``key`` itself."""
+    label = F.coalesce(F.try_element_at(payload, F.lit(key)), F.try_element_at(nested, F.lit(key)), F.lit(key))
+    return F.when(F.map_contains_key(config, label), F.try_element_at(config, label)).otherwise(F.try_element_at(config, F.lit(key)))
+
+
+def fit_scale(parent_width: Column, own_width: Column, page_width: Column, most: int = 800, default: int = 600) -> Column:
+    """Scale at which a page fits the first width that is not 0, at most ``most``; null where that is below 0."""
+    width = lambda c: F.nullif(js.or_zero(c), F.lit(0.0))
+    target = F.least(F.coalesce(width(parent_width), width(own_width), F.lit(float(default))), F.lit(float(most)))
+    return F.when(target > 0, target / page_width)
+
+
+def media_source(url: Column, hosts: dict[str, str]) -> Column:
+    """struct(base, name) of an image address on one of ``hosts`` (host -> path prefix), without its transformation; null for others.
+
+    Only https on the usual port and without a user counts, and no vector images. Paths with dot segments count as others.
+    """
+    authority = F.lower(F.regexp_extract(url, r"^(?i:https)://([^/?#]*)", 1))
+    host = F.regexp_replace(authority, r":(?:443)?\z", "")
+    path = F.regexp_extract(url, r"^(?i:https)://[^/?#]*(/[^?#]*)", 1)
+    base = F.regexp_replace(path, r"(?i)/v1/(?:fill|fit)/[^/]+/[^/]+\z", "")
+    name = F.substring_index(base, "/", -1)
+    prefix = F.lit(None).cast("string")
+    for h, p in hosts.items():
+        prefix = F.when(host == h, p).otherwise(prefix)
+    ok = base.startswith(prefix) & name.rlike(r"(?i)\.[a-z0-9]+\z") & ~name.rlike(r"(?i)\.svg\z") & ~path.rlike(r"/\.{1,2}(?:/|\z)")
+    return F.when(F.coalesce(ok, F.lit(False)), F.struct(F.concat(F.lit("https://"), host, base).alias("base"), name.alias("name")))
+
+
+def transform_url(source: Column, width: Column, height: Column, crop: Column, focus: Column, quality: Column) -> Column:
+    """Address of a scaled image: cropped to fill around ``focus`` (struct x, y of 0 to 1, or null) or fitted; sides between 1 and MAX_SIDE."""
+    side = lambda x: F.least(F.greatest(F.floor(x + 0.5), F.lit(1)), F.lit(MAX_SIDE)).cast("string")
+    share = lambda x: js.fixed2(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
+    place = F.when(~crop, "").when(focus.isNull(), ",al_c").otherwise(F.concat(F.lit(",fp_"), share(focus["x"]), F.lit("_"), share(focus["y"])))
+    name = F.when(source["name"].rlike(r"(?i)\.gif\z"), source["name"]).otherwise(F.concat(F.regexp_replace(source["name"], r"(?i)\.[a-z0-9]+\z", ""), F.lit(".webp")))
+    tall = F.coalesce(F.nullif(height, F.lit(0)), width)
+    return F.concat(source["base"], F.lit("/v1/"), F.when(crop, "fill").otherwise("fit"), F.lit("/w_"), side(width), F.lit(",h_"), side(tall), place, F.lit(",q_"), quality.cast("string"), F.lit(",usm_0.66_1.00_0.01,enc_webp,quality_auto/"), name)
+
+
+def next_load_mode(mode: Column) -> Column:
+    """What an image that failed to load is tried as next."""
+    return F.when(mode == "optimized", "original").otherwise("fallback")

@@ -19,7 +19,7 @@ def _tags(*pairs: tuple[str, Column, Column | None]) -> Column:
 
 def records(entries: DataFrame) -> DataFrame:
     """Add primary and tags (array of label, value) to parsed entries; depths and notes, which have no section, get null."""
-    c = lambda k: F.col(k)
+    c = lambda k: F.col(k) if k in entries.columns else F.lit(None).cast("array<string>" if k == "members" else "string")
     e = F.struct("tolerance_type", "plus_tolerance", "minus_tolerance", "upper", "lower")
     dash = lambda k: js.or_text(c(k), F.lit("—"))
     num = lambda k: F.coalesce(js.number_text(c(k)), F.lit("—"))
@@ -38,7 +38,7 @@ def records(entries: DataFrame) -> DataFrame:
         (c("category").isin("materials", "finishes"), dash("value_str"), _tags(kind)),
         (c("category") == "specifications", dash("value_str"), _tags(("Label", dash("label"), None), kind)),
         (c("category") == "threads", thread, _tags(("Quantity", num("quantity"), None), ("Series", dash("series"), None), ("Class", dash("class"), None), ("Depth Type", dash("depth_type"), None), ("Depth", num("depth"), None))),
-        (c("category") == "possible_limit_dimensions", F.concat(num("upper"), F.lit(" / "), num("lower"), unit), _tags(("Status", dash("status"), None), ("Members", js.or_text(F.array_join("members", " / "), F.lit("—")), None))),
+        (c("category") == "possible_limit_dimensions", F.concat(num("upper"), F.lit(" / "), num("lower"), unit), _tags(("Status", dash("status"), None), ("Members", js.or_text(F.array_join(c("members"), " / "), F.lit("—")), None))),
         (c("category") == "unclassified", js.or_text(c("spec"), c("text"), F.lit("—")), _tags(kind)),
     ]
     primary, tags = None, None

@@ -70,6 +70,12 @@ def lines_total(items: Column, quantity: str = "quantity", price: str = "price")
     return F.coalesce(total.cast("double"), F.lit(0.0))
 
 
+def line_totals(lines: DataFrame, key: str, quantity: str, price: str) -> DataFrame:
+    """key, lines, total: the sum of quantity * price of each key's lines, summed up before they are shuffled."""
+    one = (js.or_zero(F.col(quantity)) * js.or_zero(F.col(price))).cast("decimal(38,6)")
+    return lines.groupBy(key).agg(F.count("*").alias("lines"), F.sum(one).cast("double").alias("total"))
+
+
 def numbered(quotes: DataFrame, prefix: str, order: tuple[str, ...], existing: DataFrame) -> DataFrame:
     """Add quote_number: the next number of each prefix, by ``order``, after the largest among ``existing`` (prefix, quote_number)."""
     last = existing.groupBy(prefix).agg(F.max(text.sequence_of(F.col("quote_number"))).alias("_last"))
@@ -132,3 +138,52 @@ def email_html(number: Column, customer: Column, items: Column, total: Column, h
         F.lit("</table>"), F.when(labour > 0, F.concat(F.lit("<p>Labor: "), money(labour), F.lit("</p>"))).otherwise(""),
         F.lit("<p>Total: "), money(total), F.lit("</p></body></html>"),
     )
+
+
+def point_read(df: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of one key; the filter reaches the scan."""
+    return df.filter(F.col(key) == F.lit(value))
+
+
+def prefix_scan(df: DataFrame, field: str, prefix: str) -> DataFrame:
+    """Rows whose ``field`` begins with ``prefix``; the filter reaches the scan."""
+    return df.filter(F.col(field).startswith(prefix))
+
+
+def by_optional_key(df: DataFrame, key: str, value: object | None) -> DataFrame:
+    """Rows of one key, or all without one."""
+    return df if value in (None, "") else df.filter(F.col(key) == F.lit(value))
+
+
+def created(existing: DataFrame, new: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """Existing rows and new ones, whose missing or null fields take their defaults and else null."""
+    given = new.withColumns({k: F.coalesce(F.col(k), v) if k in new.columns else v for k, v in defaults.items()})
+    return existing.unionByName(given, allowMissingColumns=True).select(*existing.columns)
+
+
+def append(new: DataFrame, path: str) -> None:
+    """Append rows to a stored table."""
+    new.write.mode("append").parquet(path)
+
+
+def first_by(items: Column, field: str, value: Column) -> Column:
+    """The first item whose ``field`` is ``value``; null if there is none."""
+    return F.get(F.filter(items, lambda x: x[field] == value), F.lit(0))
+
+
+def picked(items: Column) -> Column:
+    """The item shown at first: the first, null of none."""
+    return F.get(items, F.lit(0))
+
+
+def repicked(items: Column, selected: Column, field: str) -> Column:
+    """What is shown after a removal: ``selected`` while it is among ``items``, else the first. Nothing stays nothing."""
+    here = first_by(items, field, selected[field])
+    return F.when(selected.isNull(), selected).when(here.isNull(), picked(items)).otherwise(selected)
+
+
+def priced_line(quantity: Column, price: Column) -> Column:
+    """struct(quantity, price, line_total) as a quote's table shows them: what is 0 is blank. Texts that are no number count as 0."""
+    q, p = js.or_zero(quantity.try_cast("double")), js.or_zero(price.try_cast("double"))
+    money = lambda x: F.when(x == 0, "").otherwise(F.concat(F.lit("$"), js.fixed2(x)))
+    return F.struct(F.when(q == 0, "").otherwise(js.number_text(q)).alias("quantity"), money(p).alias("price"), money(q * p).alias("line_total"))

@@ -92,10 +92,9 @@ def deal_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orders left join lineitem on l_orderkey = o_orderkey group by 1""",
 )
 def quote_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), "l_suppkey", "l_discount", "l_tax", "l_shipdate")
-    nested = Q.nested_lines(lines, "l_orderkey", "line", "part", "quantity", "price", "l_suppkey", "l_discount", "l_tax", "l_shipdate")
-    df = table(spark, sf_dir, "orders").join(nested, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return df.select("o_orderkey", F.coalesce(F.size("line_items"), F.lit(0)).cast("long").alias("lines"), Q.lines_total(F.col("line_items")).alias("total"))
+    totals = Q.line_totals(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity", "l_extendedprice")
+    df = table(spark, sf_dir, "orders").select("o_orderkey").join(totals, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return df.select("o_orderkey", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
 _PREFIX_SQL = "strftime(o_orderdate, '%m%d%Y') || '-XX-' || upper(substr(c_mktsegment, 1, 3))"
@@ -162,7 +161,24 @@ def array_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("o_orderkey", size(items).alias("n"), F.round(edited[0]["q"], 2).alias("edited_first"), size(added).alias("appended"), size(rest).alias("left_over"), F.get(rest, F.lit(0))["p"].alias("next_price"))
 
 
-@register("page_break_fold")
+@register(
+    "nested_totals",
+    "select l_orderkey, count(*) as lines, sum(cast(l_quantity * l_extendedprice as decimal(38,6)))::double as total from lineitem where l_orderkey % 10 = 0 group by 1",
+)
+def nested_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of quotes that are stored with their lines as an array."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
+    nested = Q.nested_lines(lines, "l_orderkey", "line", "quantity", "price")
+    return nested.select("l_orderkey", F.size("line_items").cast("long").alias("lines"), Q.lines_total(F.col("line_items")).alias("total"))
+
+
+@register(
+    "page_break_fold",
+    """with recursive h as (select l_orderkey, list({'n': l_linenumber, 'p': l_partkey, 'h': 24.0::double + case when l_quantity > 25 then floor(l_quantity / 10) * 14 + 6 else 0 end} order by l_linenumber, l_partkey, l_quantity) as items from lineitem group by 1),
+      f as (select l_orderkey, items, 0 as pos, 1 as page, 40.0::double as y, 40.0::double as top from h
+        union all select l_orderkey, items, pos + 1, case when y + items[pos + 1].h > 280 then page + 1 else page end, case when y + items[pos + 1].h > 280 then 40 else y end + items[pos + 1].h, case when y + items[pos + 1].h > 280 then 40 else y end from f where pos < len(items))
+    select l_orderkey, pos - 1 as row, page, top as y, (pos - 1) % 2 = 0 as striped from f where pos > 0""",
+)
 def page_break_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").withColumn("h", 24.0 + F.when(F.col("l_quantity") > 25, F.floor(F.col("l_quantity") / 10) * 14 + 6).otherwise(0))
     rows = Q.nested_lines(li.select("l_orderkey", "l_linenumber", "l_partkey", "h"), "l_orderkey", "l_linenumber", "l_partkey", "h").withColumn("at", Q.page_breaks(F.transform("line_items", lambda x: x["h"]), 40.0, 280.0))
@@ -209,7 +225,12 @@ def json_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", (u % 3).alias("kind"), F.size(items).alias("items"), F.get(items, F.lit(0))["k"].alias("k"))
 
 
-@register("quote_email_html")
+@register(
+    "quote_email_html",
+    """with l as (select l_orderkey, string_agg('<tr><td>P&lt;' || l_partkey || '</td><td>' || l_quantity::int || '</td><td>$' || printf('%.2f', l_extendedprice) || '</td><td>$' || printf('%.2f', l_quantity * l_extendedprice) || '</td></tr>', '' order by l_linenumber, l_partkey::varchar, l_quantity, l_extendedprice) as rows from lineitem group by 1)
+    select o_orderkey, '<html><body><h1>Quote ' || o_orderkey || '</h1><p>A &amp; B</p><table>' || rows || '</table>' || case when o_orderkey % 3 > 0 then '<p>Labor: $' || printf('%.2f', (o_orderkey % 3) * 50.0) || '</p>' else '' end || '<p>Total: $' || printf('%.2f', o_totalprice) || '</p></body></html>' as html
+    from orders join l on l_orderkey = o_orderkey""",
+)
 def quote_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.concat(F.lit("P<"), F.col("l_partkey").cast("string")).alias("part_number"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
     nested = Q.nested_lines(li, "l_orderkey", "line", "part_number", "quantity", "price")

@@ -22,7 +22,18 @@ def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.page_url(F.replace(u, F.lit("http://"), F.lit(""))).alias("page"), text.file_name(u).alias("file_name"), text.snake(F.concat(F.upper(F.left(u, F.lit(3))), F.lit("Id"))).alias("snake"), text.resolved(given, F.when(F.col("page_id") % 2 == 0, "dflt").otherwise(""), F.lit("kept")).alias("ref"))
 
 
-@register("safe_return_path")
+@register(
+    "safe_return_path",
+    """with u as (select page_id, url, regexp_replace(url, '^https?://[^/]*', '') as own from pages),
+      r as (select page_id, case page_id % 4 when 0 then own when 1 then url when 2 then 'https://app.example.com' || own || case when contains(own, '?') then '&' else '?' end || 'app_id=9&x=1' else '/' || own end as raw from u),
+      a as (select *, case when starts_with(raw, '/') and not starts_with(raw, '//') then 'https://app.example.com' || raw else raw end as whole from r),
+      p as (select *, regexp_replace(substr(whole, 24), '#.*$', '') as rest from a),
+      k as (select *, regexp_extract(rest, '^([^?]*)', 1) as path, list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'), lambda x: x <> '' and regexp_extract(x, '^([^=]*)', 1) not in ("""
+    + ", ".join(f"'{x}'" for x in text.DROPPED_PARAMS)
+    + """)) as kept from p),
+      w as (select *, case when path = '' then '/' else path end || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as shown from k)
+    select page_id, raw, case when (starts_with(whole, 'https://app.example.com/') or whole = 'https://app.example.com') and not (starts_with(shown, '//') or contains(shown, chr(92)) or regexp_matches(path, '(^|/)[.]{1,2}(/|$)')) then shown else '/' end as path from w""",
+)
 def safe_return_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, k = F.col("url"), F.col("page_id") % 4
     path = F.regexp_replace(u, "^https?://[^/]*", "")
@@ -55,7 +66,7 @@ def misc_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         js.leading_number(F.concat(F.lit(" "), (k % 1000).cast("string"), F.lit("abc"))).cast("long").alias("parsed"),
         text.percent(F.when(k % 5 != 0, (k % 100) / 100.0)).alias("confidence"),
         text.spaced(F.lower("o_orderpriority")).alias("label"),
-        F.sqrt((k % 7) * (k % 7) + (k % 11) * (k % 11)).alias("distance"),
+        js.hypot(k % 7, k % 11).alias("distance"),
     )
 
 

@@ -50,3 +50,8 @@ def drawing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.pmod("l_partkey", F.lit(3)) * 10).cast("double").alias("x"), (seq * 12).cast("double").alias("y"), F.lit(30.0).alias("width"), F.lit(10.0).alias("height"),
         F.when(F.pmod("l_suppkey", F.lit(2)) == 0, "pdf_text").otherwise("ocr").alias("source"), F.when(F.pmod("l_suppkey", F.lit(2)) == 1, F.col("l_linenumber") / 10).alias("confidence"),
     )
+
+
+def checked_extension(path: Column) -> Column:
+    """:func:`extension`, but an error for files of other kinds."""
+    return F.coalesce(extension(path), F.raise_error(F.concat(F.lit("no CAD file: "), F.coalesce(path, F.lit("null")))).cast("string"))

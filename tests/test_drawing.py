@@ -154,3 +154,18 @@ def test_display_records(spark):
     assert rows[1]["tags"][0]["value"] == "10 / 9.98"
     assert [(t["label"], t["value"]) for t in rows[3]["tags"]] == [("Feature", "diameter"), ("Size", "0.25"), ("Angle", "—"), ("Remainder", "THRU")]
     assert rows[7]["tags"][1]["value"] == "MAX"
+
+
+def test_parsed_drawing_has_pairs_and_sections(spark):
+    items = [(1, 1, 1, ".480", 100.0, 200.0, 30.0, 10.0, "ocr", 0.9), (1, 2, 1, ".478", 100.0, 212.0, 30.0, 10.0, "ocr", None), (1, 3, 1, "M6x1", 0.0, 0.0, 30.0, 10.0, "ocr", None), (1, 4, 1, "THRU", 5.0, 5.0, 30.0, 10.0, "ocr", None), (1, 5, 1, None, None, None, None, None, "ocr", None), (2, 1, None, "THRU", None, None, None, None, "pdf", None)]
+    parsed = spatial.parse_drawing(spark.createDataFrame(items, ITEM))
+    rows = {(r["doc_id"], r["category"], r["seq"]): r for r in parsed.collect()}
+    assert sorted((d, c) for d, c, _ in rows) == [(1, "dimensions"), (1, "dimensions"), (1, "possible_limit_dimensions"), (1, "threads"), (1, "unclassified"), (2, "depths")]
+    pair = rows[1, "possible_limit_dimensions", 1]
+    assert (pair["upper"], pair["lower"], pair["members"], pair["status"], pair["type"]) == (0.48, 0.478, [".480", ".478"], "needs_confirmation", "possible_limit_dimension")
+    assert rows[1, "threads", 3]["depth_type"] == "thru"
+    counts = {r["category"]: r["n"] for r in spatial.section_counts(parsed, CATEGORIES).collect()}
+    assert len(counts) == 12 and counts["dimensions"] == 2 and counts["possible_limit_dimensions"] == 1 and counts["radii"] == 0
+    shown = {(r["doc_id"], r["category"]): r for r in display.records(parsed).collect()}
+    assert shown[1, "possible_limit_dimensions"]["primary"] == "0.48 / 0.478" and [t["value"] for t in shown[1, "possible_limit_dimensions"]["tags"]] == ["needs_confirmation", ".480 / .478"]
+    assert spatial.parse_drawing(spark.createDataFrame([], ITEM)).count() == 0

@@ -126,3 +126,47 @@ def test_query(spark, duck, name):
         columns = [d[0] for d in found.description]
         assert sorted(columns) == sorted(df.columns)
         assert plain(rows, df.columns) == plain(found.fetchall(), columns)
+
+
+def test_append_and_created(spark, tmp_path):
+    old = spark.createDataFrame([(1, "sent", 2.0)], "id int, status string, total double")
+    new = spark.createDataFrame([(2, None), (3, "quoted")], "id int, status string")
+    rows = quotes.created(old, new, {"status": F.lit("new"), "total": F.lit(0.0)})
+    assert sorted(map(tuple, rows.collect())) == [(1, "sent", 2.0), (2, "new", 0.0), (3, "quoted", 0.0)]
+    for part in (old, rows.filter("id > 1")):
+        quotes.append(part, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+    assert quotes.by_optional_key(rows, "id", None).count() == 3 and quotes.by_optional_key(rows, "id", 2).count() == 1
+
+
+def test_picks(spark):
+    df = spark.sql("select array(named_struct('url', 'a'), named_struct('url', 'b')) as d, cast(array() as array<struct<url:string>>) as none, named_struct('url', 'b') as b, named_struct('url', 'z') as z, cast(null as struct<url:string>) as n")
+    pick = lambda d, s: df.select(quotes.repicked(F.col(d), F.col(s), "url").alias("r")).head()["r"]
+    assert [pick("d", "b")["url"], pick("d", "z")["url"], pick("none", "b"), pick("d", "n")] == ["b", "a", None, None]
+    assert df.select(quotes.picked(F.col("none")).alias("r")).head()["r"] is None
+
+
+@pytest.mark.parametrize(("url", "want"), [("https://h.org/m/a.png", "https://h.org/m/a.png"), ("https://h.org:443/m/a.png/v1/fill/w_1/b.webp?x", "https://h.org/m/a.png"), ("https://h.org/m/a.svg", None), ("https://u@h.org/m/a.png", None), ("https://h.org:80/m/a.png", None), ("http://h.org/m/a.png", None), ("https://h.org/m/../a.png", None), ("https://x.org/m/a.png", None), ("/m/a.png", None), (None, None)])
+def test_media_source(spark, url, want):
+    got = one(spark, text.media_source(F.col("a"), {"h.org": "/m/"}), a=url)
+    assert (got and got["base"]) == want
+
+
+@pytest.mark.parametrize(("crop", "fx", "want"), [(False, None, "/v1/fit/w_6000,h_2,q_80"), (True, None, "/v1/fill/w_6000,h_2,al_c,q_80"), (True, -3.0, "/v1/fill/w_6000,h_2,fp_0.00_0.50,q_80")])
+def test_transform_url(spark, crop, fx, want):
+    source, focus = F.struct(F.lit("b/a.PNG").alias("base"), F.lit("a.PNG").alias("name")), F.when(F.lit(fx is not None), F.struct(F.lit(fx or 0.0).alias("x"), F.lit(0.5).alias("y")))
+    assert one(spark, text.transform_url(source, F.lit(9000.4), F.lit(1.5), F.lit(crop), focus, F.lit(80))) == f"b/a.PNG{want},usm_0.66_1.00_0.01,enc_webp,quality_auto/a.webp"
+
+
+def test_unknown_files_are_errors(spark):
+    from quillspark.sources.tables import checked_extension
+
+    df = spark.createDataFrame([("a.STP",)], "p string")
+    assert df.select(checked_extension(F.col("p")).alias("k")).head()["k"] == "step"
+    with pytest.raises(Exception, match="no CAD file: a.STP.pdf"):
+        df.select(checked_extension(F.concat("p", F.lit(".pdf"))).alias("k")).collect()
+
+
+def test_priced_line(spark):
+    got = [one(spark, quotes.priced_line(F.col("a"), F.col("b")), a=a, b=b) for a, b in (("2", "1.5"), ("x", "3"), ("1.5", None), (None, None))]
+    assert [tuple(r) for r in got] == [("2", "$1.50", "$3.00"), ("", "$3.00", ""), ("1.5", "", ""), ("", "", "")]
