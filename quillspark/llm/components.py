@@ -16,7 +16,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (its smallest reachable node) for every node of ``edges`` (a, b); self loops and repeats don't matter.
 
     A node's smallest neighbour comes from an aggregation and is joined back, so a hot node's edges are never gathered in one task
-    or row. Each round is written, so lost executors cost one round at most.
+    or row. Each round is written, so lost executors cost one round at most. Rounds grow with the logarithm of the longest path; more than ``most_rounds``
+    would take a path of over 2^50 nodes, so it only guards against an endless loop.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
@@ -35,4 +36,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         state = seen
     else:
         raise RuntimeError("components did not settle")
-    return written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")
+    out = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")
+    forget(now)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import forget, written
 
 #: Weights of the sources in code point order, repeating. Fixed values of the mix.
 WEIGHTS = (5, 2, 1)
@@ -102,6 +102,7 @@ def plan(keyed: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFram
         others = ranked.join(bins, ["_null", "_src"]).filter(~_inside() & ~_filled_up(k) & (F.col("_size") <= F.col("_gap")))
         fill = others.groupBy("_null", "_src").agg(F.max(_key("_size")).alias(f"_fill{k}"))
         bins = written(bins.join(fill, ["_null", "_src"], "left").withColumn("_gap", F.col("_gap") - F.coalesce(F.col(f"_fill{k}._size"), F.lit(0))), "mix-fill")
+    forget(slim)
     return levels, bins.drop("_gap")
 
 
@@ -140,7 +141,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 0) -> D
     copies fall with size and stop at MOST; their whole part is taken for certain, their fraction is the inclusion odds of a
     Pareto sample: the documents with the least (random odds / inclusion odds) are taken while the target holds them, and
     FILLS others, the largest that fits first, fill what is left. Rows that repeat a doc_id and text share one rank and so one fate. Other columns are ignored; empty input
-    gives no rows.
+    gives no rows. A very long text is only counted.
     """
     keyed = with_keys(docs.select("doc_id", "text", F.col("source").cast("string").alias("source")), seed)
     out = apply(keyed, *plan(keyed, weights))

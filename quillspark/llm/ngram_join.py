@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ship, slices, tidy, written
+from quillspark.llm.common import forget, ship, slices, tidy, written
 from quillspark.llm.components import components
 
 #: Share of a set that the first bound asks to be found twice, beyond what the size bound leaves out.
@@ -38,8 +38,10 @@ SATURATED = 4096
 FILTER_BITS = 1 << 25
 #: Rows in a block of a column, on average at most.
 BLOCK_ROWS = 1024
-#: Words remembered by a worker.
-WORDS = 150_000
+#: Words and keys of sets remembered by a worker.
+WORDS, KEYS = 150_000, 1_000_000
+#: A set that more than one in so many rows have is hot; there are fewer than that of them.
+HOT = 1000
 _GOLD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
 
@@ -105,16 +107,21 @@ def whole_runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Ta
 
 
 def _sketches(docs: DataFrame, words: int, t: float) -> DataFrame:
-    """doc_id, n, key (of the set) and prefix: the first n-grams in hash order that the first bound looks at."""
+    """doc_id, n, key (of the set) and prefix: the first n-grams in hash order that the first bound looks at; none for a set that the task has met already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+        shingle, met = Shingler(words), set()
         for batch in slices(batches):
             sets = [shingle(x) for x in batch.column("text").to_pylist()]
-            prefix = [s[: len(s) - needed(len(s), t) + math.ceil(EXTRA * len(s))].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+            keys, prefix = [_key(s) for s in sets], []
+            if len(met) > KEYS:
+                met.clear()
+            for s, k in zip(sets, keys, strict=True):
+                prefix.append(s[: 0 if k in met else len(s) - needed(len(s), t) + math.ceil(EXTRA * len(s))].view(np.int64) if len(s) else s.view(np.int64))
+                met.add(k)
             offsets = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate([*prefix, np.zeros(0, np.int64)]))],
+                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate([*prefix, np.zeros(0, np.int64)]))],
                 ["doc_id", "n", "key", "prefix"],
             )
 
@@ -289,7 +296,8 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     Two rows link when 100 * intersection >= percent * union of their n-gram sets; texts with fewer words than ``words`` have their
     whole sequence as one n-gram. Empty, blank and null texts have no n-gram and no link. component_id is the smallest doc_id
     reachable, the row's own included. Rows without a doc_id link with nothing and have a null component; rows that repeat a doc_id
-    with another text lie in the component of each of them, by the smallest one. Other columns are ignored.
+    with another text lie in the component of each of them, by the smallest one. Other columns are ignored. A task holds the words of one very long text at
+    once, some 30 times its bytes.
     """
     ship(docs.sparkSession)
     t = percent / 100
@@ -298,8 +306,11 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     sets = written(_row_sets(docs, rows, words), "ngram-sets")
     columns = written(_columns(sets, t), "ngram-columns")
 
+    held: list[DataFrame] = []
+
     def alike(pairs: DataFrame) -> DataFrame:
-        return written(_overlaps(pairs, sets).withColumn("linked", 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))), "ngram-overlaps")
+        held.append(written(_overlaps(pairs, sets).withColumn("linked", 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))), "ngram-overlaps"))
+        return held[-1]
 
     first = columns.groupBy("g").agg(F.min(F.struct((1 - F.col("s") / F.col("n")).alias("alone"), "row", "n", "s")).alias("p")).select("g", F.col("p.row").alias("a"), F.col("p.n").alias("na"), F.col("p.s").alias("sa"))
     near = columns.join(first, "g").filter((F.col("a") != F.col("row")) & _possible(F.col("n"), F.col("s"), F.col("na"), F.col("sa"), t))
@@ -315,11 +326,17 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     more = alike(pairs).filter("linked").select("a", "b")
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-    # equal sets and repeated doc_ids also join rows
-    own = sketches.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("row"))
-    member = sketches.select("doc_id", "n", "key").join(own, "key", "left").join(found, F.col("row") == F.col("node"), "left")
-    label = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "row"))
-    return member.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"))
+    # equal sets and repeated doc_ids also join rows; labels are looked up by set, not by row, and those of hot sets without a shuffle
+    own = sketches.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("row"), F.count("*").alias("c"))
+    own = own.join(found, F.col("row") == F.col("node"), "left").select("key", F.coalesce("component", "row").alias("component_id"), "c")
+    labels = written(own, "ngram-labels")
+    hot = F.broadcast(labels.filter(F.col("c") * HOT > sketches.count()).select("key", "component_id"))
+    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
+    member = sketches.filter(~alone).select("doc_id", "n", "key")
+    rest = member.join(hot.select("key"), "key", "left_anti").join(labels.select("key", "component_id"), "key")
+    out = sketches.filter(alone).select("doc_id", "n", F.col("doc_id").alias("component_id")).unionByName(member.join(hot, "key").drop("key")).unionByName(rest.drop("key"))
+    forget(rows, sets, columns, labelled, *held)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
