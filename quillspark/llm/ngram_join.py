@@ -10,7 +10,8 @@ among the first ``n - ceil(t * n) + 1`` of each in any common order. Steps:
 4. Each column multiplies its rows with one of them only, that with the least unshared n-grams, as the original of many copies has; the
    accumulated overlaps give the first links and components.
 5. A column whose rows all lie in one component is done. In the others, the rows outside of the column's largest component are multiplied
-   with all rows of other components. This takes every remaining pair, so no link that matters to a component is lost.
+   with all rows of other components, but for pairs that their overlaps with the column's pivot rule out. This takes every remaining pair that can
+   link, so no link that matters to a component is lost.
 
 Overlaps are counted over whole sets. A pair is discarded before that if the larger set is too large, or if one of them shares fewer n-grams with
 all other rows together than the pair's sizes ask for.
@@ -276,15 +277,24 @@ def _possible(n: Column, s: Column, m: Column, z: Column, t: float) -> Column:
 
 
 def _open_pairs(rows: DataFrame, blocks: int, t: float) -> DataFrame:
-    """a, b: all pairs of rows (g, row, n, s, c, main) in a common column and of different components, one of them not the column's main one.
+    """a, b: all pairs of rows (g, row, n, s, c, main, pivot, o) in a common column and of different components, one of them not the column's main one.
+
+    o is what a row shares with its column's pivot, where that was counted; it bounds what two rows can share.
 
     A column's rows are put into blocks, which meet the other rows as a whole; what the columns of a row bring from one block is united before
     it becomes pairs. So the rows made follow the entries and the pairs, not how often a pair meets.
     """
     block = F.pmod(F.xxhash64("row", F.lit(9)), F.lit(blocks))
-    held = rows.groupBy("g", block.alias("k")).agg(F.collect_list(F.struct("row", "n", "s", "c", (F.col("c") == F.col("main")).alias("top"))).alias("held"))
-    few = rows.filter("c <> main").select("g", F.col("row").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("c").alias("ca"))
-    fits = lambda x: (x["c"] != F.col("ca")) & _possible(x["n"], x["s"], F.col("na"), F.col("sa"), t) & (x["top"] | (x["row"] > F.col("a")))
+    rows = rows.filter("row <> pivot")  # met all of its columns' rows before
+    held = rows.groupBy("g", block.alias("k")).agg(F.collect_list(F.struct("row", "n", "s", "c", "o", (F.col("c") == F.col("main")).alias("top"))).alias("held"))
+    few = rows.filter("c <> main").select("g", F.col("row").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("c").alias("ca"), F.col("o").alias("oa"))
+
+    def fits(x: Column) -> Column:
+        # what two rows share lies in the pivot, at most what each shares with it, or beside it
+        most = F.least(x["o"], F.col("oa")) + F.least(x["s"] - x["o"], F.col("sa") - F.col("oa"))
+        near = x["o"].isNull() | F.col("oa").isNull() | (most >= t / (1 + t) * (x["n"] + F.col("na")) - 1e-6)
+        return (x["c"] != F.col("ca")) & _possible(x["n"], x["s"], F.col("na"), F.col("sa"), t) & near & (x["top"] | (x["row"] > F.col("a")))
+
     met = few.join(held, "g").select("a", "k", F.transform(F.filter("held", fits), lambda x: x["row"]).alias("b")).filter(F.size("b") > 0)
     met = met.groupBy("a", "k").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b")).select("a", F.explode("b").alias("b"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -315,14 +325,16 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     first = columns.groupBy("g").agg(F.min(F.struct((1 - F.col("s") / F.col("n")).alias("alone"), "row", "n", "s")).alias("p")).select("g", F.col("p.row").alias("a"), F.col("p.n").alias("na"), F.col("p.s").alias("sa"))
     near = columns.join(first, "g").filter((F.col("a") != F.col("row")) & _possible(F.col("n"), F.col("s"), F.col("na"), F.col("sa"), t))
     pairs = near.select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct()
-    links = alike(pairs).filter("linked").select("a", "b")
-    found = components(links)
+    met = alike(pairs)
+    found = components(met.filter("linked").select("a", "b"))
 
     # columns that still join several components
     labelled = written(columns.join(found, F.col("row") == F.col("node"), "left").select("g", "row", "n", "s", F.coalesce("component", "row").alias("c")), "ngram-labelled")
     parts = labelled.groupBy("g", "c").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("g").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("g", F.col("top.c").alias("main"))
-    pairs = _open_pairs(labelled.join(mixed, "g"), max(1, sets.count() // BLOCK_ROWS), t)
+    still = labelled.join(mixed, "g").join(first.select("g", F.col("a").alias("pivot")), "g").withColumns({"a": F.least("row", "pivot"), "b": F.greatest("row", "pivot")})
+    still = still.join(met.select("a", "b", F.col("both").alias("o")), ["a", "b"], "left").drop("a", "b")
+    pairs = _open_pairs(still, max(1, sets.count() // BLOCK_ROWS), t)
     more = alike(pairs).filter("linked").select("a", "b")
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
