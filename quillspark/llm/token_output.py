@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import forget, own_dir, ship, slices, tidy, written
 from quillspark.llm.rans import Block, Table, encode_block
-from quillspark.llm.tokens import PieceEncoder, default_path, load
+from quillspark.llm.tokens import default_path, encoder, load
 
 #: Ids in a block, more only where one document has more.
 BLOCK_IDS = 1 << 19
@@ -32,10 +32,10 @@ def _tokenised(docs: DataFrame, path: str, end_id: int | None, range_bytes: int)
     dtype = "<u2" if size <= 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pack, total = PieceEncoder(path, dtype), zstandard.ZstdCompressor(level=1), 0
+        known, pack, total = encoder(path, dtype), zstandard.ZstdCompressor(level=1), 0
         end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
         for batch in slices(batches):
-            raw = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
+            raw = [x + end for x in known.encode(batch.column("text").to_pylist())]
             n = np.array([len(x) for x in raw]) // np.dtype(dtype).itemsize
             before, total = total + np.cumsum(n) - n, total + int(n.sum())
             yield pa.RecordBatch.from_arrays(

@@ -21,7 +21,7 @@ UNUSUAL = re.compile(f"[{EXOTIC}]")
 #: A stable boundary: the white space that follows it.
 CUT = re.compile(f"(?<=[^ \t\n\r{EXOTIC}])[ \t\n\r]")
 #: Pieces remembered by a worker; beyond it the half met in the most slices of texts stays. About 60 bytes each.
-MEMO = 1_500_000
+MEMO = 1_000_000
 #: Pieces learnt since the last merge that are looked up apart.
 FRESH = 60_000
 #: Pieces that the library gets as one text; characters that it gets at once of a text that is not cut into pieces, where stable boundaries allow.
@@ -233,3 +233,9 @@ class PieceEncoder:
         for i in whole:
             out[i] = np.array(encode_long(self.tokenizer, texts[i]), self.dtype).tobytes()
         return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, dtype: str) -> PieceEncoder:
+    """One for each worker, so that its tasks share what they have learnt; its size is bounded by MEMO."""
+    return PieceEncoder(path, dtype)

@@ -85,3 +85,37 @@ def test_tokens(stages):
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == expected
     assert [r["doc_id"] for r in got] == [d for d, _ in rows]
     assert [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])[:-1]]).tolist()
+
+
+@pytest.fixture(scope="module")
+def odd_run(spark, tmp_path_factory):
+    """The whole pipeline over nulls, ties, repeated rows and columns whose names the operators use."""
+    at = tmp_path_factory.mktemp("odd")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr("doc_id", "text", "lang", "source", "n_chars", "doc_id as _size", "text as ids", "source as target", "1.0 as score")
+    first = docs.orderBy("doc_id").limit(1)
+    long = first.selectExpr("9001L as doc_id", "repeat(concat(text, ' '), 400) as text", "lang", "source", "n_chars", "_size", "ids", "target", "score")
+    nulls = first.selectExpr("explode(array(null, 9002L, 9003L)) as doc_id", "cast(null as string) as text", "cast(null as string) as lang", "cast(null as string) as source", "n_chars", "_size", "ids", "target", "score")
+    blank = first.selectExpr("9004L as doc_id", "'' as text", "lang", "source", "n_chars", "_size", "ids", "target", "score")
+    rows = docs.unionByName(first).unionByName(long).unionByName(nulls).unionByName(blank)
+    rows.write.parquet(f"{at}/documents.parquet")
+    rows.limit(0).write.parquet(f"{at}/none/documents.parquet")
+    for path in (at, at / "none"):
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{path}/labels.parquet")
+        spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("item_id", "text", "text as doc_id").write.parquet(f"{path}/benchmark.parquet")
+    return str(at)
+
+
+def test_odd_rows_through_all_stages(spark, odd_run):
+    docs = spark.read.parquet(f"{odd_run}/documents.parquet")
+    start, counts = docs, []
+    for name, stage in pipeline.STAGES:
+        docs = written(stage(spark, docs, odd_run), f"odd-{name}")
+        counts.append(docs.count())
+        assert name == "tokens" or docs.columns == start.columns
+    got = docs.orderBy("start").collect()
+    assert len(got) == counts[3] and [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])[:-1]]).tolist()
+    assert pipeline.run(spark, odd_run).count() == len(got)
+
+
+def test_nothing_through_all_stages(spark, odd_run):
+    assert pipeline.run(spark, f"{odd_run}/none").count() == 0
