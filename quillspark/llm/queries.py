@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import langid, oracles, pii, quality, secrets
+from quillspark.llm import langid, oracles, pieces, pii, quality, secrets
 from quillspark.llm.ann import nearest
 from quillspark.llm.decontaminate import EXCERPTS, leaks
 from quillspark.llm.mixing import mix
@@ -59,8 +60,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_documents(spark, sf_dir), words=4, percent=85)
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(_documents(spark, sf_dir), decoded=True)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_nearest, op3_personal_data, op4_quality, op5_decontaminate, op6_language_id, op7_token_counts, op8_mix_sources, op9_token_output, op10_ngram_join)}
+    ops = (op1_secrets, op2_nearest, op3_personal_data, op4_quality, op5_decontaminate, op6_language_id, op7_token_counts, op8_mix_sources, op9_token_output, op10_ngram_join)
+    return {f.__name__: f for f in (*ops, op11_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
