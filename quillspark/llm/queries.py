@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import langid, oracles, pieces, pii, quality, secrets
+from quillspark.llm import conversations, langid, oracles, pieces, pii, quality, secrets
 from quillspark.llm.ann import nearest
 from quillspark.llm.decontaminate import EXCERPTS, leaks
 from quillspark.llm.mixing import mix
@@ -65,9 +65,13 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_secrets, op2_nearest, op3_personal_data, op4_quality, op5_decontaminate, op6_language_id, op7_token_counts, op8_mix_sources, op9_token_output, op10_ngram_join)
-    return {f.__name__: f for f in (*ops, op11_sentencepiece)}
+    return {f.__name__: f for f in (*ops, op11_sentencepiece, op12_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
