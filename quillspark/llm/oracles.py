@@ -43,3 +43,36 @@ f{k + 2} as (select *, in{k} or pick{k} as in{k + 1}, gap{k} - coalesce(max(case
 y as (select *, case when q is not null and (inside or in3) then 1 else 0 end as copies1 from f4)
 select doc_id, size::bigint as size, source_size, target, size * (whole + copies1)::bigint as taken, (whole + copies1)::bigint as copies from y join s using (nul, src)
 """
+
+
+def _edit(x: str, cost: str, edit: str, line: str = "''") -> str:
+    return f"case when {x} is not null then {{'c': {x}.c + {cost}, 'a': {x}.a || '{edit}', 'o': {x}.o || {line}}} end"
+
+
+#: The edit lattice as a recursive query: a step for each row, the best (cost, audit, output) of each of the four states.
+REPAIR = rf"""
+with recursive tab as (select list(v order by i) as t from (select i, list_reduce(list_prepend(i, range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384)) as v from range(256) r(i))),
+k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))::varchar as key from conversations),
+c as (select k.*, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(key) + 1), lambda i: ord(key[i])::bigint)), lambda x, b: xor(x >> 8, t[xor(x, b) % 256 + 1])), 4294967295) % 20 as kind from k, tab),
+d as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when kind = 3 then [0, 1] else [0] end) as again from c where kind <> 0),
+j as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from d),
+e as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as seen,
+  not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') as cut from j),
+f as (select conv_id, turn, role, text, i, left(role, 1) as ini, blank, seen and not blank as dup, cut and not blank and not seen as cut, not blank and not seen as may from e),
+s(conv_id, i, a0, a1, a2, a3) as (
+  select distinct conv_id, 0::bigint, {{'c': 0::bigint, 'a': '', 'o': ''}}, null::struct(c bigint, a varchar, o varchar), null::struct(c bigint, a varchar, o varchar), null::struct(c bigint, a varchar, o varchar) from f
+  union all
+  select g.conv_id, g.i, {_edit("b0", "3", "D")}, list_min([{_edit("b1", "3", "D")}, case when may and ini = 's' then {_edit("b0", "cut::int", "K", "chr(10) || role || ':' || text")} end]),
+    list_min([{_edit("b2", "3", "D")}, case when may and ini = 'u' then list_min([{", ".join(_edit(b, "cut::int", "K", "chr(10) || role || ':' || text") for b in ("b0", "b1", "b3"))}]) end, case when may then list_min([{", ".join(_edit(b, "2 + cut::int", "R", "chr(10) || 'user:' || text") for b in ("b0", "b1", "b3"))}]) end]),
+    list_min([{_edit("b3", "3", "D")}, case when may and ini = 'a' then {_edit("b2", "cut::int", "K", "chr(10) || role || ':' || text")} end, case when may then {_edit("b2", "2 + cut::int", "R", "chr(10) || 'assistant:' || text")} end])
+  from (select f.*, a0 as b0, a1 as b1, b2, list_min([a3, {_edit("b2", "2", "I", "chr(10) || 'assistant:'")}]) as b3
+    from (select *, list_min([a2, {", ".join(_edit(b, "2", "I", "chr(10) || 'user:'") for b in ("a0", "a1", "a3"))}]) as b2 from s) x join f on f.conv_id is not distinct from x.conv_id and f.i = x.i + 1) g),
+z as (select conv_id, list_min([a0, a3, {_edit("b2", "2", "I", "chr(10) || 'assistant:'")}]) as best
+  from (select *, list_min([a2, {", ".join(_edit(b, "2", "I", "chr(10) || 'user:'") for b in ("a0", "a1", "a3"))}]) as b2 from s where i = (select max(f.i) from f where f.conv_id is not distinct from s.conv_id)) y),
+p as (select *, lag(ini) over (partition by conv_id order by i) || ini as two from f),
+n as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, sum(blank::int) as blank, sum(dup::int) as duplicate, sum(cut::int) as truncated, sum(coalesce(two not in ('su', 'ua', 'au'), false)::int) as illegal from p group by conv_id),
+o as (select distinct conv_id from conversations)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit, sha256(coalesce(best.o[2:], '')) as repaired_sha256
+from o left join n on n.conv_id is not distinct from o.conv_id left join z on z.conv_id is not distinct from o.conv_id
+"""

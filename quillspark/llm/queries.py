@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": oracles.MIX, "op10_ngram_join": oracles.NGRAM_JOIN}
+    return {"op8_mix_sources": oracles.MIX, "op10_ngram_join": oracles.NGRAM_JOIN, "op12_conversation_repair": oracles.REPAIR}
