@@ -76,3 +76,14 @@ select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint
   coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit, sha256(coalesce(best.o[2:], '')) as repaired_sha256
 from o left join n on n.conv_id is not distinct from o.conv_id left join z on z.conv_id is not distinct from o.conv_id
 """
+
+NEGATIVES = r"""
+with e as (select row_number() over () as r, vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+a as (select * from e where vec_id % 100 = 0),
+s as (select a.r as ar, a.vec_id as anchor_id, b.r as br, b.vec_id as vec_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score from a join e b on len(a.v) = len(b.v) and a.r <> b.r),
+p as (select * from s where same qualify row_number() over (partition by ar order by score desc, vec_id) <= 5)
+select p.anchor_id, p.vec_id as positive_id, (row_number() over (partition by p.ar, p.br order by n.score desc, n.vec_id))::int as rank, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from p join s n on n.ar = p.ar and not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+qualify rank <= 10
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import conversations, langid, oracles, pieces, pii, quality, secrets
 from quillspark.llm.ann import nearest
 from quillspark.llm.decontaminate import EXCERPTS, leaks
+from quillspark.llm.hard_negatives import hard_negatives, quantized
 from quillspark.llm.mixing import mix
 from quillspark.llm.ngram_join import ngram_components
 from quillspark.llm.token_counts import count_tokens
@@ -69,10 +70,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(quantized(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_secrets, op2_nearest, op3_personal_data, op4_quality, op5_decontaminate, op6_language_id, op7_token_counts, op8_mix_sources, op9_token_output, op10_ngram_join)
-    return {f.__name__: f for f in (*ops, op11_sentencepiece, op12_conversation_repair)}
+    return {f.__name__: f for f in (*ops, op11_sentencepiece, op12_conversation_repair, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": oracles.MIX, "op10_ngram_join": oracles.NGRAM_JOIN, "op12_conversation_repair": oracles.REPAIR}
+    return {"op8_mix_sources": oracles.MIX, "op10_ngram_join": oracles.NGRAM_JOIN, "op12_conversation_repair": oracles.REPAIR, "op13_hard_negatives": oracles.NEGATIVES}
