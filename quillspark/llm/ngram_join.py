@@ -4,7 +4,7 @@ Rows of the matrix are the distinct n-gram sets, columns the n-grams. Only colum
 multiplied: a pair of sets at similarity ``t`` or more shares at least ``ceil(t / (1 + t) * (|a| + |b|))`` n-grams, so it also shares one
 among the first ``n - ceil(t * n) + 1`` of each in any common order. Steps:
 
-1. Sets of whole texts, as 64-bit hashes; equal sets are one row.
+1. Sets of whole texts, as 64-bit hashes; equal sets are one row, known by the hash of the set and not by a doc_id, which may repeat.
 2. First bound: of the first quarter or so in hash order, at least ``EXTRA`` of the set must be shared with another row. Most rows end here.
 3. Remaining rows: n-grams in order of rarity; each row keeps its rarest ones up to the size bound. Unshared ones need no column.
 4. Each column multiplies its rows with one of them only, that with the least unshared n-grams, as the original of many copies has; the
@@ -162,10 +162,10 @@ def _first_bound(sketches: DataFrame, t: float) -> DataFrame:
 
     entries = sketches.select("key", F.explode("prefix").alias("h"))
     shared = entries.repartition("h").sortWithinPartitions("h", "key").mapInArrow(tidy(run), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    sizes = sketches.filter("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("row"))
+    sizes = sketches.filter("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc"))
     # prefixes that leave room for e n-grams more than the size bound share e of them; the smaller partner has t * n n-grams at least
     least = F.greatest(F.lit(1), F.ceil(EXTRA * t * F.col("n") - 1e-9))
-    return shared.join(sizes, "key").filter(F.col("row").isNotNull() & (F.col("c") >= least)).select("row", "n", "key")
+    return shared.join(sizes, "key").filter(F.col("doc").isNotNull() & (F.col("c") >= least)).select("doc", "n", "key")
 
 
 def _bits(rows: DataFrame, column: str) -> bytes:
@@ -179,8 +179,8 @@ def _bits(rows: DataFrame, column: str) -> bytes:
 
 
 def _row_sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """row, n, grams of the rows that are left, from a second scan that no other text leaves."""
-    sent = docs.sparkSession.sparkContext.broadcast(_bits(rows, "row"))
+    """row, n, grams of the rows that are left, from a second scan that no other text leaves; row is the set's key."""
+    sent = docs.sparkSession.sparkContext.broadcast(_bits(rows, "doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shingle = np.frombuffer(sent.value, np.uint8), Shingler(words)
@@ -191,11 +191,11 @@ def _row_sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
                 continue
             sets = [shingle(x).view(np.int64) for x in batch.column("text").to_pylist()]
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([_key(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(sets))], ["row", "key", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([_key(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(sets))], ["doc", "key", "grams"])
 
-    source = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("row"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)).alias("at"), "text")
-    found = source.mapInArrow(tidy(run), "row long, key long, grams array<long>")
-    return found.join(rows, ["row", "key"]).dropDuplicates(["row"]).select("row", "n", "grams")
+    source = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)).alias("at"), "text")
+    found = source.mapInArrow(tidy(run), "doc long, key long, grams array<long>")
+    return found.join(rows, ["doc", "key"]).dropDuplicates(["key"]).select(F.col("key").alias("row"), "n", "grams")
 
 
 def _columns(sets: DataFrame, t: float) -> DataFrame:
@@ -326,7 +326,11 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     near = columns.join(first, "g").filter((F.col("a") != F.col("row")) & _possible(F.col("n"), F.col("s"), F.col("na"), F.col("sa"), t))
     pairs = near.select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct()
     met = alike(pairs)
-    found = components(met.filter("linked").select("a", "b"))
+    # rows that repeat a doc_id with another set join these sets: a star for each such id
+    member = sketches.filter("n > 0 and doc_id is not null").select("doc_id", "n", "key")
+    several = member.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a <> z").select("doc_id", "a")
+    held.append(written(member.join(several, "doc_id").filter("a <> key").select("a", F.col("key").alias("b")).distinct(), "ngram-same-ids"))
+    found = components(met.filter("linked").select("a", "b").union(held[-1]))
 
     # columns that still join several components
     labelled = written(columns.join(found, F.col("row") == F.col("node"), "left").select("g", "row", "n", "s", F.coalesce("component", "row").alias("c")), "ngram-labelled")
@@ -338,13 +342,14 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     more = alike(pairs).filter("linked").select("a", "b")
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-    # equal sets and repeated doc_ids also join rows; labels are looked up by set, not by row, and those of hot sets without a shuffle
-    own = sketches.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("row"), F.count("*").alias("c"))
-    own = own.join(found, F.col("row") == F.col("node"), "left").select("key", F.coalesce("component", "row").alias("component_id"), "c")
-    labels = written(own, "ngram-labels")
+    # a component's smallest doc_id; labels are looked up by set, and those of hot sets without a shuffle
+    own = member.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("c"))
+    joined = found.join(own, F.col("node") == F.col("key")).select("node", "component", "doc")
+    least = joined.groupBy("component").agg(F.min("doc").alias("least"))
+    of = joined.join(least, "component").select("node", "least")
+    labels = written(own.join(of, F.col("key") == F.col("node"), "left").select("key", F.coalesce("least", "doc").alias("component_id"), "c"), "ngram-labels")
     hot = F.broadcast(labels.filter(F.col("c") * HOT > sketches.count()).select("key", "component_id"))
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    member = sketches.filter(~alone).select("doc_id", "n", "key")
     rest = member.join(hot.select("key"), "key", "left_anti").join(labels.select("key", "component_id"), "key")
     out = sketches.filter(alone).select("doc_id", "n", F.col("doc_id").alias("component_id")).unionByName(member.join(hot, "key").drop("key")).unionByName(rest.drop("key"))
     forget(rows, sets, columns, labelled, *held)
@@ -352,12 +357,12 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs``, with their columns, that have the smallest doc_id of their component; rows that repeat a doc_id and text count once.
+    """Rows of ``docs``, with their columns, that have the smallest doc_id of their component; rows that repeat a doc_id and text count once, null texts apart from empty ones.
 
     Rows without a doc_id stay. Only rows that a fixed-size filter takes for dropped or repeated ones are shuffled; the others pass as they are read.
     """
     found = written(ngram_components(docs, words, percent), "ngram-components")
-    dropped = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    dropped = found.filter("component_id <> doc_id and n_shingles > 0").select("doc_id").distinct()
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     sent = docs.sparkSession.sparkContext.broadcast(_bits(dropped.union(repeated), "doc_id"))
     at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
@@ -375,5 +380,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     null = F.col("row.doc_id").isNull()
     doubtful = split(True).filter(~null).withColumn("id", F.col("row.doc_id").cast("long"))
-    kept = doubtful.join(dropped.select(F.col("doc_id").alias("id")), "id", "left_anti").withColumn("t", F.md5(F.coalesce("row.text", F.lit("-")))).dropDuplicates(["id", "t"])
+    # a blank text links with nothing, so it stays though another text of its doc_id goes
+    gone = dropped.select(F.col("doc_id").alias("gone"))
+    kept = doubtful.join(gone, (F.col("id") == F.col("gone")) & F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), "left_anti").withColumns({"t": F.md5(F.coalesce("row.text", F.lit(""))), "no": F.col("row.text").isNull()}).dropDuplicates(["id", "t", "no"])
     return split(False).select("row").union(kept.select("row")).union(split(True).filter(null).select("row")).select("row.*")

@@ -78,6 +78,40 @@ def test_join_of_odd_rows(spark):
     assert kept.columns == df.columns and sorted((r["doc_id"] or 0 for r in kept.collect())) == [0, 0, 4, 5, 6]
 
 
+def brute_of_repeats(rows, k, percent):
+    """component by doc_id where ids repeat: a doc_id is a node, and its texts' sets carry its links."""
+    ids = {d for d, _ in rows}
+    parent = {d: d for d in ids}
+    sets = [(d, sets_of(t, k)) for d, t in rows]
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                p, q = sorted((find(parent, a), find(parent, b)))
+                parent[q] = p
+    return sorted((d, len(s), find(parent, d) if s else d) for d, s in sets)
+
+
+def test_repeated_ids_with_other_texts_lose_no_link(spark):
+    rng = random.Random(11)
+    vocab = [f"w{k}" for k in range(300)]
+    a, b = (" ".join(rng.choice(vocab) for _ in range(40)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, f"{a} x"), (3, f"{b} y"), (4, "")]
+    for given in (rows, [(9 - d, t) for d, t in rows], [*rows, (3, ""), (3, None), (3, "-")]):
+        got = ngram_join.ngram_components(spark.createDataFrame(given, "doc_id long, text string"), 5, 80)
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_of_repeats(given, 5, 80)
+    kept = ngram_join.one_of_each(spark.createDataFrame([*rows, (1, None), (1, "-"), (1, ""), (1, ""), (3, None), (1, a)], "doc_id long, text string"), 5, 80)
+    assert sorted((r["doc_id"], str(r["text"])) for r in kept.collect()) == sorted([(1, a), (1, b), (1, ""), (1, "-"), (1, "None"), (3, "None"), (4, "")])
+
+
+def test_random_repeats_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SATURATED", 5)
+    rng = random.Random(12)
+    texts = copies(rng, 6, 12, 30, 3)
+    given = [(rng.randrange(45), t) for t in texts] + [(rng.randrange(45), "") for _ in range(5)]
+    got = ngram_join.ngram_components(spark.createDataFrame(given, "doc_id long, text string").repartition(3), 4, 85)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_of_repeats(given, 4, 85)
+
+
 def test_one_of_each(spark):
     rng = random.Random(5)
     some = copies(rng, 6, 30, 80, 2)
