@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions import js
+from quillspark.functions import js, urls
 
 #: Status labels and the order they are shown in. Fixed values.
 STATUSES = ("new", "in_review", "quoted", "sent", "accepted", "rejected")
@@ -83,19 +83,18 @@ def percent(confidence: Column) -> Column:
 
 
 def return_path(raw: Column, origin: str) -> Column:
-    """Path and query of a same-origin address without the dropped parameters, or / if it is unsafe.
+    """Path and query of an address that a browser resolves within ``origin``, without the dropped parameters; / for all others.
 
-    Dot segments are not resolved: paths with one count as unsafe.
+    A path that would be read as another host (two slashes in front, once its dot segments are gone) is no path either. Queries are form data, so they are
+    encoded anew, and a parameter's name counts as decoded.
     """
-    absolute = F.when(raw.startswith("/") & ~raw.startswith("//"), F.concat(F.lit(origin), raw)).otherwise(raw)
-    inside = absolute.startswith(origin + "/") | (absolute == origin)
-    rest = F.regexp_replace(F.substr(absolute, F.lit(len(origin) + 1)), r"#.*\z", "")
-    path = F.regexp_extract(rest, r"^([^?]*)", 1)
-    kept = F.filter(F.split(F.regexp_extract(rest, r"\?(.*)\z", 1), "&"), lambda p: (p != "") & ~F.regexp_extract(p, r"^([^=]*)", 1).isin(*DROPPED_PARAMS))
-    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    whole = F.concat(F.when(path == "", "/").otherwise(path), query)
-    unsafe = whole.startswith("//") | whole.contains("\\") | path.rlike(r"(?:^|/)\.{1,2}(?:/|\z)")
-    return F.coalesce(F.when(inside & ~unsafe, whole), F.lit("/"))
+    def safe(pair: Column) -> Column:
+        at, home = pair["at"], pair["home"]
+        inside = (at["scheme"] == home["scheme"]) & (at["host"] == home["host"]) & (at["port"] == home["port"])
+        return F.when(inside & ~at["path"].startswith("//"), F.concat(at["path"], urls.form_without(at["query"], *DROPPED_PARAMS)))
+
+    pair = F.struct(urls.resolve(raw, origin).alias("at"), urls.resolve(F.lit(origin)).alias("home"))
+    return F.coalesce(F.when(F.coalesce(raw, F.lit("")) != "", F.element_at(F.transform(F.array(pair), safe), 1)), F.lit("/"))
 
 
 def media_url(base: Column, name: Column, width: Column, height: Column, ratio: int) -> Column:
@@ -167,18 +166,19 @@ def fit_scale(parent_width: Column, own_width: Column, page_width: Column, most:
 def media_source(url: Column, hosts: dict[str, str]) -> Column:
     """struct(base, name) of an image address on one of ``hosts`` (host -> path prefix), without its transformation; null for others.
 
-    Only https on the usual port and without a user counts, and no vector images. Paths with dot segments count as others.
+    Only https on the usual port and without a user counts, and no vector images; the address is read as a browser reads it.
     """
-    authority = F.lower(F.regexp_extract(url, r"^(?i:https)://([^/?#]*)", 1))
-    host = F.regexp_replace(authority, r":(?:443)?\z", "")
-    path = F.regexp_extract(url, r"^(?i:https)://[^/?#]*(/[^?#]*)", 1)
-    base = F.regexp_replace(path, r"(?i)/v1/(?:fill|fit)/[^/]+/[^/]+\z", "")
-    name = F.substring_index(base, "/", -1)
-    prefix = F.lit(None).cast("string")
-    for h, p in hosts.items():
-        prefix = F.when(host == h, p).otherwise(prefix)
-    ok = base.startswith(prefix) & name.rlike(r"(?i)\.[a-z0-9]+\z") & ~name.rlike(r"(?i)\.svg\z") & ~path.rlike(r"/\.{1,2}(?:/|\z)")
-    return F.when(F.coalesce(ok, F.lit(False)), F.struct(F.concat(F.lit("https://"), host, base).alias("base"), name.alias("name")))
+
+    def source(at: Column) -> Column:
+        base = F.regexp_replace(at["path"], r"(?i)/v1/(?:fill|fit)/[^/]+/[^/]+\z", "")
+        name = F.substring_index(base, "/", -1)
+        prefix = F.lit(None).cast("string")
+        for h, p in hosts.items():
+            prefix = F.when(at["host"] == h, p).otherwise(prefix)
+        ok = (at["scheme"] == "https") & at["user"].isNull() & (at["port"] == "") & base.startswith(prefix) & name.rlike(r"(?i)\.[a-z0-9]+\z") & ~name.rlike(r"(?i)\.svg\z")
+        return F.when(F.coalesce(ok, F.lit(False)), F.struct(F.concat(F.lit("https://"), at["host"], base).alias("base"), name.alias("name")))
+
+    return F.element_at(F.transform(F.array(urls.resolve(url)), source), 1)
 
 
 def transform_url(source: Column, width: Column, height: Column, crop: Column, focus: Column, quality: Column) -> Column:

@@ -22,22 +22,35 @@ def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.page_url(F.replace(u, F.lit("http://"), F.lit(""))).alias("page"), text.file_name(u).alias("file_name"), text.snake(F.concat(F.upper(F.left(u, F.lit(3))), F.lit("Id"))).alias("snake"), text.resolved(given, F.when(F.col("page_id") % 2 == 0, "dflt").otherwise(""), F.lit("kept")).alias("ref"))
 
 
+#: What stands before and after a page's own path in each kind of address, and what a browser makes of it: "own" (path and query), "path" (its path), or a fixed answer.
+RETURN_FORMS = (
+    ("", "", "own"), ("https://app.example.com", "", "own"), ("HTTPS://App.Example.com:443", "", "own"), (" \t", " ", "own"), ("/x/..", "", "own"), ("/%2E", "", "own"), ("/a/b/.%2e/../%2e", "", "own"), ("https:\\\\app.example.com", "", "own"), ("https://me@app.example.com", "", "own"),
+    ("//evil.example.com", "", "/"), ("/\t/evil.example.com", "", "/"), ("/.//evil.example.com", "", "/"), ("/a/..//evil.example.com", "", "/"), ("\\/evil.example.com", "", "/"), ("http://app.example.com", "", "/"), ("https://app.example.com:8443", "", "/"), ("https://app.example.com.evil.example.com", "", "/"),
+    ("https://app.example.com@evil.example.com", "", "/"), ("javascript:", "", "/"), ("https://app.example.com", "#?app_id=1", "own"), ("x/../..", "", "own"), ("", "/./", "slash"),
+)
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\t", "' || chr(9) || '") + "'"
+
+
 @register(
     "safe_return_path",
-    """with u as (select page_id, url, regexp_replace(url, '^https?://[^/]*', '') as own from pages),
-      r as (select page_id, case page_id % 4 when 0 then own when 1 then url when 2 then 'https://app.example.com' || own || case when contains(own, '?') then '&' else '?' end || 'app_id=9&x=1' else '/' || own end as raw from u),
-      a as (select *, case when starts_with(raw, '/') and not starts_with(raw, '//') then 'https://app.example.com' || raw else raw end as whole from r),
-      p as (select *, regexp_replace(substr(whole, 24), '#.*$', '') as rest from a),
-      k as (select *, regexp_extract(rest, '^([^?]*)', 1) as path, list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'), lambda x: x <> '' and regexp_extract(x, '^([^=]*)', 1) not in ("""
-    + ", ".join(f"'{x}'" for x in text.DROPPED_PARAMS)
-    + """)) as kept from p),
-      w as (select *, case when path = '' then '/' else path end || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as shown from k)
-    select page_id, raw, case when (starts_with(whole, 'https://app.example.com/') or whole = 'https://app.example.com') and not (starts_with(shown, '//') or contains(shown, chr(92)) or regexp_matches(path, '(^|/)[.]{1,2}(/|$)')) then shown else '/' end as path from w""",
+    # each kind's answer is known from how it was put together, so nothing is parsed here but the page's own address, which is plain
+    f"""with u as (select page_id, regexp_extract(url, '^https?://[^/]*([^?#]*)', 1) as path, regexp_extract(url, '[?]([^#]*)', 1) as q from pages),
+      f as (select unnest(range({len(RETURN_FORMS)})) as k, unnest([{", ".join(_quoted(a) for a, _, _ in RETURN_FORMS)}]) as before, unnest([{", ".join(_quoted(b) for _, b, _ in RETURN_FORMS)}]) as after, unnest([{", ".join(_quoted(c) for _, _, c in RETURN_FORMS)}]) as kind),
+      d as (select *, case page_id % 3 when 0 then '' when 1 then 'app_id=9&' else '%66rom%5Furl=http://evil.example.com&' end as dropped from u)
+    select page_id, before || path || case when kind = 'slash' then after else '' end || case when q || dropped = '' then '' else '?' || dropped || q end || case when kind <> 'slash' then after else '' end as raw,
+      case kind when '/' then '/' else path || case when kind = 'slash' then '/' else '' end || case when q = '' then '' else '?' || q end end as path
+    from d join f on f.k = page_id % {len(RETURN_FORMS)}""",
 )
 def safe_return_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u, k = F.col("url"), F.col("page_id") % 4
-    path = F.regexp_replace(u, "^https?://[^/]*", "")
-    raw = F.when(k == 0, path).when(k == 1, u).when(k == 2, F.concat(F.lit("https://app.example.com"), path, F.when(path.contains("?"), "&").otherwise("?"), F.lit("app_id=9&x=1"))).otherwise(F.concat(F.lit("/"), path))
+    u = F.col("url")
+    before, after, kind = (F.element_at(F.array(*[F.lit(f[n]) for f in RETURN_FORMS]), (F.col("page_id") % len(RETURN_FORMS) + 1).cast("int")) for n in range(3))
+    path, query = F.regexp_extract(u, "^https?://[^/]*([^?#]*)", 1), F.regexp_extract(u, "[?]([^#]*)", 1)
+    dropped = F.element_at(F.array(F.lit(""), F.lit("app_id=9&"), F.lit("%66rom%5Furl=http://evil.example.com&")), (F.col("page_id") % 3 + 1).cast("int"))
+    asked = F.when(F.concat(query, dropped) == "", "").otherwise(F.concat(F.lit("?"), dropped, query))
+    raw = F.when(kind == "slash", F.concat(before, path, after, asked)).otherwise(F.concat(before, path, asked, after))
     return table(spark, sf_dir, "pages").select("page_id", raw.alias("raw"), text.return_path(raw, "https://app.example.com").alias("path"))
 
 
