@@ -33,13 +33,15 @@ def routed(embedded: DataFrame, recognised: DataFrame) -> DataFrame:
 
 
 def polygon_box(points: Column) -> Column:
-    """Box of a flat list of x and y; fewer than two values give zeros."""
-    some = F.coalesce(F.size(points) >= 2, F.lit(False))
-    side = lambda odd: F.transform(F.sequence(F.lit(odd), F.size(points) - 1 - F.pmod(F.size(points) + 1 + odd, F.lit(2)), F.lit(2)), lambda i: F.get(points, i))
-    xs, ys = side(0), side(1)
-    x, y = F.array_min(xs), F.array_min(ys)
-    value = lambda c: F.when(some, c).otherwise(0.0)
-    return F.struct(value(x).alias("x"), value(y).alias("y"), value(F.array_max(xs) - x).alias("width"), value(F.array_max(ys) - y).alias("height"))
+    """Box of a flat list of x and y; fewer than two values give zeros. A lambda's variable holds the points, so that they and the box are computed once a row."""
+
+    def box(p: Column) -> Column:
+        xs, ys = F.filter(p, lambda _, i: i % 2 == 0), F.filter(p, lambda _, i: i % 2 == 1)
+        x, y = F.array_min(xs), F.array_min(ys)
+        return F.struct(x.alias("x"), y.alias("y"), (F.array_max(xs) - x).alias("width"), (F.array_max(ys) - y).alias("height"))
+
+    zeros = F.struct(*[F.lit(0.0).alias(k) for k in ("x", "y", "width", "height")])
+    return F.coalesce(F.get(F.transform(F.filter(F.array(points), lambda p: F.size(p) >= 2), box), F.lit(0)), zeros)
 
 
 def mean_confidence(c: str) -> Column:
