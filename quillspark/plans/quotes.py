@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import js, text
 from quillspark.operators import quotes as Q
 from quillspark.plans.registry import register
+from quillspark.sources.snapshots import Store, work_folder
 from quillspark.sources.tables import table, unwrapped
 
 _TOP = "(select * from orders order by o_orderdate desc nulls last, o_orderkey limit 200)"
@@ -127,10 +128,29 @@ def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     from events group by 1""",
 )
 def latest_patch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return Q.latest_state(_patches(table(spark, sf_dir, "events")), "user_id", ("ts", "event_id"), _PATCH_FIELDS)
+
+
+_PATCH_FIELDS = ("status", "total")
+
+
+def _patches(events: DataFrame) -> DataFrame:
     fields = F.filter(F.array(F.when(F.col("event_id") % 2 == 0, "status"), F.when(F.col("event_id") % 3 == 0, "total")), lambda x: x.isNotNull())
-    p = e.select("user_id", "ts", "event_id", F.col("event_type").alias("status"), F.col("value").alias("total"), fields.alias("patched"))
-    return Q.latest_state(p, "user_id", ("ts", "event_id"), ("status", "total"))
+    return events.select("user_id", "ts", "event_id", F.col("event_type").alias("status"), F.col("value").alias("total"), fields.alias("patched"))
+
+
+@register(
+    "patch_snapshot_state",
+    """select user_id, arg_max(event_type, (ts, event_id)) filter (event_id % 2 = 0) as status, arg_max(value, (ts, event_id)) filter (event_id % 3 = 0) as total, count(*) as patches
+    from events group by 1""",
+)
+def patch_snapshot_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after three batches, each merged into the stored snapshot; the second is sent twice, and patches of the last are older than stored ones."""
+    events = _patches(table(spark, sf_dir, "events"))
+    store = Store(spark, work_folder(spark), "user_id", ("ts", "event_id"), _PATCH_FIELDS, buckets=8)
+    for batch, part in enumerate((0, 1, 1, 2)):
+        store.apply(events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part), batch if batch < 2 else batch - 1)
+    return store.state()
 
 
 @register("thread_lines_joined", "select conv_id, string_agg(coalesce(text, ''), chr(10) order by turn, text) as lines, count(*) as turns from conversations group by 1")
