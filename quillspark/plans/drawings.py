@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import acquisition as A
-from quillspark.operators import display, spatial
+from quillspark.operators import crowded, display, spatial
 from quillspark.operators.drawing import CATEGORIES, FIELDS, classify_distinct, with_bbox
 from quillspark.plans.registry import register
 from quillspark.sources.tables import SHAPES, drawing_items, extension, table
@@ -99,21 +99,42 @@ def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.section_counts(spatial.parse_drawing(drawing_items(spark, sf_dir)), CATEGORIES)
 
 
-@register(
-    "limit_pairs",
+_LIMIT_PAIRS = (
     f"""with recursive {_ITEMS}, {_PAIRS} select doc_id, page, a.seq as first_seq, b.seq as second_seq, greatest(a.v, b.v) as upper_limit, least(a.v, b.v) as lower_limit, null::varchar as unit, a.t || ' ' || b.t as members,
-      least(a.x, b.x) as box_x, a.seq * 12.0::double as box_y, 30 + abs(a.x - b.x) as box_width, (b.seq - a.seq) * 12.0::double + 10 as box_height, least(coalesce(a.c, 1), coalesce(b.c, 1)) as confidence, a.o as source, 'needs_confirmation' as status from p""",
+      least(a.x, b.x) as box_x, a.seq * 12.0::double as box_y, 30 + abs(a.x - b.x) as box_width, (b.seq - a.seq) * 12.0::double + 10 as box_height, least(coalesce(a.c, 1), coalesce(b.c, 1)) as confidence, a.o as source, 'needs_confirmation' as status from p"""
 )
+
+
+@register("limit_pairs", _LIMIT_PAIRS)
 def limit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spatial.limit_pairs(_entries(spark, sf_dir)).withColumn("members", F.array_join("members", " "))
+    return _flat_pairs(spatial.limit_pairs(_entries(spark, sf_dir)))
+
+
+@register("limit_pairs_in_rounds", _LIMIT_PAIRS)
+def limit_pairs_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs by the grid and the rounds that pages of any size take."""
+    return _flat_pairs(crowded.limit_pairs(_entries(spark, sf_dir)))
+
+
+def _flat_pairs(pairs: DataFrame) -> DataFrame:
+    pairs = pairs.withColumn("members", F.array_join("members", " "))
     return pairs.select("*", *[F.col(f"bbox.{k}").alias(f"box_{k}") for k in ("x", "y", "width", "height")]).drop("bbox")
 
 
-@register("thread_depths", f"with recursive {_ITEMS}, {_GIVEN} select doc_id, page, thread_seq, e.seq as depth_seq, e.k as depth_type, e.v as depth from t")
+_THREAD_DEPTHS = f"with recursive {_ITEMS}, {_GIVEN} select doc_id, page, thread_seq, e.seq as depth_seq, e.k as depth_type, e.v as depth from t"
+
+
+@register("thread_depths", _THREAD_DEPTHS)
 def thread_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.thread_depths(_entries(spark, sf_dir))
 
 
+@register("thread_depths_in_rounds", _THREAD_DEPTHS)
+def thread_depths_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same depths by the grid and the rounds that pages of any size take."""
+    return crowded.thread_depths(_entries(spark, sf_dir))
+
+
 def _shown(value: str, places: int) -> str:
     return f"rtrim(rtrim(printf('%.{places}f', {value}), '0'), '.')"
 
