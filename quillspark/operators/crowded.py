@@ -39,24 +39,25 @@ def _settled(edges: pd.DataFrame) -> pd.DataFrame:
     return edges.assign(state=out)
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """Write and read back: cuts the lineage, and lost executors cost what they were doing only."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def matching(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """The edges (page_key, k1, k2, k3, u, v) of each page whose ends are free when they are taken in order of k1, k2, k3, which no two share.
 
     A task holds the edges of a block.
     """
-    spark, folder = edges.sparkSession, work_folder(edges.sparkSession)
+    folder = work_folder(edges.sparkSession)
     keys = (_KEY,)
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    open_ = stored(edges.select(*keys, *_ORDER, "u", "v", F.floor(F.col("k1") / block).alias("block")), "0")
+    open_ = _stored(edges.select(*keys, *_ORDER, "u", "v", F.floor(F.col("k1") / block).alias("block")), f"{folder}/0")
     order, taken = F.struct(*_ORDER), None
     schema = open_.withColumns({"blocked": F.lit(True), "state": F.lit("")}).schema
     for n in range(1, MOST_ROUNDS):
         if open_.isEmpty():
-            return stored(edges.limit(0), "none") if taken is None else taken
+            return open_.select(*keys, *_ORDER, "u", "v") if taken is None else taken
         ends = open_.select(*keys, F.explode(F.array("u", "v")).alias("x"), "block", order.alias("o"))
         first = ends.groupBy(*keys, "x", "block").agg(F.min("o").alias("m"))
         # the first edge of each block at an end; the two first blocks tell every block the first edge of others
@@ -69,13 +70,13 @@ def matching(edges: DataFrame, block: int = BLOCK) -> DataFrame:
         def run(group: pd.DataFrame) -> pd.DataFrame:
             return _settled(group.sort_values(list(_ORDER), ignore_index=True))
 
-        after = stored(judged.groupBy(*keys, "block").applyInPandas(run, schema), f"{n}-settled")
+        after = _stored(judged.groupBy(*keys, "block").applyInPandas(run, schema), f"{folder}/{n}-settled")
         new = after.filter("state = 'taken'").select(*keys, *_ORDER, "u", "v")
         used = new.select(*keys, F.explode(F.array("u", "v")).alias("x"))
         rest = after.filter("state = 'open'").select(*open_.columns)
         for end in ("u", "v"):
             rest = rest.join(used.withColumnRenamed("x", end), [*keys, end], "left_anti")
-        open_ = stored(rest.select(*open_.columns), f"{n}-open")
+        open_ = _stored(rest.select(*open_.columns), f"{folder}/{n}-open")
         taken = new if taken is None else taken.unionByName(new)
     raise RuntimeError("the matching did not settle")
 
@@ -112,7 +113,7 @@ def limit_pairs(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     text = js.trim(F.col("text"))
     rows = entries.filter(_plain(F.struct("*")) & _finite(F.col("bbox")) & (F.col("bbox.width") > 0)).select(*PAGE, _key(), F.struct("seq", "nominal", "unit", "bbox", "confidence", "source", text.alias("original_text"), decimal_places(text).alias("places")).alias("e"))
-    rows = rows.filter(F.col("e.places") > 0)
+    rows = _stored(rows.filter(F.col("e.places") > 0), f"{work_folder(entries.sparkSession)}/dimensions")
     sides = ("x", "y", "width", "height")
     flat = rows.select(_KEY, F.col("e.seq").cast("long").alias("seq"), F.col("e.places").alias("places"), *[F.col(f"e.bbox.{k}").alias(k) for k in sides])
     size = flat.groupBy(_KEY).agg(F.avg("width").alias("gx"), F.greatest(3 * F.avg(F.abs("height")), F.lit(1e-6)).alias("gy"))
@@ -140,6 +141,7 @@ def thread_depths(entries: DataFrame, block: int = BLOCK) -> DataFrame:
     boxed = entries.filter(F.col("category").isin("threads", "depths") & F.col("bbox").isNotNull() & _finite(F.col("bbox")))
     size = 4 * F.hypot("bbox.width", "bbox.height")
     rows = boxed.select(*PAGE, _key(), "category", F.col("seq").cast("long").alias("seq"), "bbox", "depth_type", "depth", F.when(size > 0, size).otherwise(120.0).alias("limit"))
+    rows = _stored(rows, f"{work_folder(entries.sparkSession)}/threads")
     threads, depths = rows.filter("category = 'threads'"), rows.filter("category = 'depths'")
     grid = threads.groupBy(_KEY).agg(F.avg("limit").alias("gx"), F.avg("limit").alias("gy"))
     def middles(part: DataFrame, *more: str) -> DataFrame:
