@@ -274,12 +274,12 @@ def _best(found: DataFrame, keep: int) -> DataFrame:
 
 
 def _nearest(rows: DataFrame, dim: int, every: int, k: int) -> DataFrame | None:
-    """query_id, rank, vec_id, score, prefix among rows (vec_id, e, h) of one length."""
-    w = Window.partitionBy("h", "e").orderBy("vec_id")
-    classes = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1).groupBy("h", "e").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    asked = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "h", "e")
+    """query_id, rank, vec_id, score, prefix among rows (vec_id, row, e, h) of one length."""
+    w = Window.partitionBy("h", "e").orderBy("vec_id", "row")
+    classes = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1).groupBy("h", "e").agg(F.sort_array(F.collect_list(F.struct("vec_id", "row"))).alias("ids"))
+    asked = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "row", "h", "e")
     asked_classes = asked.select("h", "e").distinct().withColumn("asked", F.lit(True))
-    classes = classes.join(asked_classes, ["h", "e"], "left").select("h", "e", "ids", F.col("ids")[0].alias("cid"), F.coalesce("asked", F.lit(False)).alias("asked"))
+    classes = classes.join(asked_classes, ["h", "e"], "left").select("h", "e", "ids", F.col("ids")[0]["row"].alias("cid"), F.coalesce("asked", F.lit(False)).alias("asked"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +288,7 @@ def _nearest(rows: DataFrame, dim: int, every: int, k: int) -> DataFrame | None:
                 column = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * TREES, pa.int32()), pa.array(keys))
                 yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "keys"])
 
-    classes = written(classes.mapInArrow(tidy(hashed), "h long, e array<double>, ids array<long>, cid long, asked boolean, keys array<long>"), "ann-strings")
+    classes = written(classes.mapInArrow(tidy(hashed), "h long, e array<double>, ids array<struct<vec_id:long,row:long>>, cid long, asked boolean, keys array<long>"), "ann-strings")
 
     # own class included, k + 1 classes hold all that can be reported
     found = _scored(classes, classes.filter("asked").select("cid", "e", "keys"), dim, k + 1)
@@ -302,9 +302,9 @@ def _nearest(rows: DataFrame, dim: int, every: int, k: int) -> DataFrame | None:
     best = _best(found if more is None else found.union(more), k + 1)
     top = best.join(classes.select("cid", "ids"), "cid").select("q", "ids", "score", "prefix")
 
-    own = asked.join(classes.select("h", "e", F.col("cid").alias("q")), ["h", "e"]).select(F.col("vec_id").alias("query_id"), "q")
-    out = own.join(top, "q").select("query_id", "score", "prefix", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    own = asked.join(classes.select("h", "e", F.col("cid").alias("q")), ["h", "e"]).select(F.col("vec_id").alias("query_id"), F.col("row").alias("own"), "q")
+    out = own.join(top, "q").select("query_id", "own", "score", "prefix", F.explode("ids").alias("id")).filter("id.row <> own").select("query_id", "own", "score", "prefix", "id.*")
+    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "row"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "prefix")
 
 
@@ -313,8 +313,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
 
     score is the cosine in double precision on the original vectors; ties go to the smaller vec_id; prefix is the number of digits of the longest
     prefix by which the pair was met, 0 for the empty one. Vectors that are null, all zero or hold a null, NaN or infinite component take no
-    part, nor do those without a vec_id; vectors of different lengths are not compared. Of rows that repeat a vec_id the smallest vector counts. Equal
-    vectors are searched for once and keep their k + 1 smallest vec_ids, which are all that can be reported. Other columns are ignored; with no
+    part, nor do those without a vec_id; vectors of different lengths are not compared. Rows that repeat a vec_id are rows of their own, as queries and as neighbours. Equal
+    vectors are searched for once and keep their k + 1 first rows by vec_id, which are all that can be reported. Other columns are ignored; with no
     other row a query has no result. A task holds a segment of vectors and a block of queries, whatever the table's size and however long a vector is.
     """
     spark = vectors.sparkSession
@@ -323,7 +323,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e")).filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull())
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter(~bad & F.exists("e", lambda x: x != 0))
-    rows = written(rows.groupBy("vec_id").agg(F.min("e").alias("e")).withColumn("h", F.xxhash64("e")), "ann-rows")
+    rows = written(rows.withColumns({"h": F.xxhash64("e"), "row": F.monotonically_increasing_id()}), "ann-rows")
     out = None
     for size in sorted(r["d"] for r in rows.select(F.size("e").alias("d")).distinct().collect()):
         found = _nearest(rows.filter(F.size("e") == size), size, every, k)

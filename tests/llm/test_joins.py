@@ -298,7 +298,10 @@ def test_nearest_of_few(spark):
     assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
     assert ann.nearest(spark.createDataFrame([(0, [1.0, 0.0])], schema)).count() == 0
     got = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (3, [1e-30, 1e-30]), (2, [3e30, 3e30])], schema)).orderBy("rank").collect()
-    assert [(r["query_id"], r["vec_id"], round(r["score"], 9)) for r in got] == [(0, 2, round(0.5**0.5, 9)), (0, 3, round(0.5**0.5, 9))]
+    one = [(0, 0, 1.0), (0, 2, round(0.5**0.5, 9)), (0, 3, round(0.5**0.5, 9))]  # of each of the two rows of id 0
+    assert sorted((r["query_id"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(one * 2)
+    got = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.1])], schema)).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 4)) for r in got] == [(0, 1, 1, 0.995), (0, 2, 1, 0.0)]
 
 
 def test_nearest_recall(spark):
