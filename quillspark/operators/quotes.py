@@ -127,16 +127,27 @@ def page_breaks(rows: Column, margin: float, bottom: float) -> Column:
     return F.aggregate(rows, start, step, lambda acc: acc["out"])
 
 
-def email_html(number: Column, customer: Column, items: Column, total: Column, hours: Column, rate: Column) -> Column:
-    """Body of the quote's e-mail; texts are escaped, and a labour line is there only if it costs something."""
+def email_html(quote: dict[str, Column]) -> Column:
+    """Body of a quote's e-mail from its fields (number, project_type, project_name, customer, items, hours, rate, total, lead_days, notes): heading with the
+    project's type, greeting, priced lines, labour as a line if it costs something, total, lead time, notes if there are any, and a closing.
+
+    items is an array of struct(description, quantity, price). Texts are escaped; missing numbers count as 0, missing items as none.
+    """
     money = lambda x: F.concat(F.lit("$"), js.fixed2(js.or_zero(x)))
-    row = lambda i: F.concat(F.lit("<tr><td>"), text.escaped(i["part_number"]), F.lit("</td><td>"), js.number_text(js.or_zero(i["quantity"])), F.lit("</td><td>"), money(i["price"]), F.lit("</td><td>"), money(js.or_zero(i["quantity"]) * js.or_zero(i["price"])), F.lit("</td></tr>"))
-    labour = js.or_zero(hours) * js.or_zero(rate)
+    cells = lambda *cs: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cs], F.lit("</tr>"))
+    row = lambda i: cells(text.escaped(i["description"]), js.number_text(js.or_zero(i["quantity"])), money(i["price"]), money(js.or_zero(i["quantity"]) * js.or_zero(i["price"])))
+    hours, rate, days = js.or_zero(quote["hours"]), js.or_zero(quote["rate"]), js.or_zero(quote["lead_days"])
+    labour = hours * rate
+    label = F.concat(F.lit("Labor ("), js.number_text(hours), F.lit(" hrs @ $"), js.number_text(rate), F.lit("/hr)"))
+    notes = F.coalesce(quote["notes"], F.lit(""))
     return F.concat(
-        F.lit("<html><body><h1>Quote "), text.escaped(number), F.lit("</h1><p>"), text.escaped(customer), F.lit("</p><table>"),
-        F.array_join(F.transform(items, row), ""),
-        F.lit("</table>"), F.when(labour > 0, F.concat(F.lit("<p>Labor: "), money(labour), F.lit("</p>"))).otherwise(""),
-        F.lit("<p>Total: "), money(total), F.lit("</p></body></html>"),
+        F.lit("<html><body><h1>Quote "), text.escaped(quote["number"]), F.lit("</h1><p>"), text.escaped(text.spaced(quote["project_type"])), F.lit("</p><p>Dear "), text.escaped(quote["customer"]),
+        F.lit(",</p><p>Thank you for your inquiry regarding <strong>"), text.escaped(quote["project_name"]), F.lit("</strong>. Please find our quote details below:</p>"),
+        F.lit("<table><thead><tr><th>Description</th><th>Qty</th><th>Unit Price</th><th>Total</th></tr></thead><tbody>"),
+        F.coalesce(F.array_join(F.transform(quote["items"], row), ""), F.lit("")), F.when(labour > 0, cells(label, F.lit("1"), money(labour), money(labour))).otherwise(""),
+        F.lit("</tbody></table><p>Total: "), money(quote["total"]), F.lit("</p><p><strong>Lead Time:</strong> "), F.when(days != 0, F.concat(js.number_text(days), F.lit(" days"))).otherwise("TBD "), F.lit("</p>"),
+        F.when(notes != "", F.concat(F.lit("<p><strong>Notes:</strong></p><p>"), text.escaped(notes), F.lit("</p>"))).otherwise(""),
+        F.lit("<p>Please contact us to proceed with this quote or if you have any questions.</p><p>Best regards,<br/>Manufacturing Team</p></body></html>"),
     )
 
 

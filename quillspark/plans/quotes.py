@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import js, text
+from quillspark.operators import layout
 from quillspark.operators import quotes as Q
 from quillspark.plans.registry import register
 from quillspark.sources.snapshots import Store, work_folder
@@ -245,17 +246,76 @@ def json_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", (u % 3).alias("kind"), F.size(items).alias("items"), F.get(items, F.lit(0))["k"].alias("k"))
 
 
+_CELLS = "'<tr><td>' || {} || '</td><td>' || {} || '</td><td>$' || printf('%.2f', {}) || '</td><td>$' || printf('%.2f', {}) || '</td></tr>'"
+
+
 @register(
     "quote_email_html",
-    """with l as (select l_orderkey, string_agg('<tr><td>P&lt;' || l_partkey || '</td><td>' || l_quantity::int || '</td><td>$' || printf('%.2f', l_extendedprice) || '</td><td>$' || printf('%.2f', l_quantity * l_extendedprice) || '</td></tr>', '' order by l_linenumber, l_partkey::varchar, l_quantity, l_extendedprice) as rows from lineitem group by 1)
-    select o_orderkey, '<html><body><h1>Quote ' || o_orderkey || '</h1><p>A &amp; B</p><table>' || rows || '</table>' || case when o_orderkey % 3 > 0 then '<p>Labor: $' || printf('%.2f', (o_orderkey % 3) * 50.0) || '</p>' else '' end || '<p>Total: $' || printf('%.2f', o_totalprice) || '</p></body></html>' as html
-    from orders join l on l_orderkey = o_orderkey""",
+    f"""with l as (select l_orderkey, string_agg({_CELLS.format("'P&lt;' || l_partkey", "l_quantity::int", "l_extendedprice", "l_quantity * l_extendedprice")}, '' order by l_linenumber, l_partkey::varchar, l_quantity, l_extendedprice) as rows from lineitem group by 1)
+    select o_orderkey, '<html><body><h1>Quote ' || o_orderkey || '</h1><p>' || case o_orderkey % 4 when 0 then '' else 'sheet metal ' || o_orderkey % 4 end || '</p><p>Dear ' || replace(replace(coalesce(c_name, ''), '&', '&amp;'), '<', '&lt;')
+      || ',</p><p>Thank you for your inquiry regarding <strong>A &amp; B ' || o_orderpriority || '</strong>. Please find our quote details below:</p><table><thead><tr><th>Description</th><th>Qty</th><th>Unit Price</th><th>Total</th></tr></thead><tbody>' || coalesce(rows, '')
+      || case when o_orderkey % 3 > 0 then {_CELLS.format("'Labor (' || o_orderkey % 3 || '.5 hrs @ $50/hr)'", "'1'", "(o_orderkey % 3 + 0.5) * 50", "(o_orderkey % 3 + 0.5) * 50")} else '' end
+      || '</tbody></table><p>Total: $' || printf('%.2f', o_totalprice) || '</p><p><strong>Lead Time:</strong> ' || case when o_orderkey % 5 = 0 then 'TBD ' else o_orderkey % 5 || ' days' end || '</p>'
+      || case when o_orderkey % 2 = 0 then '<p><strong>Notes:</strong></p><p>&quot;' || o_orderstatus || '&quot; &gt; 1' || chr(10) || 'x</p>' else '' end
+      || '<p>Please contact us to proceed with this quote or if you have any questions.</p><p>Best regards,<br/>Manufacturing Team</p></body></html>' as html
+    from orders left join l on l_orderkey = o_orderkey left join customer on c_custkey = o_custkey""",
 )
 def quote_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.concat(F.lit("P<"), F.col("l_partkey").cast("string")).alias("part_number"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
-    nested = Q.nested_lines(li, "l_orderkey", "line", "part_number", "quantity", "price")
-    df = table(spark, sf_dir, "orders").join(nested, F.col("o_orderkey") == F.col("l_orderkey"))
-    return df.select("o_orderkey", Q.email_html(F.col("o_orderkey").cast("string"), F.lit("A & B"), F.col("line_items"), F.col("o_totalprice"), (F.col("o_orderkey") % 3).cast("double"), F.lit(50.0)).alias("html"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.concat(F.lit("P<"), F.col("l_partkey").cast("string")).alias("description"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
+    nested = Q.nested_lines(li, "l_orderkey", "line", "description", "quantity", "price")
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    df = orders.join(nested, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(customers, F.col("c_custkey") == F.col("o_custkey"), "left")
+    k = F.col("o_orderkey")
+    quote = {
+        "number": k.cast("string"), "project_type": F.when(k % 4 != 0, F.concat(F.lit("sheet_metal_"), (k % 4).cast("string"))), "project_name": F.concat(F.lit("A & B "), F.col("o_orderpriority")), "customer": F.col("c_name"), "items": F.col("line_items"),
+        "hours": F.when(k % 3 != 0, k % 3 + 0.5), "rate": F.lit(50.0), "total": F.col("o_totalprice"), "lead_days": F.when(k % 5 != 0, k % 5), "notes": F.when(k % 2 == 0, F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('" > 1\nx'))),
+    }
+    return df.select("o_orderkey", Q.email_html(quote).alias("html"))
+
+
+#: Width of each character of a word, and lines of a text as words that fit; no word of the table is as wide as a line.
+_WIDTH_SQL = f"list_sum(list_transform(string_split(x, ''), lambda c: case when c = '' then 0 else coalesce([{', '.join(map(str, layout.WIDTHS))}][ord(c) - 31], 556) end))"
+
+
+def _lines_sql(text: str, width: int) -> str:
+    words = f"list_transform(string_split(p, ' '), lambda x: {{'lines': []::varchar[], 'cur': x, 'w': coalesce({_WIDTH_SQL}, 0)::double}})"
+    step = f"case when a.w + 278 + b.w > {width} * 1000 / 12.0::double then {{'lines': a.lines || [a.cur], 'cur': b.cur, 'w': b.w}} else {{'lines': a.lines, 'cur': a.cur || ' ' || b.cur, 'w': a.w + 278 + b.w}} end"
+    return f"case when {text} = '' then [] else flatten(list_transform(list_transform(string_split_regex({text}, '\\r?\\n'), lambda p: list_reduce({words}, lambda a, b: {step})), lambda q: q.lines || [q.cur])) end"
+
+
+@register(
+    "quote_document_rows",
+    # a conversation's turns as the notes of line items: lines, height, page and place of each row
+    f"""with recursive n as (select conv_id, turn, {_lines_sql("text", 500)} as lines from conversations),
+      h as (select conv_id, list({{'turn': turn, 'n': len(lines), 'first': lines[1], 'last': lines[-1], 'h': 24.0::double + case when len(lines) > 0 then len(lines) * 14 + 6 else 0 end}} order by turn) as items from n group by 1),
+      f as (select conv_id, items, 0 as pos, 1 as page, 48.0::double as y, 48.0::double as top from h
+        union all select conv_id, items, pos + 1, case when y + items[pos + 1].h > 672 then page + 1 else page end, case when y + items[pos + 1].h > 672 then 48 else y end + items[pos + 1].h, case when y + items[pos + 1].h > 672 then 48 else y end from f where pos < len(items))
+    select conv_id, items[pos].turn as turn, items[pos].n as lines, items[pos].first as first_line, items[pos].last as last_line, items[pos].h as height, page, top as y from f where pos > 0""",
+)
+def quote_document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = layout.wrapped(F.col("text"), 500)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", lines.alias("l")).select("conv_id", "turn", F.size("l").cast("long").alias("lines"), F.get("l", F.lit(0)).alias("first_line"), F.element_at("l", -1).alias("last_line"), layout.row_height(F.col("l")).alias("height"))
+    nested = Q.nested_lines(rows, "conv_id", "turn", "lines", "first_line", "last_line", "height")
+    placed = nested.withColumn("at", Q.page_breaks(F.transform("line_items", lambda x: x["height"]), 48.0, 672.0))
+    return placed.select("conv_id", F.explode(F.arrays_zip("line_items", "at")).alias("r")).select("conv_id", "r.line_items.*", "r.at.page", "r.at.y")
+
+
+@register(
+    "quote_closing_blocks",
+    f"""with t as (select o_orderkey, case when o_orderkey % 3 = 0 then '' else repeat(o_orderpriority || ' due, ', (o_orderkey % 11 + 1)::int) || chr(10) || 'net 30' end as terms, case when o_orderkey % 4 = 0 then '' else repeat(o_orderstatus || ' note ', (o_orderkey % 17)::int) || 'end' end as notes, (o_orderkey % 60 * 12)::double as y from orders),
+      w as (select *, {_lines_sql("terms", 200)} as tl, {_lines_sql("notes", 200)} as nl from t),
+      a as (select *, case when len(tl) > 0 and y + 16 > 692 then 2 else 1 end as tp, case when len(tl) > 0 and y + 16 > 692 then 48 else y + 16 end as ty from w),
+      b as (select *, case when len(tl) > 0 then ty + 14 + len(tl) * 14 + 8 else y + 16 end as after from a),
+      c as (select o_orderkey, 'TERMS' as kind, tp as page, ty as y, tl as lines from b where len(tl) > 0 union all select o_orderkey, 'NOTES', case when after > 692 then tp + 1 else tp end, case when after > 692 then 48 else after end, nl from b where len(nl) > 0)
+    select o_orderkey, kind, page, y, array_to_string(lines, '|') as lines from c""",
+)
+def quote_closing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    terms = F.when(k % 3 == 0, "").otherwise(F.concat(F.repeat(F.concat("o_orderpriority", F.lit(" due, ")), (k % 11 + 1).cast("int")), F.lit("\nnet 30")))
+    notes = F.when(k % 4 == 0, "").otherwise(F.concat(F.repeat(F.concat("o_orderstatus", F.lit(" note ")), (k % 17).cast("int")), F.lit("end")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", layout.wrapped(terms, 200).alias("t"), layout.wrapped(notes, 200).alias("n"))
+    blocks = layout.closing_blocks(F.lit(1), (k % 60 * 12).cast("double"), F.col("t"), F.col("n"), 48, 792)
+    return rows.select("o_orderkey", F.explode(blocks).alias("b")).select("o_orderkey", "b.kind", "b.page", "b.y", F.array_join("b.lines", "|").alias("lines"))
 
 
 @register("column_offsets", "select l_orderkey, l_linenumber, l_partkey, l_quantity, coalesce(sum(l_quantity) over w, 0) as left_offset from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate rows between unbounded preceding and 1 preceding)")

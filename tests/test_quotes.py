@@ -106,9 +106,12 @@ def test_totals_and_breaks(spark):
 
 
 def test_email_is_escaped(spark):
-    df = spark.createDataFrame([("Q", "<A&B>", [("p<", 2.0, 1.5)], 3.0)], "n string, c string, i array<struct<part_number:string,quantity:double,price:double>>, t double")
-    html = df.select(quotes.email_html(F.col("n"), F.col("c"), F.col("i"), F.col("t"), F.lit(0.0), F.lit(9.0))).head()[0]
-    assert "&lt;A&amp;B&gt;" in html and "p&lt;" in html and "$3.00" in html and "Labor" not in html
+    schema = "number string, project_type string, project_name string, customer string, items array<struct<description:string,quantity:double,price:double>>, hours double, rate double, total double, lead_days int, notes string"
+    df = spark.createDataFrame([("Q", "sheet_metal", "P&Q", "<A&B>", [("p<", 2.0, 1.5)], 1.5, 9.0, 3.0, 4, 'say "x"\ny'), (None, None, None, None, None, 0.0, 9.0, None, 0, None)], schema)
+    full, bare = (r[0] for r in df.select(quotes.email_html({c: F.col(c) for c in df.columns})).collect())
+    for part in ("&lt;A&amp;B&gt;", "p&lt;", "$3.00", "sheet metal", "Labor (1.5 hrs @ $9/hr)</td><td>1</td><td>$13.50", "P&amp;Q", "4 days", "say &quot;x&quot;\ny", "Best regards"):
+        assert part in full
+    assert "Labor" not in bare and "Notes" not in bare and "TBD " in bare and "Total: $0.00" in bare
 
 
 @pytest.fixture(scope="session")
