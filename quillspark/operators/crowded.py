@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import js
 from quillspark.operators.drawing import decimal_places
 from quillspark.operators.spatial import PAGE, _pair, _plain, pair_possible
+from quillspark.session import ship
 from quillspark.sources.snapshots import work_folder
 
 #: Numbers of first ends in a block. Rounds beyond which the matching gives up; each settles one edge a page at least.
@@ -50,6 +51,7 @@ def matching(edges: DataFrame, block: int = BLOCK) -> DataFrame:
 
     A task holds the edges of a block.
     """
+    ship(edges.sparkSession)
     folder = work_folder(edges.sparkSession)
     keys = (_KEY,)
     open_ = _stored(edges.select(*keys, *_ORDER, "u", "v", F.floor(F.col("k1") / block).alias("block")), f"{folder}/0")

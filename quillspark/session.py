@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +24,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application; operators whose functions run there call it."""
+    app = spark.sparkContext.applicationId
+    if getattr(ship, "done", None) == app:
+        return
+    top = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="quillspark-ship-"), f"{top.name}-functions.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(target)
+    ship.done = app

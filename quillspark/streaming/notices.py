@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillspark.session import ship
+
 #: Notices held, and seconds between a notice's dismissal and its removal. Fixed values.
 LIMIT, REMOVE_AFTER = 20, 1000
 #: id, title, open, time (in microseconds) of removal or None
@@ -66,6 +68,7 @@ def notices(actions: DataFrame) -> DataFrame:
         if held is not None:
             yield _shown(user, held)
 
+    ship(actions.sparkSession)
     ordered = actions.filter("user_id is not null").select("user_id", *_COLUMNS).repartition("user_id").sortWithinPartitions("user_id", "at", "seq")
     return ordered.mapInPandas(run, OUTPUT)
 
@@ -82,5 +85,6 @@ def notice_stream(actions: DataFrame) -> DataFrame:
         state.update(tuple([n[k] for n in held] for k in range(4)))
         yield _shown(key[0], held) if held else pd.DataFrame([(key[0], -1, None, None, None)], columns=["user_id", "place", "id", "title", "open"])
 
+    ship(actions.sparkSession)
     keyed = actions.filter("user_id is not null").select("user_id", *_COLUMNS).groupBy("user_id")
     return keyed.applyInPandasWithState(run, OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout)
