@@ -1,4 +1,4 @@
-"""Queries over store filters and notices."""
+"""Queries over store filters, notices and recognition providers."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import filters
+from quillspark.operators.providers import Registry
 from quillspark.plans.registry import register
 from quillspark.sources.tables import table
 from quillspark.streaming import notices as N
@@ -49,3 +50,29 @@ def _actions(events: DataFrame) -> DataFrame:
 )
 def notice_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.notices(_actions(table(spark, sf_dir, "events")))
+
+
+def _lines(content: str) -> list[str]:
+    return [x for x in content.split("\n") if x]
+
+
+def _plain_only(content: str) -> list[str]:
+    if not content.isascii():
+        raise ValueError("not ASCII")
+    return content.split(" ")
+
+
+@register(
+    "provider_items",
+    """with p as (select doc_id, text, case doc_id % 3 when 0 then 'plain' else 'lines' end as provider from documents)
+    select doc_id as page, provider, (i - 1)::int as place, parts[i] as text, null::varchar as error from (select *, unnest(range(1, len(parts) + 1)) as i from (select *, case provider when 'plain' then string_split(text, ' ') else list_filter(string_split(text, chr(10)), lambda x: x <> '') end as parts
+      from p where provider = 'lines' or length(text) = strlen(text)))
+    union all select doc_id, provider, -1, null, 'ValueError: not ASCII' from p where provider = 'plain' and length(text) <> strlen(text)""",
+)
+def provider_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages: a third by a provider that fails on some, a third by an unknown name, a third without one."""
+    registry = Registry("lines")
+    registry.register("lines", _lines)
+    registry.register("plain", _plain_only)
+    name = F.when(F.col("doc_id") % 3 == 0, "plain").when(F.col("doc_id") % 3 == 1, "no such provider")
+    return registry.recognised(table(spark, sf_dir, "documents").withColumn("provider", name), "doc_id", "provider", "text")

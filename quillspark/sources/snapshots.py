@@ -7,6 +7,7 @@ folded patches of one batch: only these are shuffled.
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
@@ -25,13 +26,22 @@ class Conflict(RuntimeError):
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; a local one only where that is unset in local mode."""
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; a local one only where that is unset in local mode.
+
+    It is deleted when the application ends.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if top:
-        return f"{top.rstrip('/')}/quillspark-store/{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not top and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="quillspark-store-")
+    path = f"{top.rstrip('/')}/quillspark-store/{uuid.uuid4().hex}" if top else tempfile.mkdtemp(prefix="quillspark-store-")
+    atexit.register(_leave, spark, path)
+    return path
+
+
+def _leave(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import filters
+from quillspark.operators import providers
 from quillspark.plans import stores
 from quillspark.streaming import notices as N
 
@@ -72,3 +73,17 @@ def test_limit_and_times(spark):
 def test_actions_of_events(spark):
     rows = stores._actions(spark.read.parquet(f"{SF}/events.parquet")).groupBy("kind").agg(F.count("*")).collect()
     assert {r[0] for r in rows} == {"ADD", "UPDATE", "DISMISS", "REMOVE"}
+
+
+def test_providers(spark):
+    registry = providers.Registry("words")
+    with pytest.raises(ValueError):
+        registry.recognised(spark.createDataFrame([], "p long, n string, c string"), "p", "n", "c")
+    registry.register("words", str.split)
+    registry.register("sum", lambda c: [sum(map(int, c.split()))])
+    with pytest.raises(ValueError):
+        registry.register("sum", str.split)
+    pages = spark.createDataFrame([(1, "sum", "1 2"), (2, "sum", "x"), (3, "?", "a b"), (4, None, "c"), (5, "sum", None), (6, "words", " ")], "p long, n string, c string")
+    got = sorted(tuple(r) for r in registry.recognised(pages, "p", "n", "c").collect())
+    assert [(r[0], r[1], r[2], r[3]) for r in got] == [(1, "sum", 0, "3"), (2, "sum", -1, None), (3, "words", 0, "a"), (3, "words", 1, "b"), (4, "words", 0, "c")]
+    assert "ValueError" in got[1][4]
