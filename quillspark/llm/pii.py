@@ -1,9 +1,12 @@
 """Personal data: fixed formats, and candidates that boosted trees select by format and context.
 
-High-recall generators propose overlapping spans. Boosted trees of depth two, trained in numpy on a bounded sample of candidates in which those
-that a fixed format accepts are the positives, score what the spans and the characters around them look like; the formats' own checks
-(checksums, ranges) are not among the features. The threshold of each generator is calibrated so that RECALL of the positives reach it. Scores are
-DataFrame expressions of the trees. Spelled-out addresses (name [at] host [dot] com) are all reported: written out, each is an address by its format.
+High-recall generators propose overlapping spans. Boosted trees of depth two, trained in numpy on a bounded sample of candidates, score what the
+spans and the characters around them look like; the formats' own checks (checksums, ranges) are not among the features. No table labels personal
+data, so the sample is widened: what a fixed format accepts is a positive and is also written in shapes that no format accepts (numbers without
+their plus, cards with a wrong digit, accented addresses); what none accepts is a negative, and every candidate is also written as a decoy of its
+generator (dates, amounts, ranges of years, runs of digits; hosts without a dot, paths). Spans of one text stay on one side of a held-out fifth,
+on which each generator's threshold is calibrated: the highest recall with a precision of at least PRECISION. Scores are DataFrame expressions of the
+trees. Spelled-out addresses (name [at] host [dot] com) are all reported: written out, each is an address by its format.
 """
 
 from __future__ import annotations
@@ -32,9 +35,14 @@ GENERATORS = {
 }
 #: Generators whose every candidate the e-mail format accepts once its signs are written out: they need no score, and no format gives them positives.
 CERTAIN = ("spelled",)
-FEATURES = ("length", "digits", "letters", "separators", "dots", "plus", "spaces", "digit_before", "letter_before", "keyword", "letter_after", "digit_after", "address", "number")
-#: Sampled candidates at most; trees; depth is two; share of positives that reach the threshold.
-SAMPLE, TREES, RATE, RECALL = 20_000, 30, 0.3, 0.95
+FEATURES = (
+    "length", "digits", "letters", "separators", "dots", "plus", "spaces", "digit_before", "letter_before", "keyword", "letter_after", "digit_after", "address", "number",
+    "groups", "last_group", "bracket", "marks", "domain_dots",
+)
+#: Words before personal data. Fixed values.
+KEYWORD = "(?i)(mail|phone|tel|call|card|ip|fax|contact|mobile|ssn)[^a-z]*$"
+#: Rows to train on at most, a third of them candidates as they stand; trees, whose depth is two; least precision on held-out rows; one row in FOLDS is held out.
+SAMPLE, TREES, RATE, PRECISION, FOLDS = 20_000, 30, 0.3, 0.9, 5
 
 
 def _digits(s: Column) -> Column:
@@ -58,37 +66,73 @@ def _base(text: Column) -> Column:
     )
 
 
+def _features(g: Column, m: Column, before: Column, after: Column) -> list[Column]:
+    size = lambda pattern: F.length(F.regexp_replace(m, pattern, "")).cast("double")
+    yes = lambda c: F.when(c, 1.0).otherwise(0.0)
+    values = {
+        "length": F.length(m).cast("double"),
+        "digits": size("[^0-9]"),
+        "letters": size("[^A-Za-z]"),
+        "separators": size(r"[^ ().\-/]"),
+        "dots": size(r"[^.]"),
+        "plus": yes(m.startswith("+")),
+        "spaces": size("[^ ]"),
+        "digit_before": yes(before.rlike("[0-9]$")),
+        "letter_before": yes(before.rlike(r"\p{L}$")),
+        "keyword": yes(before.rlike(KEYWORD)),
+        "letter_after": yes(after.rlike(r"^\p{L}")),
+        "digit_after": yes(after.rlike("^[0-9]")),
+        "address": yes(g == "address"),
+        "number": yes(g == "number"),
+        "groups": F.length(F.regexp_replace(F.regexp_replace(m, "[0-9]++", "#"), "[^#]", "")).cast("double"),
+        "last_group": F.length(F.regexp_extract(m, "([0-9]*)$", 1)).cast("double"),
+        "bracket": yes(m.contains("(")),
+        "marks": size(r"[\p{L}0-9._%+@\-]"),
+        "domain_dots": F.length(F.regexp_replace(F.regexp_extract(m, "@(.*)$", 1), r"[^.]", "")).cast("double"),
+    }
+    return [values[k].alias(k) for k in FEATURES]
+
+
 def _candidates(text: Column) -> Column:
-    """array of struct(g, start, end, one field for each feature)."""
+    """array of struct(g, start, end, m, before, after, one field for each feature)."""
 
     def described(name: str):
         def one(x: Column) -> Column:
-            m, before, after = x["m"], x["before"], x["after"]
-            size = lambda pattern: F.length(F.regexp_replace(m, pattern, "")).cast("double")
-            yes = lambda c: F.when(c, 1.0).otherwise(0.0)
-            values = {
-                "length": F.length(m).cast("double"),
-                "digits": size("[^0-9]"),
-                "letters": size("[^A-Za-z]"),
-                "separators": size(r"[^ ().\-/]"),
-                "dots": size(r"[^.]"),
-                "plus": yes(m.startswith("+")),
-                "spaces": size("[^ ]"),
-                "digit_before": yes(before.rlike("[0-9]$")),
-                "letter_before": yes(before.rlike(r"\p{L}$")),
-                "keyword": yes(before.rlike("(?i)(mail|phone|tel|call|card|ip|fax|contact)[^a-z]*$")),
-                "letter_after": yes(after.rlike(r"^\p{L}")),
-                "digit_after": yes(after.rlike("^[0-9]")),
-                "address": F.lit(float(name == "address")),
-                "number": F.lit(float(name == "number")),
-            }
-            return F.struct(F.lit(name).alias("g"), x["start"].alias("start"), x["end"].alias("end"), *[values[k].alias(k) for k in FEATURES])
+            return F.struct(F.lit(name).alias("g"), *[x[k].alias(k) for k in ("start", "end", "m", "before", "after")], *_features(F.lit(name), x["m"], x["before"], x["after"]))
 
         return one
 
     return F.concat(*[F.transform(matches(text, p), described(g)) for g, p in GENERATORS.items()])
 
 
+def _one_of(key: Column, *choices: Column) -> Column:
+    return F.get(F.array(*choices), F.pmod(F.xxhash64(key), F.lit(len(choices))).cast("int"))
+
+
+def _reshaped(g: Column, m: Column) -> Column:
+    """A candidate that a format accepts in a shape that none does, picked by a hash of its text; null if it has none."""
+    digits = _digits(m)
+    national = F.regexp_replace(m, r"^\+[0-9]{1,3}[ .\-]?", "")
+    bare = F.regexp_replace(national, "[()]", "")
+    phone = _one_of(m, F.regexp_replace(m, r"^\+", ""), F.regexp_replace(m, r"^\+", "00"), national, F.regexp_replace(bare, r"[ .\-]+", "-"), F.regexp_replace(bare, r"[ .\-]+", "."))
+    mistyped = F.concat(F.left(digits, F.length(digits) - 1), F.translate(F.right(digits, F.lit(1)), "0123456789", "1234567890"))
+    card = F.regexp_replace(mistyped, "([0-9]{4})(?=[0-9])", F.concat(F.lit("$1"), _one_of(m, F.lit("-"), F.lit(" "))))
+    return F.when(g == "address", _one_of(m, F.regexp_replace(m, "[aeiou](?=[^@]*@)", "é"), F.regexp_replace(m, "(@[^@]*?)[aeiou]", "$1é"))).when(m.startswith("+"), phone).when(F.length(digits).between(13, 19), card)
+
+
+def _decoy(g: Column, m: Column) -> Column:
+    """A candidate's signs in a shape that is no personal data, picked by a hash of its text."""
+    d = F.rpad(_digits(m), 8, "0")
+    cut = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else F.substring(d, *x) for x in parts])
+    number = _one_of(
+        m,
+        cut((1, 4), "-", (5, 2), "-", (7, 2)), cut((1, 2), ".", (3, 2), ".", (5, 4)), cut((1, 2), "/", (3, 2), "/", (5, 4)),
+        cut((1, 1), " ", (2, 3), ".", (5, 2)), cut((1, 1), " ", (2, 3), " ", (5, 3)), cut((1, 1), ".", (2, 7)), cut((1, 4), "-", (5, 4)), cut((1, 8)), cut((1, 7)),
+    )
+    address = _one_of(m, *[F.regexp_replace(m, r"\.(?=[^@]*$)", x) for x in ("", ":", "/")])
+    return F.when(g == "address", address).otherwise(number)
+
+
 def _flagged(base: Column, candidates: Column) -> Column:
     """The candidates with ``inside``, whether they overlap a base span, and ``fresh``, whether they equal none; one sort, no loop of all by all."""
     none = F.lit(None)
@@ -118,18 +162,19 @@ def _flagged(base: Column, candidates: Column) -> Column:
             return F.struct(x["candidate"].alias("candidate"), x["c"].alias("c"), inside.alias("inside"), (~same).alias("fresh"))
 
         found = F.filter(F.transform(z, one), lambda x: x["candidate"] == 1)
-        return F.transform(found, lambda x: F.struct(*[x["c"][k].alias(k) for k in ("g", "start", "end", *FEATURES)], x["inside"].alias("inside"), x["fresh"].alias("fresh")))
+        return F.transform(found, lambda x: F.struct(*[x["c"][k].alias(k) for k in ("g", "start", "end", "m", "before", "after", *FEATURES)], x["inside"].alias("inside"), x["fresh"].alias("fresh")))
 
     return let(F.struct(base.alias("b"), candidates.alias("c")), lambda s: let(let(merged(s["b"], s["c"]), bounds), flags))
 
 
 @dataclass
 class Trees:
-    """Boosted trees of depth two: (feature, cut, left (feature, cut, value, value), right) with a start value; thresholds by generator."""
+    """Boosted trees of depth two: (feature, cut, left (feature, cut, value, value), right) with a start value; thresholds, and precision and recall on held-out rows, by generator."""
 
     start: float
     trees: list[tuple]
     least: dict[str, float]
+    held_out: dict[str, tuple[float, float]]
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.start)
@@ -159,44 +204,74 @@ def _split(x: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> tuple[int, floa
     return best
 
 
-def fit(x: np.ndarray, y: np.ndarray, generators: list[str], trees: int = TREES) -> Trees:
-    """Newton boosting of the logistic loss. Without both classes nothing is selected."""
+def calibrated(score: np.ndarray, y: np.ndarray) -> tuple[float, float, float] | None:
+    """(threshold, precision, recall): of the thresholds with at least PRECISION the one of highest recall, and where none has it the one of
+    the best harmonic mean of the two (redaction rather errs towards more). It lies midway to the next lower score. None without positives."""
+    order = np.argsort(-score, kind="stable")
+    s, hits = score[order], np.cumsum(y[order])
+    last = np.append(s[1:] != s[:-1], True)  # equal scores pass together
+    if not y.any():
+        return None
+    precision, recall = hits / np.arange(1, len(s) + 1), hits / hits[-1]
+    good = np.flatnonzero(last & (precision >= PRECISION))
+    k = good[-1] if len(good) else int(np.argmax(np.where(last, precision * recall / np.maximum(precision + recall, 1e-9), 0)))
+    return float(s[k] + s[min(k + 1, len(s) - 1)]) / 2, float(precision[k]), float(recall[k])
+
+
+def fit(x: np.ndarray, y: np.ndarray, generators: list[str], held: np.ndarray | None = None, trees: int = TREES) -> Trees:
+    """Newton boosting of the logistic loss on the rows that are not ``held``, on which thresholds are calibrated.
+
+    A generator whose held-out rows lack a class is calibrated on all its rows. Without both classes to learn from nothing is selected.
+    """
+    held = np.zeros(len(y), bool) if held is None else held
+    if len(np.unique(y[~held])) < 2:
+        held = np.zeros(len(y), bool)
     if len(np.unique(y)) < 2:
-        return Trees(0.0, [], {})
-    start = float(np.log(y.mean() / (1 - y.mean())))
-    model = Trees(start, [], {})
-    score = np.full(len(y), start)
+        return Trees(0.0, [], {}, {})
+    learnt, truth = x[~held], y[~held]
+    start = float(np.log(truth.mean() / (1 - truth.mean())))
+    model = Trees(start, [], {}, {})
+    score = np.full(len(truth), start)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
-        grad, hess = y - p, p * (1 - p)
-        f, c, gain = _split(x, grad, hess)
+        grad, hess = truth - p, p * (1 - p)
+        f, c, gain = _split(learnt, grad, hess)
         if gain <= 1e-6:
             break
         leaves = []
-        for side in (x[:, f] <= c, x[:, f] > c):
-            g, d, _ = _split(x[side], grad[side], hess[side])
-            low = x[side][:, g] <= d
+        for side in (learnt[:, f] <= c, learnt[:, f] > c):
+            g, d, _ = _split(learnt[side], grad[side], hess[side])
+            low = learnt[side][:, g] <= d
             value = [RATE * float(grad[side][k].sum() / (hess[side][k].sum() + 1)) for k in (low, ~low)]
             leaves.append((g, d if np.isfinite(d) else 1e300, *value))
         model.trees.append((f, c, leaves[0], leaves[1]))
-        score = model.raw(x)
-    kinds = np.array(generators)
+        score = model.raw(learnt)
+    kinds, score = np.array(generators), model.raw(x)
     for g in sorted(set(generators)):
-        own = score[(kinds == g) & (y == 1)]
-        if len(own):
-            model.least[g] = float(np.quantile(own, 1 - RECALL, method="lower"))
+        own = (kinds == g) & held
+        own = own if len(np.unique(y[own])) == 2 else kinds == g
+        if found := calibrated(score[own], y[own]):
+            model.least[g], model.held_out[g] = found[0], found[1:]
     return model
 
 
 def train(found: DataFrame, limit: int = SAMPLE) -> Trees:
-    """Fit on at most ``limit`` candidates, picked by a hash of their document and place."""
+    """Fit on at most ``limit`` rows: a third are candidates, picked by a hash of their document and place, the others their shapes and decoys."""
     found = found.select("doc_id", F.explode("_found").alias("c")).filter(~F.col("c.g").isin(*CERTAIN))
     n = found.count()
-    share = int(1e6 * min(1.0, 0.9 * limit / max(1, n)))
-    rows = found.filter(F.pmod(F.xxhash64("doc_id", "c.start", "c.g"), F.lit(1_000_000)) < share).select("c.g", *[f"c.{k}" for k in FEATURES], F.col("c.inside").cast("int").alias("y")).limit(limit).collect()
+    share = int(1e6 * min(1.0, 0.9 * (limit // 3) / max(1, n)))
+    picked = found.filter(F.pmod(F.xxhash64("doc_id", "c.start", "c.g"), F.lit(1_000_000)) < share).select("c.*").limit(limit // 3)
+    g, m, inside = F.col("g"), F.col("m"), F.col("inside")
+    row = lambda text, before, y: F.struct(text.alias("m"), before.alias("before"), y.cast("int").alias("y"))
+    versions = F.array(row(m, F.col("before"), inside), row(F.when(inside, _reshaped(g, m)), F.col("before"), F.lit(1)), row(_decoy(g, m), F.regexp_replace("before", KEYWORD, " "), F.lit(0)))
+    whole = F.lit(False)
+    for name, pattern in GENERATORS.items():
+        whole = whole | ((g == name) & F.col("v.m").rlike(f"^(?:{pattern})$"))
+    held = F.pmod(F.xxhash64("m"), F.lit(FOLDS)) == 0
+    rows = picked.select("g", "after", held.alias("held"), F.explode(versions).alias("v")).filter(whole).select("g", *_features(g, F.col("v.m"), F.col("v.before"), F.col("after")), "v.y", "held").collect()
     rows = sorted(map(tuple, rows))  # the order of arrival is not fixed
-    x = np.array([r[1:-1] for r in rows], np.float64).reshape(-1, len(FEATURES))
-    return fit(x, np.array([r[-1] for r in rows], np.float64), [r[0] for r in rows])
+    x = np.array([r[1:-2] for r in rows], np.float64).reshape(-1, len(FEATURES))
+    return fit(x, np.array([r[-2] for r in rows], np.float64), [r[0] for r in rows], np.array([r[-1] for r in rows], bool))
 
 
 def proposed(docs: DataFrame) -> DataFrame:

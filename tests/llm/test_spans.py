@@ -155,7 +155,8 @@ def candidates(t):
             yield g, m.start(), m.end(), [
                 len(s), size("0123456789"), sum(c.isascii() and c.isalpha() for c in s), size(" ().-/"), size("."), s.startswith("+"), size(" "),
                 before[-1:].isdigit() and before.isascii() or before[-1:] in "0123456789" and before != "", before[-1:].isalpha(),
-                bool(re.search("(?i)(mail|phone|tel|call|card|ip|fax|contact)[^a-z]*$", before)), after[:1].isalpha(), after[:1] != "" and after[:1] in "0123456789", g == "address", g == "number",
+                bool(re.search("(?i)(mail|phone|tel|call|card|ip|fax|contact|mobile|ssn)[^a-z]*$", before)), after[:1].isalpha(), after[:1] != "" and after[:1] in "0123456789", g == "address", g == "number",
+                len(re.findall("[0-9]+", s)), len(s) - len(s.rstrip("0123456789")), "(" in s, sum(not (c.isalpha() or c in "0123456789._%+@-") for c in s), s.partition("@")[2].count("."),
             ]
 
 
@@ -178,6 +179,37 @@ def test_trees_against_loops(spark):
     assert labels == {(i, g, s): any(a < e and b > s for a, b in spans[i]) for i, t in enumerate(texts) for g, s, e, _ in candidates(t)}
 
 
+def test_unseen_shapes_and_decoys(spark):
+    rng = random.Random(31)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    known = [lambda: f"+1 ({d(3)}) 555-{d(4)}", lambda: f"+{rng.randint(30, 49)} {d(2)} {d(7)}", lambda: f"{word()}.{d(2)}@{word()}.org", lambda: f"{word()}@mail.{word()}.com", lambda: f"{word()}@{word()}.net", lambda: "4111 1111 1111 1111", lambda: f"10.{rng.randint(0, 255)}.0.{rng.randint(1, 255)}"]
+    unseen = [lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)} {d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"4111-1111-1111-111{rng.choice('023456789')}", lambda: f"0049 {d(2)} {d(7)}", lambda: f"j\u00f6rg{word()}@ex\u00e4mple.de"]
+    decoys = [lambda: f"{rng.randint(10, 28)}.0{rng.randint(1, 9)}.19{d(2)}", lambda: f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", lambda: f"{rng.randint(1, 9)} {d(3)}.{d(2)}", lambda: f"19{d(2)}-20{d(2)}", lambda: f"3.{d(7)}", lambda: f"1{d(7)}", lambda: f"{word()}@{word()}"]
+    planted = [(make, 1) for make in known * 40] + [(make, 2) for make in unseen * 5] + [(make, 0) for make in decoys * 30]
+    rng.shuffle(planted)
+    rows, kinds = [], {}
+    for i, (make, kind) in enumerate(planted):
+        rows.append((i, f"{word()} {word()} {make()} {word()}, {word()}", "x"))
+        kinds[i] = kind
+    found = pii.proposed(spark.createDataFrame(rows, SCHEMA))
+    model = pii.train(found)
+    assert all(precision >= pii.PRECISION and recall >= 0.8 for precision, recall in model.held_out.values()) and set(model.held_out) == {"address", "number"}
+    reported = [r["doc_id"] for r in pii.selected(found, model).collect() for x in r["found"]]
+    hits, false = {i for i in reported if kinds[i] == 2}, [i for i in reported if kinds[i] == 0]
+    recall, precision = len(hits) / (5 * len(unseen)), len(hits) / (len(hits) + len(false))
+    missed = sorted(rows[i][1] for i, k in kinds.items() if k == 2 and i not in hits)
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision, missed, [rows[i][1] for i in false])
+
+
+def test_calibration():
+    score, y = np.array([3.0, 2.0, 2.0, 1.0, 0.0]), np.array([1.0, 1.0, 0.0, 1.0, 0.0])
+    assert pii.calibrated(score, y) == (2.5, 1.0, 1 / 3)
+    assert pii.calibrated(np.array([1.0, 0.0]), np.array([0.0, 1.0])) == (0.0, 0.5, 1.0)
+    assert pii.calibrated(np.array([1.0, 0.0]), np.array([0.0, 0.0])) is None
+    assert pii.calibrated(np.array([]), np.array([])) is None
+
+
 def test_time_grows_with_the_matches(spark):
     took = []
     for n in (10_000, 40_000):
