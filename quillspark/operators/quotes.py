@@ -115,15 +115,19 @@ def removed(items: Column, index: Column) -> Column:
     return F.filter(items, lambda x, i: i != index)
 
 
-def page_breaks(rows: Column, margin: float, bottom: float) -> Column:
-    """Top of each row: heights add up, and a row that would pass ``bottom`` starts a page at ``margin``. rows: array of heights."""
+def page_breaks(rows: Column, margin: float, bottom: float, page: Column | None = None, y: Column | None = None) -> Column:
+    """Top of each row: heights add up, and a row that would pass ``bottom`` starts a page at ``margin``. rows: array of heights.
+
+    The first row follows ``y`` of ``page``, by default the top of the first. ``breaks.placed`` does the same for documents of any length.
+    """
 
     def step(acc: Column, h: Column) -> Column:
         new = acc["y"] + h > bottom
         y, page = F.when(new, margin).otherwise(acc["y"]), acc["page"] + new.cast("int")
         return F.struct((y + h).alias("y"), page.alias("page"), F.array_append(acc["out"], F.struct(page.alias("page"), y.alias("y"))).alias("out"))
 
-    start = F.struct(F.lit(margin).cast("double").alias("y"), F.lit(1).alias("page"), F.array().cast("array<struct<page:int,y:double>>").alias("out"))
+    at, first = F.lit(margin) if y is None else y, F.lit(1) if page is None else page
+    start = F.struct(at.cast("double").alias("y"), first.cast("int").alias("page"), F.array().cast("array<struct<page:int,y:double>>").alias("out"))
     return F.aggregate(rows, start, step, lambda acc: acc["out"])
 
 

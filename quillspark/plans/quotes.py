@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import js, text
-from quillspark.operators import layout
+from quillspark.operators import breaks, layout
 from quillspark.operators import quotes as Q
 from quillspark.plans.registry import register
 from quillspark.sources.snapshots import Store, work_folder
@@ -206,6 +206,20 @@ def page_break_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", F.posexplode("at").alias("row", "at")).select("l_orderkey", "row", F.col("at.page").alias("page"), F.col("at.y").alias("y"), (F.col("row") % 2 == 0).alias("striped"))
 
 
+@register(
+    "page_breaks_long",
+    """with recursive r as (select l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, 24.0::double + case when l_quantity > 25 then floor(l_quantity / 10) * 14 + 6 else 0 end as h from lineitem),
+      n as (select l_suppkey, list({'k': l_orderkey, 'n': l_linenumber, 'p': l_partkey, 'q': l_quantity, 'h': h} order by l_orderkey, l_linenumber, l_partkey, l_quantity) as items from r group by 1),
+      f as (select l_suppkey, items, 0 as pos, 1 as page, 40.0::double as y, 40.0::double as top from n
+        union all select l_suppkey, items, pos + 1, case when y + items[pos + 1].h > 700 then page + 1 else page end, case when y + items[pos + 1].h > 700 then 40 else y end + items[pos + 1].h, case when y + items[pos + 1].h > 700 then 40 else y end from f where pos < len(items))
+    select l_suppkey, items[pos].k as l_orderkey, items[pos].n as l_linenumber, items[pos].p as l_partkey, items[pos].q as l_quantity, page, top from f where pos > 0""",
+)
+def page_breaks_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of one long document a supplier, whose rows are dealt into blocks of 2,048 order numbers."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", (24.0 + F.when(F.col("l_quantity") > 25, F.floor(F.col("l_quantity") / 10) * 14 + 6).otherwise(0)).alias("h"))
+    return breaks.placed(li, "l_suppkey", F.floor(F.col("l_orderkey") / 2048), ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], "h", 40.0, 700.0).drop("h")
+
+
 @register(
     "deal_note_prefill",
     """select o_orderkey, case when o_orderkey % 4 = 0 then 'own note' when o_orderkey % 4 = 1 then 'Product: ' || o_orderstatus || chr(10) || 'Value: $' || (o_orderkey % 1000)::varchar || '.50'
