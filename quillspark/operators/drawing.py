@@ -249,7 +249,10 @@ def classify(items: DataFrame, text: str = "text") -> DataFrame:
 
 
 def classify_distinct(items: DataFrame, text: str = "text") -> DataFrame:
-    """:func:`classify` of each distinct text once, joined to its rows: drawings repeat most of what they say."""
+    """:func:`classify` of each distinct text once, joined to its rows: drawings repeat most of what they say.
+
+    Rows are the left side of a left join, so adaptive execution may split those of a frequent text among tasks.
+    """
     known = classify(items.select(F.col(text).alias("_text")).distinct(), "_text").select("_text", "category", "type", *FIELDS)
     own = items.drop("category", "type", *FIELDS)
     return own.join(known, own[text].eqNullSafe(known["_text"]), "left").drop("_text")

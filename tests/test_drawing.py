@@ -4,9 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import display, spatial
-from quillspark.operators.drawing import CATEGORIES, classify, with_bbox
+from quillspark.operators.drawing import CATEGORIES, classify, classify_distinct, with_bbox
 
 #: text, category, type, fields that are not null
 GOLDEN = [
@@ -169,3 +170,24 @@ def test_parsed_drawing_has_pairs_and_sections(spark):
     shown = {(r["doc_id"], r["category"]): r for r in display.records(parsed).collect()}
     assert shown[1, "possible_limit_dimensions"]["primary"] == "0.48 / 0.478" and [t["value"] for t in shown[1, "possible_limit_dimensions"]["tags"]] == ["needs_confirmation", ".480 / .478"]
     assert spatial.parse_drawing(spark.createDataFrame([], ITEM)).count() == 0
+
+
+def test_a_hot_text_is_split_among_tasks(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "65536",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32768",
+    }
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        items = spark.range(0, 60_000, 1, 8).select("id", F.when(F.col("id") % 3 == 0, "THRU").otherwise(F.concat(F.lit("R"), (F.col("id") % 500).cast("string"))).alias("text"), F.sha2(F.col("id").cast("string"), 256).alias("load"))
+        found = classify_distinct(items)
+        rows = found.collect()
+        assert len(rows) == 60_000 and {r["category"] for r in rows if r["text"] == "THRU"} == {"depths"}
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
