@@ -6,11 +6,12 @@ category after that, so that every row evaluates the extracts of one matcher onl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import js
 from quillspark.functions.js import ANY, BOUND, WS
+from quillspark.operators.phrases import ANYWHERE, WORDS, found
 
 S = f"{WS}*"
 NUM = r"([0-9]+(?:\.[0-9]+)?|\.[0-9]+)"
@@ -44,6 +45,8 @@ NOTES = (
     "fabricate from", "machined from", "heat treat", "heat treatment", "stress relieve", "do not mark", "do not stamp", "permanent ink",
     "critical dimension", "critical feature",
 )
+#: Lists of a keyword table: the first two by words, with a boundary on both sides, notes anywhere.
+LISTS = ("finishes", "materials", "notes")
 GRADE = r"(?:6061|6063|7075|5052|2024|3003)(?:[-_]?T[0-9]+)?|303|304|316L?|17-4(?:PH)?|410|420|1018|1045|12L14|4140|4340|8620|A36|O1|D2|A2|S7"
 
 #: Fields of a parsed entry besides category and type.
@@ -111,8 +114,10 @@ def _phrase(text: Column) -> Column:
     return F.coalesce(*[F.when(lower.contains(p), p) for p in NOTES])
 
 
-def _conditions(t: Column, n: Column, c: Column) -> dict[str, Column]:
-    """Whether each matcher takes the text t; n has ± for +/- and white space collapsed, c has × as X and white space collapsed."""
+def _conditions(t: Column, n: Column, c: Column, listed: dict[str, Column]) -> dict[str, Column]:
+    """Whether each matcher takes the text t; n has ± for +/- and white space collapsed, c has × as X and white space collapsed; ``listed`` says
+    of which keyword lists the text has a phrase.
+    """
     body = lambda p: js.trim(F.regexp_extract(n, p, 1)).rlike(CALLOUT)
     threads = F.regexp_replace(c, THREAD_COUNT, "")
     dimension = n.rlike(TOLERANCED)
@@ -127,12 +132,12 @@ def _conditions(t: Column, n: Column, c: Column) -> dict[str, Column]:
         "thread": threads.rlike(INCH_THREAD) | threads.rlike(METRIC_THREAD),
         "feature": js.collapsed(t).rlike(FEATURE),
         "quantity": quantity,
-        "finish": t.rlike(ROUGH) | (_value(t, FINISH) != "") | t.rlike(_keywords(FINISHES)),
-        "material": (_value(t, MATERIAL) != "") | t.rlike(_keywords(MATERIALS)) | t.rlike(f"(?i)^(?:{GRADE}){S}\\z"),
+        "finish": t.rlike(ROUGH) | (_value(t, FINISH) != "") | listed["finishes"],
+        "material": (_value(t, MATERIAL) != "") | listed["materials"] | t.rlike(f"(?i)^(?:{GRADE}){S}\\z"),
         "specification": js.trim(F.regexp_extract(t, SIZE, 1)) != "",
         "depth": js.collapsed(t).rlike(THROUGH) | js.collapsed(t).rlike(DEPTH),
         "dimension": dimension,
-        "note": t.rlike(NOTE) | F.regexp_extract(t, NOTE_LINE, 1).rlike("[a-zA-Z]{2,}") | _phrase(t).isNotNull(),
+        "note": t.rlike(NOTE) | F.regexp_extract(t, NOTE_LINE, 1).rlike("[a-zA-Z]{2,}") | listed["notes"],
     }
 
 
@@ -141,8 +146,8 @@ def _unit(*cs: Column) -> Column:
     return F.when(found == '"', "in").otherwise(F.lower(found))
 
 
-def _fields(t: Column, n: Column, c: Column, body: Column, rest: Column) -> dict[str, dict[str, Column]]:
-    """type and fields by matcher; body is the numeric part of a callout or dimension, rest what follows a feature's count."""
+def _fields(t: Column, n: Column, c: Column, body: Column, rest: Column, phrase: Column) -> dict[str, dict[str, Column]]:
+    """type and fields by matcher; body is the numeric part of a callout or dimension, rest what follows a feature's count, phrase that of a note."""
     text, number = lambda s, p, k: F.nullif(js.trim(F.regexp_extract(s, p, k)), F.lit("")), lambda s, p, k: js.number(F.regexp_extract(s, p, k))
     whole = js.trim(t)
     call = lambda k: number(body, CALLOUT, k)
@@ -203,31 +208,34 @@ def _fields(t: Column, n: Column, c: Column, body: Column, rest: Column) -> dict
             "upper": number(body, LIMIT, 1),
             "lower": number(body, LIMIT, 2),
         },
-        "note": {"type": F.when(t.rlike(NOTE), "note_prefix").when(numbered, "numbered_note").otherwise("note_phrase"), "spec": F.when(t.rlike(NOTE) | numbered, whole).otherwise(_phrase(t))},
+        "note": {"type": F.when(t.rlike(NOTE), "note_prefix").when(numbered, "numbered_note").otherwise("note_phrase"), "spec": F.when(t.rlike(NOTE) | numbered, whole).otherwise(phrase)},
     }
 
 
-def classify(items: DataFrame, text: str = "text") -> DataFrame:
+def classify(items: DataFrame, text: str = "text", phrases: dict[str, Column] | None = None) -> DataFrame:
     """Add category, type and FIELDS to every row of ``items``; a null text counts as empty, and a blank one is unclassified.
 
-    Columns of ``items`` with those names are replaced. Steps that later ones use again stay projections of their own.
+    Columns of ``items`` with those names are replaced. Steps that later ones use again stay projections of their own. ``phrases`` gives by list of
+    LISTS the phrase that a text has, null for none, in place of the fixed keywords; see :func:`classify_listed`.
     """
     names = [m for m, _ in MATCHERS]
+    lists = () if phrases is None else LISTS
 
     def matcher(x: Column) -> Column:
         chosen = F.when(~js.not_blank(x["t"]), -1)
-        for k, found in enumerate(_conditions(x["t"], x["n"], x["c"]).values()):
-            chosen = chosen.when(found, k)
-        return F.struct(*[x[k].alias(k) for k in ("t", "n", "c")], chosen.otherwise(-1).alias("m"))
+        listed = {k: x[k].isNotNull() for k in lists} or {"finishes": x["t"].rlike(_keywords(FINISHES)), "materials": x["t"].rlike(_keywords(MATERIALS)), "notes": _phrase(x["t"]).isNotNull()}
+        for k, fits in enumerate(_conditions(x["t"], x["n"], x["c"], listed).values()):
+            chosen = chosen.when(fits, k)
+        return F.struct(*[x[k].alias(k) for k in ("t", "n", "c", *lists)], chosen.otherwise(-1).alias("m"))
 
     def parts(x: Column) -> Column:
         of = lambda name: x["m"] == names.index(name)
         body = F.when(of("diameter"), js.trim(F.regexp_extract(x["n"], DIAMETER, 1))).when(of("radius"), js.trim(F.regexp_extract(x["n"], RADIUS, 1))).when(of("dimension"), x["n"])
         rest = F.when(of("feature"), js.trim(F.regexp_extract(js.collapsed(x["t"]), FEATURE, 2)))
-        return F.struct(*[x[k].alias(k) for k in ("t", "n", "c", "m")], body.alias("body"), rest.alias("rest"))
+        return F.struct(*[x[k].alias(k) for k in ("t", "n", "c", "m", *lists)], body.alias("body"), rest.alias("rest"))
 
     def parsed(x: Column) -> Column:
-        fields = _fields(x["t"], x["n"], x["c"], x["body"], x["rest"]) | {"none": {"type": F.lit("unclassified"), "spec": js.trim(x["t"])}}
+        fields = _fields(x["t"], x["n"], x["c"], x["body"], x["rest"], x["notes"] if lists else _phrase(x["t"])) | {"none": {"type": F.lit("unclassified"), "spec": js.trim(x["t"])}}
         columns = []
         for field, kind in {"type": "string", **FIELDS}.items():
             value = None
@@ -240,7 +248,7 @@ def classify(items: DataFrame, text: str = "text") -> DataFrame:
     # Each step is a lambda over an array of one row: Spark evaluates those as they are, where one generated method for all patterns
     # would be too large for the JVM to compile.
     t = F.coalesce(F.col(text), F.lit(""))
-    named = F.struct(t.alias("t"), js.collapsed(F.regexp_replace(t, f"\\+{S}/{S}-", "±")).alias("n"), F.replace(js.collapsed(t), F.lit("×"), F.lit("X")).alias("c"))
+    named = F.struct(t.alias("t"), js.collapsed(F.regexp_replace(t, f"\\+{S}/{S}-", "±")).alias("n"), F.replace(js.collapsed(t), F.lit("×"), F.lit("X")).alias("c"), *[phrases[k].alias(k) for k in lists])
     df = items.withColumn("_m", F.transform(F.array(named), matcher))
     m = F.col("_m")[0]["m"]
     category = F.element_at(F.array(*[F.lit(x) for _, x in MATCHERS], F.lit("unclassified")), F.when(m < 0, len(MATCHERS) + 1).otherwise(m + 1))
@@ -258,6 +266,22 @@ def classify_distinct(items: DataFrame, text: str = "text") -> DataFrame:
     return own.join(known, own[text].eqNullSafe(known["_text"]), "left").drop("_text")
 
 
+def dictionary(spark: SparkSession) -> DataFrame:
+    """list, rule, phrase, place: the fixed keywords as a table, to be extended or replaced."""
+    rows = [(name, rule, p, k) for name, rule, words in (("finishes", WORDS, FINISHES), ("materials", WORDS, MATERIALS), ("notes", ANYWHERE, NOTES)) for k, p in enumerate(words)]
+    return spark.createDataFrame(rows, "list string, rule string, phrase string, place int")
+
+
+def classify_listed(items: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
+    """:func:`classify_distinct` with the keywords of a table (list of LISTS, rule, phrase, place) of any size in place of the fixed ones."""
+    texts = items.select(F.col(text).alias("_text")).distinct()
+    met = found(texts, keywords.filter(F.col("list").isin(*LISTS)), ["_text"], "_text")
+    own = met.groupBy("_text").agg(*[F.max(F.when(F.col("list") == k, F.col("phrase"))).alias(f"_{k}") for k in LISTS])
+    known = classify(texts.join(own, "_text", "left"), "_text", {k: F.col(f"_{k}") for k in LISTS}).select("_text", "category", "type", *FIELDS)
+    rows = items.drop("category", "type", *FIELDS)
+    return rows.join(known, rows[text].eqNullSafe(known["_text"]), "left").drop("_text")
+
+
 def with_bbox(items: DataFrame) -> DataFrame:
     """Add bbox (x, y, width, height), null unless x and one of width and y are finite."""
     d = {k: F.col(k).cast("double") for k in ("x", "y", "width", "height")}
