@@ -1,6 +1,9 @@
-"""Which phrases of a dictionary table occur in texts. The dictionary is a trie of two levels, kept as tables: heads, the first characters of
-phrases, with the lengths that phrases under them have, and the phrases themselves. A text's places meet the heads, and what is cut there at those
-lengths meets the phrases; both are equality joins, so a place costs as many cuts as its head has lengths, however many phrases there are.
+"""Which phrases of a dictionary table occur in texts. The dictionary is a trie of few levels, kept as tables: heads, what phrases begin with, with the
+sizes that phrases under them have, and the phrases themselves. A text's places meet the heads, and what is cut there in those sizes meets the phrases;
+both are equality joins, so a place costs as many cuts as its head has sizes, however many phrases there are.
+
+Phrases between word boundaries are counted in runs, of word characters or of others, and their head is the first run. Phrases anywhere are counted
+in characters, and their head is half of them or more, up to 24.
 """
 
 from __future__ import annotations
@@ -12,9 +15,11 @@ from quillspark.functions.js import WS, trim
 
 #: Rules: between word boundaries with any white space for a space, and anywhere in the text as it is. Neither minds case.
 WORDS, ANYWHERE = "words", "anywhere"
-HEAD = 3
-#: Characters of a text's pieces, at least; a head takes less than 100 bytes, so what is sent to every task is below 10 MB.
-PIECE = 256
+HEADS = (1, 3, 6, 12, 24)
+RUN = "[a-z0-9_]++|[^a-z0-9_]++"
+#: Runs or characters of a text's pieces, at least; a head takes at most a few hundred bytes, so what is sent to every task is below 40 MB.
+PIECE = 64
+LONGEST_SENT = 256
 SENT_HEADS = 100_000
 
 
@@ -30,46 +35,62 @@ def _is_word(c: Column) -> Column:
     return code.between(97, 122) | code.between(48, 57) | (code == 95)
 
 
-def _tables(dictionary: DataFrame) -> tuple[DataFrame, DataFrame, int, int] | None:
-    """Heads (rule, head, sizes), phrases (rule, phrase, list, place), the length of heads and of the longest phrase; None without phrases."""
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
+
+
+def _tables(dictionary: DataFrame) -> tuple[DataFrame, DataFrame, list[int], dict[str, int]]:
+    """Heads (rule, head, sizes), phrases (rule, phrase, list, place), the lengths of heads of phrases anywhere, and the largest size by rule."""
     known = F.when(F.col("rule").isin(WORDS, ANYWHERE), F.col("rule")).otherwise(F.raise_error(F.concat(F.lit("no rule: "), F.coalesce("rule", F.lit("null")))).cast("string"))
     folded = F.when(known == WORDS, trim(_folded(F.col("phrase"), WORDS))).otherwise(_folded(F.col("phrase"), ANYWHERE))
     rows = dictionary.select(known.alias("rule"), folded.alias("phrase"), "list", "place").filter(F.length("phrase") > 0)
     phrases = rows.groupBy("rule", "phrase", "list").agg(F.min("place").alias("place"))
-    least, longest = rows.agg(F.min(F.length("phrase")), F.max(F.length("phrase"))).head()
-    if least is None:
-        return None
-    head = min(HEAD, least)
-    heads = rows.groupBy("rule", F.substring("phrase", 1, head).alias("head")).agg(F.collect_set(F.length("phrase")).alias("sizes"))
-    if heads.limit(SENT_HEADS + 1).count() <= SENT_HEADS and longest <= PIECE:
+    length, words = F.length("phrase"), F.col("rule") == WORDS
+    h = F.when(~words, F.coalesce(*[F.when(length >= n, n) for n in reversed(HEADS)]))
+    head = F.when(words, F.get(_runs(F.col("phrase")), F.lit(0))).otherwise(F.substr("phrase", F.lit(1), h))
+    headed = rows.select("rule", F.when(words, F.size(_runs(F.col("phrase")))).otherwise(length).alias("size"), length.alias("length"), h.alias("h"), head.alias("head"))
+    found = headed.groupBy("rule").agg(F.collect_set("h").alias("h"), F.max("size").alias("size"), F.max("length").alias("length"), F.count_distinct("head").alias("n")).collect()
+    heads = headed.groupBy("rule", "head").agg(F.collect_set("size").alias("sizes"))
+    if sum(r["n"] for r in found) <= SENT_HEADS and all(r["length"] <= LONGEST_SENT for r in found):
         heads = F.broadcast(heads)
-    return heads, phrases, head, longest
+    return heads, phrases, sorted({h for r in found for h in r["h"]}), {r["rule"]: r["size"] for r in found}
 
 
-def _places(texts: DataFrame, keys: list[str], text: str, rule: str, head: int, longest: int, piece: int) -> DataFrame:
-    """keys, _head, _rest (the text from a place on, as far as a phrase and one more character reach) of every place where a phrase may begin.
-
-    Texts are cut into pieces first, in linear time, so that a place never carries its whole text.
-    """
-    step = max(piece, longest + 1)
-    pieces = F.regexp_extract_all(_folded(F.col(text), rule), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+def _pieces(texts: DataFrame, keys: list[str], text: Column, pattern: str) -> DataFrame:
+    """keys, _p (own, first, behind): texts cut into pieces in linear time, with what follows, so that a place never carries its whole text."""
 
     def cut(a: Column) -> Column:
-        one = lambda x, i: F.struct(
-            F.length(x).alias("size"),
-            F.when(i > 0, F.substring(F.get(a, i - 1), -1, 1)).otherwise("").alias("before"),
-            F.concat(x, F.coalesce(F.substring(F.get(a, i + 1), 1, longest), F.lit(""))).alias("text"),
-        )
-        return F.transform(a, one)
-
-    rows = texts.select(*keys, F.explode(F.transform(F.array(pieces), cut)[0]).alias("_p"))
-    at = F.col("_at")
-    rows = rows.select(*keys, "_p", F.explode(F.sequence(F.lit(1), F.col("_p.size"))).alias("_at"))
-    rest = F.substr(F.col("_p.text"), at, F.lit(longest + 1))
-    if rule == WORDS:
-        last = F.when(at > 1, F.substr(F.col("_p.text"), at - 1, F.lit(1))).otherwise(F.col("_p.before"))
-        rows = rows.filter(_is_word(last) != _is_word(F.substr(F.col("_p.text"), at, F.lit(1))))
-    return rows.select(*keys, rest.alias("_rest"), F.substr(F.col("_p.text"), at, F.lit(head)).alias("_head"))
+        near = lambda i: F.coalesce(F.get(a, i), F.lit(""))
+        return F.transform(a, lambda x, i: F.struct(x.alias("own"), (i == 0).alias("first"), near(i + 1).alias("behind")))
+
+    return texts.select(*keys, F.explode(F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), cut)[0]).alias("_p"))
+
+
+def _word_cuts(texts: DataFrame, heads: DataFrame, keys: list[str], text: Column, most: int, piece: int) -> DataFrame:
+    """keys, phrase: what may be a phrase of up to ``most`` runs between word boundaries."""
+    rows = _pieces(texts, keys, text, f"(?:{RUN}){{1,{max(piece, most + 1)}}}+")
+
+    def places(two: Column) -> Column:
+        every = F.concat(two["own"], F.slice(two["behind"], 1, most + 1))
+        one = lambda a: F.transform(two["own"], lambda x, i: F.struct(x.alias("head"), F.slice(a, i + 1, most + 1).alias("runs"), (two["first"] & (i == 0)).alias("edge")))
+        return F.transform(F.array(every), one)[0]
+
+    bound = F.struct(_runs(F.col("_p.own")).alias("own"), _runs(F.col("_p.behind")).alias("behind"), F.col("_p.first").alias("first"))
+    at = rows.select(*keys, F.explode(F.transform(F.array(bound), places)[0]).alias("_x")).select(*keys, F.col("_x.head").alias("_head"), F.col("_x.runs").alias("_runs"), F.col("_x.edge").alias("_edge"))
+    met = at.filter(~F.col("_edge") | _is_word(F.col("_head"))).join(heads, "_head").select(*keys, "_runs", F.explode("sizes").alias("_size"))
+    phrase = F.array_join(F.slice("_runs", F.lit(1), F.col("_size")), "")
+    whole = met.filter(F.size("_runs") >= F.col("_size")).select(*keys, phrase.alias("phrase"), (F.size("_runs") > F.col("_size")).alias("_more"))
+    return whole.filter(F.col("_more") | _is_word(F.substring("phrase", -1, 1))).select(*keys, "phrase")
+
+
+def _cuts(texts: DataFrame, heads: DataFrame, keys: list[str], text: Column, lengths: list[int], most: int, piece: int) -> DataFrame:
+    """keys, phrase: what may be a phrase of up to ``most`` characters anywhere."""
+    rows = _pieces(texts, keys, text, f"(?s).{{1,{max(piece, most)}}}")
+    rows = rows.select(*keys, F.concat("_p.own", F.substring("_p.behind", 1, most)).alias("_t"), F.explode(F.sequence(F.lit(1), F.length("_p.own"))).alias("_at"))
+    rows = rows.select(*keys, F.substr("_t", F.col("_at"), F.lit(most)).alias("_rest"), F.explode(F.array(*map(F.lit, lengths))).alias("_h"))
+    at = rows.filter(F.length("_rest") >= F.col("_h")).select(*keys, "_rest", F.substr("_rest", F.lit(1), F.col("_h")).alias("_head"))
+    met = at.join(heads, "_head").select(*keys, "_rest", F.explode("sizes").alias("_size"))
+    return met.filter(F.length("_rest") >= F.col("_size")).select(*keys, F.substr("_rest", F.lit(1), F.col("_size")).alias("phrase"))
 
 
 def found(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str = "text", piece: int = PIECE) -> DataFrame:
@@ -84,21 +105,16 @@ def found(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str =
     names = ["list", "phrase", "place", "n_phrases", "n_found"]
     if not keys or set(keys) & set(names):
         raise ValueError(f"keys must be given, and none of them be one of {', '.join(names)}")
-    tables = _tables(dictionary)
-    if tables is None:
-        return texts.select(*keys, *[F.lit(None).cast(t).alias(n) for n, t in zip(names, ("string", "string", "int", "long", "long"), strict=True)]).filter(F.lit(False))
-    heads, phrases, head, longest = tables
+    heads, phrases, lengths, most = _tables(dictionary)
     met = None
-    for rule in (WORDS, ANYWHERE):
-        own = heads.filter(F.col("rule") == rule).select(F.col("head").alias("_head"), "sizes")
-        cuts = _places(texts, keys, text, rule, head, longest, piece).join(own, "_head").select(*keys, "_rest", F.explode("sizes").alias("_size"))
-        cuts = cuts.filter(F.length("_rest") >= F.col("_size"))
-        if rule == WORDS:
-            ends = _is_word(F.substr("_rest", F.col("_size"), F.lit(1))) != _is_word(F.substr("_rest", F.col("_size") + 1, F.lit(1)))
-            cuts = cuts.filter(ends)
-        cuts = cuts.groupBy(*keys, F.substr("_rest", F.lit(1), F.col("_size")).alias("phrase")).agg(F.count("*").alias("_n"))
-        part = cuts.join(phrases.filter(F.col("rule") == rule).drop("rule"), "phrase").select(*keys, "list", "phrase", "place", "_n")
+    for rule in most:
+        own, whole = heads.filter(F.col("rule") == rule).select(F.col("head").alias("_head"), "sizes"), _folded(F.col(text), rule)
+        cuts = _word_cuts(texts, own, keys, whole, most[rule], piece) if rule == WORDS else _cuts(texts, own, keys, whole, lengths, most[rule], piece)
+        counted = cuts.groupBy(*keys, "phrase").agg(F.count("*").alias("_n"))
+        part = counted.join(phrases.filter(F.col("rule") == rule).drop("rule"), "phrase").select(*keys, "list", "phrase", "place", "_n")
         met = part if met is None else met.unionByName(part)
+    if met is None:
+        return texts.select(*keys, *[F.lit(None).cast(t).alias(n) for n, t in zip(names, ("string", "string", "int", "long", "long"), strict=True)]).filter(F.lit(False))
     once = met.groupBy(*keys, "list", "phrase").agg(F.min("place").alias("place"), F.sum("_n").alias("_n"))
     best = once.groupBy(*keys, "list").agg(F.min(F.struct("place", "phrase")).alias("_b"), F.count("*").alias("n_phrases"), F.sum("_n").alias("n_found"))
     return best.select(*keys, "list", "_b.phrase", "_b.place", "n_phrases", "n_found")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import drawings, quotes, records, stores, texts  # noqa: F401  they register their queries
+from quillspark.plans import drawings, phrases, quotes, records, stores, texts  # noqa: F401  they register their queries
 from quillspark.plans.registry import REGISTRY
 
 
