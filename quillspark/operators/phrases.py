@@ -17,8 +17,9 @@ from quillspark.functions.js import WS, trim
 WORDS, ANYWHERE = "words", "anywhere"
 HEADS = (1, 3, 6, 12, 24)
 RUN = "[a-z0-9_]++|[^a-z0-9_]++"
-#: Runs or characters of a text's pieces, at least; a head takes at most a few hundred bytes, so what is sent to every task is below 40 MB.
+#: Runs or characters of a text's pieces, at least.
 PIECE = 64
+#: Heads are sent to every task if they are no more than these, of phrases no longer than that: below 40 MB. Else they are joined by a shuffle.
 LONGEST_SENT = 256
 SENT_HEADS = 100_000
 
