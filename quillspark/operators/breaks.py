@@ -2,26 +2,30 @@
 
 What a block does to the place where it is entered is a step function: where the first break falls depends on the place, and from there on nothing
 does. Such functions compose into one of the same form, with at most as many steps as rows fit on a page, so blocks are composed FAN at a time, level by
-level, and the places are handed down again; then every block is folded from its own place. No task holds more than a block or FAN functions.
+level, and the places are handed down again; then every block is folded from its own place. Neighbouring blocks are packed until they have SIZE rows, and documents
+of no more rows are folded as they are. No task holds more than a block and SIZE rows or FAN functions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from quillspark.operators.crowded import _stored
-from quillspark.operators.quotes import page_breaks
 from quillspark.session import ship
 from quillspark.sources.snapshots import work_folder
 
-#: Functions composed in one task.
-FAN = 1024
+#: Functions composed in one task, and rows that blocks are packed up to.
+FAN, SIZE = 1024, 1024
 _STEPS = "key string, b long, above array<double>, pages array<long>, y array<double>, total double"
+_ARROW = pa.schema([("key", pa.string()), ("b", pa.int64()), ("above", pa.list_(pa.float64())), ("pages", pa.list_(pa.int64())), ("y", pa.list_(pa.float64())), ("total", pa.float64())])
 
 #: (thresholds, falling; pages; tops), and the sum of heights: entered above a threshold, the first such decides; entered below all, heights just add up.
 Steps = tuple[list[float], list[int], list[float], float]
@@ -67,29 +71,72 @@ def _functions(df: pd.DataFrame) -> list[Steps]:
     return [(list(a), [int(p) for p in ps], list(y), float(t)) for a, ps, y, t in zip(df["above"], df["pages"], df["y"], df["total"], strict=True)]
 
 
-def placed(rows: DataFrame, doc: str, block: Column, order: list[str], height: str, margin: float, bottom: float, fan: int = FAN) -> DataFrame:
+def _by_block(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of a block one after another in one task, in their order."""
+    return rows.repartition("key", "c").sortWithinPartitions("key", "c", F.asc_nulls_first("b"), *[F.asc_nulls_first(k) for k in columns])
+
+
+def _folded(rows: DataFrame, margin: float, bottom: float, schema: StructType) -> DataFrame:
+    """Page and top of rows that come block by block in their order, each block from its page and at; a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, page, y = None, 1, margin
+        for batch in batches:
+            pages, tops = [], []
+            for key, c, h, *start in zip(*(batch.column(k).to_pylist() for k in ("key", "c", "h", "page", "at")), strict=True):
+                if last != (key, c):
+                    last, (page, y) = (key, c), start
+                if y + h > bottom:
+                    page, y = page + 1, margin
+                pages.append(page)
+                tops.append(y)
+                y += h
+            own = [batch.column(f"c{i}") for i in range(len(schema) - 2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(pages, pa.int32()), pa.array(tops, pa.float64())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def placed(rows: DataFrame, doc: str, block: Column, order: list[str], height: str, margin: float, bottom: float, fan: int = FAN, size: int = SIZE) -> DataFrame:
     """The columns of ``rows``, page and top of every row of ``rows`` in its document.
 
-    A document's rows follow ``block``, a whole number that never falls along the order, and within it the columns of ``order``. A block is held by one
-    task. Null or negative heights count as 0; a null document is one too, and so is a null block, which comes first. Rows equal in ``order`` are taken by
-    height. Sums of heights have to be exact in double precision, as whole points are; columns page and top of ``rows`` are replaced,
-    and its columns have to be ones that can be ordered.
+    A document's rows follow ``block``, a whole number that never falls along the order, and within it the columns of ``order``. The heights of a block are
+    held by one task, with those before it that have less than ``size`` rows together. Null or negative heights count as 0; a null document is one too, and
+    so is a null block, which comes first. Rows equal in ``order`` are taken by height. Sums of heights have to be exact in double precision, as whole points
+    are; columns page and top of ``rows`` are replaced, and its columns have to be ones that can be ordered.
     """
     ship(rows.sparkSession)
     folder = work_folder(rows.sparkSession)
     own = rows.drop("page", "top")
-    size = F.greatest(F.coalesce(F.col(height).cast("double"), F.lit(0.0)), F.lit(0.0))
-    row = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], size.alias("_h"), F.struct(*own.columns).alias("_row"))
-    blocks = own.groupBy(F.to_json(F.struct(F.col(doc).alias("d"))).alias("key"), block.cast("long").alias("b")).agg(F.array_sort(F.collect_list(row)).alias("r"))
-    blocks = _stored(blocks, f"{folder}/blocks")
-    least, most = blocks.agg(F.min("b"), F.max("b")).head()
-    # counted from 1, and 0 is the null block: all blocks of a document then meet at parent 0 of some level
-    blocks, last = blocks.withColumn("b", F.coalesce(F.col("b") - F.lit(least) + 1, F.lit(0))), 0 if least is None else most - least + 1
-
-    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            found = [steps(np.asarray(h, float), margin, bottom) for h in df["h"]]
-            yield pd.DataFrame({"key": df["key"], "b": df["b"], **{c: [f[k] for f in found] for k, c in enumerate(("above", "pages", "y", "total"))}})
+    schema = StructType([*own.schema.fields, StructField("page", IntegerType()), StructField("top", DoubleType())])
+    high = F.greatest(F.coalesce(F.col(height).cast("double"), F.lit(0.0)), F.lit(0.0))
+    key = F.to_json(F.struct(F.col(doc).alias("d")))
+    flat = own.select(key.alias("key"), block.cast("long").alias("b"), high.alias("h"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(own.columns)])
+    ordered = [f"c{own.columns.index(c)}" for c in order]
+    every = [*ordered, "h", *[f"c{i}" for i, c in enumerate(own.columns) if c not in order]]
+    first = {"c": F.lit(0).cast("long"), "page": F.lit(1).cast("long"), "at": F.lit(margin).cast("double")}
+    long_ = _stored(flat.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > size).select("key"), f"{folder}/long")
+    if long_.isEmpty():
+        return _folded(_by_block(flat.withColumns(first), every), margin, bottom, schema)
+    short = _folded(_by_block(flat.join(long_, "key", "left_anti").withColumns(first), every), margin, bottom, schema)
+    flat = flat.join(long_, "key", "left_semi")
+    before = Window.partitionBy("key").orderBy(F.asc_nulls_first("b")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    packed = flat.groupBy("key", "b").agg(F.count("*").alias("n")).select(F.col("key").alias("_key"), F.col("b").alias("_b"), F.floor((F.sum("n").over(before) - F.col("n")) / size).alias("c"))
+    packed = _stored(packed, f"{folder}/packed")
+    dealt = flat.join(packed, (F.col("key") == F.col("_key")) & F.col("b").eqNullSafe(F.col("_b"))).drop("_key", "_b")
+    last = packed.agg(F.max("c")).head()[0]
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, heights = None, []
+        for batch in chain(batches, [None]):
+            found = []
+            for key, c, h in [(None, None, 0.0)] if batch is None else zip(*(batch.column(k).to_pylist() for k in ("key", "c", "h")), strict=True):
+                if at != (key, c):
+                    if heights:
+                        found.append((*at, *steps(np.array(heights), margin, bottom)))
+                    at, heights = (key, c), []
+                heights.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for f, v in zip(_ARROW, zip(*found, strict=True) if found else [[]] * len(_ARROW), strict=True)], schema=_ARROW)
 
     def joined(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("b")
@@ -108,7 +155,7 @@ def placed(rows: DataFrame, doc: str, block: Column, order: list[str], height: s
         return pd.DataFrame({"key": df["key"], "b": df["b"], "page": [p for p, _ in out], "at": [y for _, y in out]})
 
     parent = F.floor(F.col("b") / fan).cast("long").alias("parent")
-    levels = [_stored(blocks.select("key", "b", F.transform("r", lambda x: x["_h"]).alias("h")).mapInPandas(leaves, _STEPS), f"{folder}/functions-0")]
+    levels = [_stored(_by_block(dealt.select("key", "c", "b", "h", *ordered), [*ordered, "h"]).mapInArrow(leaves, _STEPS), f"{folder}/functions-0")]
     while last >= fan:
         levels.append(_stored(levels[-1].select("*", parent).groupBy("key", "parent").applyInPandas(joined, _STEPS), f"{folder}/functions-{len(levels)}"))
         last //= fan
@@ -116,5 +163,5 @@ def placed(rows: DataFrame, doc: str, block: Column, order: list[str], height: s
     for level in reversed(levels):
         places = level.select("*", parent).join(start, ["key", "parent"]).groupBy("key", "parent").applyInPandas(entered, "key string, b long, page long, at double")
         start = places.withColumnRenamed("b", "parent")
-    folded = blocks.join(places, ["key", "b"]).select(F.arrays_zip("r", page_breaks(F.transform("r", lambda x: x["_h"]), margin, bottom, F.col("page"), F.col("at")).alias("p")).alias("z"))
-    return folded.select(F.explode("z").alias("z")).select("z.r._row.*", "z.p.page", F.col("z.p.y").alias("top"))
+    places = _stored(places.withColumnRenamed("b", "c"), f"{folder}/places")
+    return short.unionByName(_folded(_by_block(dealt.join(places, ["key", "c"]), every), margin, bottom, schema))

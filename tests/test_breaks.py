@@ -60,3 +60,31 @@ def test_edges(spark):
     same = spark.createDataFrame([(1, None, 100.0), (1, None, 24.0), (1, 5, 100.0), (1, None, 24.0)], "doc long, i long, height double")
     got = breaks.placed(same, "doc", F.col("i"), ["i"], "height", MARGIN, BOTTOM).collect()
     assert sorted((r["height"], r["page"], r["top"]) for r in got) == [(24.0, 1, 40.0), (24.0, 1, 64.0), (100.0, 1, 88.0), (100.0, 2, 40.0)]
+
+
+def test_small_blocks_are_packed(spark, monkeypatch):
+    seen = {}
+    stored = breaks._stored
+
+    def counted(df, path):
+        out = stored(df, path)
+        seen[path.rsplit("/", 1)[1]] = out.count()
+        return out
+
+    monkeypatch.setattr(breaks, "_stored", counted)
+    rng = random.Random(8)
+    docs = {d: [rng.choice([0.0, 24.0, 44.0, 90.0, 170.0]) for _ in range(n)] for d, n in (("a", 5000), ("b", 1), (None, 1500), ("d", 700))}
+    df = spark.createDataFrame([(d, i if i > 9 else None, i, h) for d, hs in docs.items() for i, h in enumerate(hs)], "doc string, b long, i long, height double")
+    got = breaks.placed(df, "doc", F.col("b"), ["i"], "height", MARGIN, BOTTOM).collect()
+    want = {(d, i, *at) for d, hs in docs.items() for i, at in enumerate(by_loops(hs)[0])}
+    assert {(r["doc"], r["i"], r["page"], r["top"]) for r in got} == want and len(got) == len(want)
+    assert seen["functions-0"] <= sum(len(hs) // 1024 + 2 for hs in docs.values())
+
+
+@pytest.mark.parametrize(("size", "fan"), [(1, 2), (7, 3), (50, 1024)])
+def test_packed_blocks_equal_the_fold(spark, size, fan):
+    rng = random.Random(size)
+    docs = {d: [rng.choice([0.0, 24.0, 44.0, 90.0, 170.0, 500.0]) for _ in range(n)] for d, n in (("a", 1), ("b", 140), (None, 60), ("d", 23))}
+    df = spark.createDataFrame([(d, i, h) for d, hs in docs.items() for i, h in enumerate(hs)], "doc string, i long, height double")
+    got = breaks.placed(df, "doc", F.floor(F.col("i") / 3), ["i"], "height", MARGIN, BOTTOM, fan, size).collect()
+    assert {(r["doc"], r["i"], r["page"], r["top"]) for r in got} == {(d, i, *at) for d, hs in docs.items() for i, at in enumerate(by_loops(hs)[0])}
