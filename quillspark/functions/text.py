@@ -169,16 +169,19 @@ def media_source(url: Column, hosts: dict[str, str]) -> Column:
     Only https on the usual port and without a user counts, and no vector images; the address is read as a browser reads it.
     """
 
-    def source(at: Column) -> Column:
+    def named(at: Column) -> Column:
         base = F.regexp_replace(at["path"], r"(?i)/v1/(?:fill|fit)/[^/]+/[^/]+\z", "")
-        name = F.substring_index(base, "/", -1)
+        return F.struct(*[at[k].alias(k) for k in ("scheme", "user", "host", "port")], base.alias("base"), F.substring_index(base, "/", -1).alias("name"))
+
+    def source(at: Column) -> Column:
+        base, name = at["base"], at["name"]
         prefix = F.lit(None).cast("string")
         for h, p in hosts.items():
             prefix = F.when(at["host"] == h, p).otherwise(prefix)
         ok = (at["scheme"] == "https") & at["user"].isNull() & (at["port"] == "") & base.startswith(prefix) & name.rlike(r"(?i)\.[a-z0-9]+\z") & ~name.rlike(r"(?i)\.svg\z")
         return F.when(F.coalesce(ok, F.lit(False)), F.struct(F.concat(F.lit("https://"), at["host"], base).alias("base"), name.alias("name")))
 
-    return F.element_at(F.transform(F.array(urls.resolve(url)), source), 1)
+    return F.element_at(F.transform(F.transform(F.array(urls.resolve(url)), named), source), 1)
 
 
 def transform_url(source: Column, width: Column, height: Column, crop: Column, focus: Column, quality: Column) -> Column:

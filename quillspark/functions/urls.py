@@ -29,42 +29,57 @@ def percent_decoded(c: Column, plus: bool = False) -> Column:
 
 
 def _path_encoded(path: Column) -> Column:
-    out = F.replace(F.url_encode(path), F.lit("+"), F.lit("%20"))
-    for mark in PATH_MARKS:
-        out = F.replace(out, F.lit(f"%{ord(mark):02X}"), F.lit(mark))
-    return F.when(path.rlike(r"[^A-Za-z0-9/._*%-]"), out).otherwise(path)
+    def encoded(p: Column) -> Column:
+        out = F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))
+        for mark in PATH_MARKS:
+            out = F.replace(out, F.lit(f"%{ord(mark):02X}"), F.lit(mark))
+        return F.when(p.rlike(r"[^A-Za-z0-9/._*%-]"), out).otherwise(p)
+
+    return _bind(path, encoded)
 
 
 def _walked(path: Column) -> Column:
     """A path that begins with a slash, without dot segments: each segment is pushed on a stack, two dots pop one."""
-    parts = F.split(F.substr(path, F.lit(2)), "/")
     single, double = r"(?i)\A(?:\.|%2e)\z", r"(?i)\A(?:\.|%2e){2}\z"
 
     def step(stack: Column, part: Column) -> Column:
         popped = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
         return F.when(part.rlike(double), popped).when(part.rlike(single), stack).otherwise(F.concat(stack, F.array(part)))
 
-    # a path that ends with dots ends with a slash
-    whole = F.aggregate(parts, F.array().cast("array<string>"), step)
-    ends = F.when(F.element_at(parts, -1).rlike(r"(?i)\A(?:\.|%2e){1,2}\z"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    return F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|\z)"), F.concat(F.lit("/"), F.array_join(F.concat(whole, ends), "/"))).otherwise(path)
+    def walked(p: Column) -> Column:
+        parts = F.split(F.substr(p, F.lit(2)), "/")
+        # a path that ends with dots ends with a slash
+        whole = F.aggregate(parts, F.array().cast("array<string>"), step)
+        ends = F.when(F.element_at(parts, -1).rlike(r"(?i)\A(?:\.|%2e){1,2}\z"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.when(p.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|\z)"), F.concat(F.lit("/"), F.array_join(F.concat(whole, ends), "/"))).otherwise(p)
+
+    return _bind(path, walked)
 
 
 def _with_authority(scheme: Column, rest: Column) -> Column:
     """Struct of an address whose authority begins ``rest`` (backslashes before the query are slashes already); null if it is none."""
-    authority = F.regexp_extract(rest, r"\A([^/?#]*)", 1)
-    user = F.regexp_extract(authority, r"\A(.*)@", 1)
-    server = F.regexp_replace(authority, r"\A.*@", "")
-    host = F.lower(percent_decoded(F.regexp_extract(server, r"\A([^:]*)", 1)))
-    port = F.regexp_replace(F.regexp_extract(server, r":([0-9]*)\z", 1), r"\A0+(?=[0-9])", "")
-    usual = F.when(scheme == "http", DEFAULT_PORTS["http"]).otherwise(DEFAULT_PORTS["https"])
-    ok = server.rlike(r"\A[^:]+(?::[0-9]*)?\z") & host.rlike(rf"\A{_NAME}\z") & (F.length(port) < 6) & (F.coalesce(F.try_to_number(port, F.lit("99999")), F.lit(0)) < 65536)
-    return F.when(F.coalesce(ok, F.lit(False)), _address(scheme, F.nullif(F.regexp_replace(user, r"\A:\z", ""), F.lit("")), host, F.when(port == usual, "").otherwise(port), F.substr(rest, F.length(authority) + 1)))
+
+    def split(x: Column) -> Column:
+        authority = F.regexp_extract(x["rest"], r"\A([^/?#]*)", 1)
+        return F.struct(x["scheme"].alias("scheme"), x["rest"].alias("rest"), authority.alias("authority"), F.regexp_replace(authority, r"\A.*@", "").alias("server"))
+
+    def parts(x: Column) -> Column:
+        user = F.regexp_extract(x["authority"], r"\A(.*)@", 1)
+        host = F.lower(percent_decoded(F.regexp_extract(x["server"], r"\A([^:]*)", 1)))
+        port = F.regexp_replace(F.regexp_extract(x["server"], r":([0-9]*)\z", 1), r"\A0+(?=[0-9])", "")
+        return F.struct(x["scheme"].alias("scheme"), x["server"].alias("server"), user.alias("user"), host.alias("host"), port.alias("port"), F.substr(x["rest"], F.length(x["authority"]) + 1).alias("rest"))
+
+    def judged(x: Column) -> Column:
+        usual = F.when(x["scheme"] == "http", DEFAULT_PORTS["http"]).otherwise(DEFAULT_PORTS["https"])
+        port = x["port"]
+        ok = x["server"].rlike(r"\A[^:]+(?::[0-9]*)?\z") & x["host"].rlike(rf"\A{_NAME}\z") & (F.length(port) < 6) & (F.coalesce(F.try_to_number(port, F.lit("99999")), F.lit(0)) < 65536)
+        return F.when(F.coalesce(ok, F.lit(False)), _address(x["scheme"], F.nullif(F.regexp_replace(x["user"], r"\A:\z", ""), F.lit("")), x["host"], F.when(port == usual, "").otherwise(port), x["rest"]))
+
+    return _bind(_bind(_bind(F.struct(scheme.alias("scheme"), rest.alias("rest")), split), parts), judged)
 
 
 def _address(scheme: Column, user: Column, host: Column, port: Column, rest: Column) -> Column:
-    path = F.regexp_extract(rest, r"\A([^?#]*)", 1)
-    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    whole = _bind(F.regexp_extract(rest, r"\A([^?#]*)", 1), lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
     query = F.regexp_extract(rest, r"\A[^?#]*\?([^#]*)", 1)
     return F.struct(scheme.alias("scheme"), user.alias("user"), host.alias("host"), port.alias("port"), _path_encoded(_walked(whole)).alias("path"), query.alias("query"))
 
@@ -76,12 +91,16 @@ def resolve(raw: Column, origin: str | None = None) -> Column:
     """
     own = F.lit(None).cast("string") if origin is None else F.lit(origin.split(":")[0])
 
-    def parsed(clean: Column) -> Column:
-        scheme = F.lower(F.regexp_extract(clean, r"\A([A-Za-z][A-Za-z0-9+.-]*):", 1))
-        after = F.regexp_replace(clean, r"\A[A-Za-z][A-Za-z0-9+.-]*:", "")
+    def slashed(after: Column) -> Column:
         # a backslash is a slash before the query
-        head = F.regexp_extract(after, r"\A([^?#]*)", 1)
-        rest = F.concat(F.replace(head, F.lit("\\"), F.lit("/")), F.substr(after, F.length(head) + 1))
+        return _bind(F.regexp_extract(after, r"\A([^?#]*)", 1), lambda head: F.concat(F.replace(head, F.lit("\\"), F.lit("/")), F.substr(after, F.length(head) + 1)))
+
+    def split(clean: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(clean, r"\A([A-Za-z][A-Za-z0-9+.-]*):", 1))
+        return F.struct(scheme.alias("scheme"), _bind(F.regexp_replace(clean, r"\A[A-Za-z][A-Za-z0-9+.-]*:", ""), slashed).alias("rest"))
+
+    def parsed(x: Column) -> Column:
+        scheme, rest = x["scheme"], x["rest"]
         relative = (scheme == "") | (scheme == own) & ~rest.startswith("//")
         full = _with_authority(F.when(scheme == "", own).otherwise(scheme), F.regexp_replace(rest, r"\A/+", ""))
         if origin is None:
@@ -93,7 +112,7 @@ def resolve(raw: Column, origin: str | None = None) -> Column:
         return F.when(relative & ~rest.startswith("//"), inside).when((scheme == "") | scheme.isin(*DEFAULT_PORTS), full)
 
     clean = F.regexp_replace(F.regexp_replace(raw, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
-    return _bind(clean, parsed)
+    return _bind(_bind(clean, split), parsed)
 
 
 def form_without(query: Column, *names: str) -> Column:
