@@ -12,7 +12,7 @@ from quillspark.operators import acquisition as A
 from quillspark.operators import crowded, display, spatial
 from quillspark.operators.drawing import CATEGORIES, FIELDS, classify_distinct, with_bbox
 from quillspark.plans.registry import register
-from quillspark.sources.tables import SHAPES, drawing_items, extension, table
+from quillspark.sources.tables import SHAPES, dealt, drawing_items, extension, table
 
 #: Category and type of each computed shape, in the order of SHAPES. Fixed values for the SQL side, and so are the tables below.
 _CATEGORIES = ("dimensions", "dimensions", "diameters", "radii", "quantities", "threads", "threads", "depths", "depths", "quantities", "finishes", "materials", "specifications", "notes", "notes", "unclassified", "dimensions", "dimensions")
@@ -261,6 +261,6 @@ def cad_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
       round(abs(case when greatest(x1 - x0, y1 - y0, z1 - z0) = 0 then 10 else greatest(x1 - x0, y1 - y0, z1 - z0) end / sin(pi() / 8)) * 0.7, 6) as distance from m""",
 )
 def mesh_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey")
     points = table(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("model"), F.col("l_linenumber").alias("mesh"), *[c.cast("double").alias(k) for k, c in (("x", F.col("l_partkey") % 97), ("y", F.col("l_suppkey") % 89), ("z", F.col("l_quantity")))])
     return A.mesh_view(points, "model", "mesh", fov=45.0).withColumn("distance", F.round("distance", 6))

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str, most: int = 500_000) -> DataFrame:
+    """Rows of a table by ``key`` in tasks of some ``most`` rows, so that what a task sorts or groups does not grow with the table."""
+    fixed = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(fixed, rows.count() // most + 1), key)
+
+
 def unwrapped(json: Column, item: str) -> Column:
     """Items of an envelope: a bare array, or one under items or data; none otherwise. ``item`` is the items' DDL type."""
     bare = F.from_json(json, f"array<{item}>")
