@@ -18,9 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from quillspark.operators.crowded import _stored
 from quillspark.session import ship
-from quillspark.sources.snapshots import work_folder
+from quillspark.sources.snapshots import stored, work_folder
 
 #: Functions composed in one task, and rows that blocks are packed up to.
 FAN, SIZE = 1024, 1024
@@ -115,14 +114,14 @@ def placed(rows: DataFrame, doc: str, block: Column, order: list[str], height: s
     ordered = [f"c{own.columns.index(c)}" for c in order]
     every = [*ordered, "h", *[f"c{i}" for i, c in enumerate(own.columns) if c not in order]]
     first = {"c": F.lit(0).cast("long"), "page": F.lit(1).cast("long"), "at": F.lit(margin).cast("double")}
-    long_ = _stored(flat.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > size).select("key"), f"{folder}/long")
+    long_ = stored(flat.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > size).select("key"), f"{folder}/long")
     if long_.isEmpty():
         return _folded(_by_block(flat.withColumns(first), every), margin, bottom, schema)
     short = _folded(_by_block(flat.join(long_, "key", "left_anti").withColumns(first), every), margin, bottom, schema)
     flat = flat.join(long_, "key", "left_semi")
     before = Window.partitionBy("key").orderBy(F.asc_nulls_first("b")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     packed = flat.groupBy("key", "b").agg(F.count("*").alias("n")).select(F.col("key").alias("_key"), F.col("b").alias("_b"), F.floor((F.sum("n").over(before) - F.col("n")) / size).alias("c"))
-    packed = _stored(packed, f"{folder}/packed")
+    packed = stored(packed, f"{folder}/packed")
     dealt = flat.join(packed, (F.col("key") == F.col("_key")) & F.col("b").eqNullSafe(F.col("_b"))).drop("_key", "_b")
     last = packed.agg(F.max("c")).head()[0]
 
@@ -155,13 +154,13 @@ def placed(rows: DataFrame, doc: str, block: Column, order: list[str], height: s
         return pd.DataFrame({"key": df["key"], "b": df["b"], "page": [p for p, _ in out], "at": [y for _, y in out]})
 
     parent = F.floor(F.col("b") / fan).cast("long").alias("parent")
-    levels = [_stored(_by_block(dealt.select("key", "c", "b", "h", *ordered), [*ordered, "h"]).mapInArrow(leaves, _STEPS), f"{folder}/functions-0")]
+    levels = [stored(_by_block(dealt.select("key", "c", "b", "h", *ordered), [*ordered, "h"]).mapInArrow(leaves, _STEPS), f"{folder}/functions-0")]
     while last >= fan:
-        levels.append(_stored(levels[-1].select("*", parent).groupBy("key", "parent").applyInPandas(joined, _STEPS), f"{folder}/functions-{len(levels)}"))
+        levels.append(stored(levels[-1].select("*", parent).groupBy("key", "parent").applyInPandas(joined, _STEPS), f"{folder}/functions-{len(levels)}"))
         last //= fan
     start = levels[-1].select("key", parent).distinct().select("key", "parent", F.lit(1).cast("long").alias("page"), F.lit(margin).cast("double").alias("at"))
     for level in reversed(levels):
         places = level.select("*", parent).join(start, ["key", "parent"]).groupBy("key", "parent").applyInPandas(entered, "key string, b long, page long, at double")
         start = places.withColumnRenamed("b", "parent")
-    places = _stored(places.withColumnRenamed("b", "c"), f"{folder}/places")
+    places = stored(places.withColumnRenamed("b", "c"), f"{folder}/places")
     return short.unionByName(_folded(_by_block(dealt.join(places, ["key", "c"]), every), margin, bottom, schema))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import js
 from quillspark.functions.js import ANY, BOUND, WS
 from quillspark.operators.phrases import ANYWHERE, WORDS, found
+from quillspark.sources.snapshots import stored, work_folder
 
 S = f"{WS}*"
 NUM = r"([0-9]+(?:\.[0-9]+)?|\.[0-9]+)"
@@ -259,9 +260,11 @@ def classify(items: DataFrame, text: str = "text", phrases: dict[str, Column] |
 def classify_distinct(items: DataFrame, text: str = "text") -> DataFrame:
     """:func:`classify` of each distinct text once, joined to its rows: drawings repeat most of what they say.
 
-    Rows are the left side of a left join, so adaptive execution may split those of a frequent text among tasks.
+    Rows are the left side of a left join, so adaptive execution may split those of a frequent text among tasks. The classified texts are stored when
+    this is called: a filter on them never classifies rows, and while they are few they are sent to the rows, which then stay where they are.
     """
     known = classify(items.select(F.col(text).alias("_text")).distinct(), "_text").select("_text", "category", "type", *FIELDS)
+    known = stored(known, f"{work_folder(items.sparkSession)}/texts")
     own = items.drop("category", "type", *FIELDS)
     return own.join(known, own[text].eqNullSafe(known["_text"]), "left").drop("_text")
 

@@ -38,6 +38,12 @@ def work_folder(spark: SparkSession) -> str:
     return path
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write and read back: cuts the lineage, and lost executors cost what they were doing only."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _leave(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)

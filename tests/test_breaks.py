@@ -64,14 +64,14 @@ def test_edges(spark):
 
 def test_small_blocks_are_packed(spark, monkeypatch):
     seen = {}
-    stored = breaks._stored
+    stored = breaks.stored
 
     def counted(df, path):
         out = stored(df, path)
         seen[path.rsplit("/", 1)[1]] = out.count()
         return out
 
-    monkeypatch.setattr(breaks, "_stored", counted)
+    monkeypatch.setattr(breaks, "stored", counted)
     rng = random.Random(8)
     docs = {d: [rng.choice([0.0, 24.0, 44.0, 90.0, 170.0]) for _ in range(n)] for d, n in (("a", 5000), ("b", 1), (None, 1500), ("d", 700))}
     df = spark.createDataFrame([(d, i if i > 9 else None, i, h) for d, hs in docs.items() for i, h in enumerate(hs)], "doc string, b long, i long, height double")
