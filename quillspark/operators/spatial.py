@@ -81,7 +81,8 @@ def limit_pairs(entries: DataFrame) -> DataFrame:
 
     Each entry takes part in one pair at most.
     """
-    pages = _entries(entries).select(*PAGE, _candidates(F.col("_all")).alias("items")).filter(F.size("items") > 1)
+    plain = entries.filter(_plain(F.struct("*"))).select(*PAGE, "seq", "text", "bbox", "source", "confidence", "category", "type", "nominal", "unit", "tolerance_type")
+    pages = _entries(plain).select(*PAGE, _candidates(F.col("_all")).alias("items")).filter(F.size("items") > 1)
     found = pages.select(*PAGE, "items", F.explode(_pairs(F.col("items"))).alias("p")).select(*PAGE, F.col("items")[F.col("p.i")].alias("a"), F.col("items")[F.col("p.j")].alias("b"))
     a, b = F.col("a"), F.col("b")
     return found.select(*PAGE, a["seq"].alias("first_seq"), b["seq"].alias("second_seq"), *[v.alias(k) for k, v in _pair(a, b).items()])
@@ -119,7 +120,8 @@ def thread_depths(entries: DataFrame) -> DataFrame:
     Threads choose in order, each the nearest depth of its page that is free and within four diagonals of its box (120 if that is 0); of equally near
     ones the first.
     """
-    both = _entries(entries).select(*PAGE, _boxed(F.col("_all"), "threads").alias("threads"), _boxed(F.col("_all"), "depths").alias("depths")).filter((F.size("threads") > 0) & (F.size("depths") > 0))
+    boxed = entries.filter(F.col("category").isin("threads", "depths") & F.col("bbox").isNotNull()).select(*PAGE, "seq", "category", "bbox", "depth_type", "depth")
+    both = _entries(boxed).select(*PAGE, _boxed(F.col("_all"), "threads").alias("threads"), _boxed(F.col("_all"), "depths").alias("depths")).filter((F.size("threads") > 0) & (F.size("depths") > 0))
     found = both.select(*PAGE, "depths", F.explode(_given(F.col("threads"), F.col("depths"))).alias("p"))
     d = F.col("depths")[F.col("p.i")]
     return found.select(*PAGE, F.col("p.t").alias("thread_seq"), d["seq"].cast("bigint").alias("depth_seq"), d["depth_type"].alias("depth_type"), d["depth"].alias("depth"))

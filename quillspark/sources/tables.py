@@ -43,8 +43,9 @@ def drawing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    li = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
+    # named before the window, so that what groups by document later finds its rows together
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc_id")
+    order = Window.partitionBy("doc_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
     seq = F.row_number().over(order)
     n, d, k = F.col("l_quantity").cast("int"), F.pmod("l_partkey", F.lit(90)) + 10, F.col("l_linenumber")
     shape = F.element_at(F.array(*map(F.lit, SHAPES)), (F.pmod(F.col("l_partkey") + F.col("l_suppkey"), F.lit(len(SHAPES))) + 1).cast("int"))
@@ -52,7 +53,7 @@ def drawing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     for mark, value in (("{n}", n), ("{d}", d), ("{k}", k)):
         text = F.replace(text, F.lit(mark), value.cast("string"))
     return li.select(
-        F.col("l_orderkey").alias("doc_id"), seq.alias("seq"), (F.pmod("l_suppkey", F.lit(2)) + 1).cast("int").alias("page"), text.alias("text"),
+        "doc_id", seq.alias("seq"), (F.pmod("l_suppkey", F.lit(2)) + 1).cast("int").alias("page"), text.alias("text"),
         (F.pmod("l_partkey", F.lit(3)) * 10).cast("double").alias("x"), (seq * 12).cast("double").alias("y"), F.lit(30.0).alias("width"), F.lit(10.0).alias("height"),
         F.when(F.pmod("l_suppkey", F.lit(2)) == 0, "pdf_text").otherwise("ocr").alias("source"), F.when(F.pmod("l_suppkey", F.lit(2)) == 1, F.col("l_linenumber") / 10).alias("confidence"),
     )

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.operators.drawing import classify_distinct
+from quillspark.plans import catalog
 
 
 def plan(df):
@@ -13,3 +14,8 @@ def test_filters_do_not_classify_rows(spark):
     items = spark.createDataFrame([(1, "FINISH: X"), (2, "Ø.5"), (3, None)], "k int, text string")
     got = classify_distinct(items).filter(F.col("category") == "finishes")
     assert [r["k"] for r in got.collect()] == [1] and "RLIKE" not in plan(got).upper()
+
+
+def test_one_shuffle_of_items(spark):
+    for name in ("thread_depths", "limit_pairs", "drawing_category_counts", "display_records", "finish_specifications"):
+        assert plan(catalog.queries()[name](spark, "/root/testdata/sf0.001")).count("hashpartitioning(doc_id") == 1, name
