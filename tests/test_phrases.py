@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from quillspark.operators import phrases
 from quillspark.operators.drawing import FIELDS, FINISHES, MATERIALS, NOTES, classify, classify_listed, dictionary
 from quillspark.operators.phrases import ANYWHERE, WORDS, found
 from tests.test_drawing import GOLDEN
@@ -60,6 +61,30 @@ def test_ten_thousand_phrases(spark):
     assert as_dict(found(spark.createDataFrame(texts, "k int, text string"), spark.createDataFrame(entries, DICTIONARY), ["k"])) == want and want
 
 
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_pieces_end_with_runs_and_any_white_space_is_one(spark, monkeypatch, sent):
+    monkeypatch.setattr(phrases, "SENT", sent)
+    entries = [("w", WORDS, p, k) for k, p in enumerate(["a b", "b c", "zinc", "a", "c!", "!", "zinc plate a"])] + [("s", ANYWHERE, "c p", 1)]
+    rng, glue = random.Random(3), [" ", "  ", " \u00a0\u2003\n", "\ufeff", "\u200b", "! ", "-" * 5000, " " * 5000]
+    texts = [(k, "".join(rng.choice(["a", "B", "c", "ZINC", "plate", "x" * 5000]) + rng.choice(glue) for _ in range(40))) for k in range(40)] + [(k, "zinc plate a b" * 3000 + "a b " * k) for k in range(100, 105)]
+    got = as_dict(found(spark.createDataFrame(texts, "k int, text string"), spark.createDataFrame(entries, DICTIONARY), ["k"]))
+    spaced = [(k, re.sub("[\\s\ufeff]+", " ", t)) for k, t in texts]  # its white space is Python's and the mark
+    words = [e for e in entries if e[1] == WORDS]
+    assert {k: v for k, v in got.items() if k[1] == "w"} == by_loops(spaced, words)
+    assert {k: v for k, v in got.items() if k[1] == "s"} == by_loops(texts, [entries[-1]])
+
+
+def test_texts_of_one_task_are_dealt_and_cut_into_runs_once(spark, tmp_path):
+    spark.createDataFrame([(k, "Zinc plate") for k in range(50)], "k int, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    texts = spark.read.parquet(str(tmp_path / "t"))
+    plan = found(texts, spark.createDataFrame([("f", WORDS, "zinc", 4)], DICTIONARY), ["k"])._jdf.queryExecution().executedPlan().toString()
+    lines = [re.sub(r"#\d+L?", "", line) for line in plan.splitlines()]
+    dealt = next(k for k, line in enumerate(lines) if "RoundRobinPartitioning" in line)
+    cut = [k for k, line in enumerate(lines) if "regexp_extract_all(concat(" in line]
+    assert len(cut) == 1 and cut[0] < dealt and any("FileScan" in line for line in lines[dealt + 1 : dealt + 4])
+    assert lines[cut[0]].count("regexp_extract_all(concat(") == 1
+
+
 def test_long_texts_rows_of_a_key_and_empty_tables(spark):
     long = "zinc plate " * 100_000
     texts = spark.createDataFrame([(None, long, 1), (None, "zinc", 2), (2, "nothing", 3)], "k int, text string, list int")
